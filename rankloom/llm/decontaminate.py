@@ -44,6 +44,15 @@ def with_shingles(rows: DataFrame, text_col: str, keep: list[Column]) -> DataFra
     return tokens.withColumn("hs", hs).drop("_w")
 
 
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and h, a row per shingle.
+
+    explode_outer, because Spark infers filters from explode and pushes them, with the
+    whole of hs, below the projection that cuts the words.
+    """
+    return rows.select(*keep, F.explode_outer("hs").alias("h")).where("h is not null")
+
+
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
@@ -51,7 +60,7 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
 def contained(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found) of each item that a document holds to `percent` or more."""
     items = with_shingles(bench.where("item_id is not null"), "text", [F.col("item_id")])
-    shingles = items.select("item_id", F.explode("hs").alias("h")).distinct()
+    shingles = exploded(items, "item_id").distinct()
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n"))
     shared = shingles.groupBy("h").agg(F.count("*").alias("df"))
     ranked = shingles.join(shared, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
@@ -66,14 +75,14 @@ def contained(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> Da
     sketch = sketch.select("item_id", F.greatest(F.lit(1), F.col("k") - miss(F.col("n"))).alias("least"), F.explode(F.slice("order", F.lit(1), F.col("k"))).alias("o"))
     sketch = written(sketch.select("item_id", "least", F.col("o.h").alias("h")), "sketch")
     owned = with_shingles(docs, "text", [F.col("doc_id")])
-    hits = owned.select("doc_id", F.explode("hs").alias("h")).join(_sent(sketch, sketch.count()), "h")
+    hits = exploded(owned, "doc_id").join(_sent(sketch, sketch.count()), "h")
     # A document's hits of one item are counted once per shingle, before and after the shuffle.
     candidates = hits.groupBy("doc_id", "item_id", "h").agg(F.first("least").alias("least")).groupBy("doc_id", "item_id").agg(F.count("*").alias("hit"), F.first("least").alias("least"))
     candidates = written(candidates.where("hit >= least").select("doc_id", "item_id"), "candidates")
     rows = candidates.count()
     wanted = candidates.groupBy("doc_id").agg(F.collect_set(F.struct("item_id")).alias("items"))
     suspects = docs.select(F.col("doc_id").alias("_d"), "text").join(_sent(wanted, rows), F.col("_d").eqNullSafe(F.col("doc_id")))
-    own = with_shingles(suspects, "text", [F.col("doc_id"), F.col("items")]).select("doc_id", "items", F.explode("hs").alias("h"))
+    own = exploded(with_shingles(suspects, "text", [F.col("doc_id"), F.col("items")]), "doc_id", "items")
     listed = shingles.join(sizes, "item_id")
     found = own.join(_sent(listed, listed.count()), "h").where(F.array_contains("items", F.struct("item_id")))
     exact = found.groupBy("doc_id", "item_id", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
@@ -101,10 +110,10 @@ def clean(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFr
 
 
 SQL = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-ds AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM dw),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM bw),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM dw),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM bw),
 bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
 f AS (SELECT d.doc_id, b.item_id, count(DISTINCT d.s) AS n_found FROM ds d JOIN bs b ON d.s = b.s GROUP BY d.doc_id, b.item_id),
 g AS (SELECT f.doc_id, f.item_id, CAST(f.n_found AS DOUBLE) / bn.n AS c FROM f JOIN bn USING (item_id) WHERE f.n_found * 100 >= bn.n * 80),
