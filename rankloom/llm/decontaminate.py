@@ -90,7 +90,7 @@ def contained(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> Da
 
 
 def judged(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFrame:
-    """doc_id, contaminated, n_items, item_id and containment (of the best item) for every row of docs."""
+    """doc_id, contaminated, n_items, item_id and containment (of the best item; -1 and 0 without one) for every row of docs."""
     pairs = contained(docs, bench, percent)
     best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), (-F.col("item_id")).alias("i")))
     found = pairs.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n"), best.alias("best"))
@@ -98,7 +98,7 @@ def judged(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataF
         "doc_id",
         F.col("n").isNotNull().alias("contaminated"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
-        (-F.col("best.i")).alias("item_id"),
+        F.coalesce(-F.col("best.i"), F.lit(-1)).cast("long").alias("item_id"),
         F.coalesce("best.c", F.lit(0.0)).alias("containment"),
     )
 
@@ -119,6 +119,6 @@ f AS (SELECT d.doc_id, b.item_id, count(DISTINCT d.s) AS n_found FROM ds d JOIN
 g AS (SELECT f.doc_id, f.item_id, CAST(f.n_found AS DOUBLE) / bn.n AS c FROM f JOIN bn USING (item_id) WHERE f.n_found * 100 >= bn.n * 80),
 h AS (SELECT doc_id, count(*) AS n, max(c) AS c FROM g GROUP BY doc_id),
 k AS (SELECT h.doc_id, h.n, h.c, min(g.item_id) AS item_id FROM h JOIN g ON g.doc_id = h.doc_id AND g.c = h.c GROUP BY h.doc_id, h.n, h.c)
-SELECT d.doc_id, k.n IS NOT NULL AS contaminated, CAST(coalesce(k.n, 0) AS BIGINT) AS n_items, k.item_id, coalesce(k.c, 0.0) AS containment
+SELECT d.doc_id, k.n IS NOT NULL AS contaminated, CAST(coalesce(k.n, 0) AS BIGINT) AS n_items, CAST(coalesce(k.item_id, -1) AS BIGINT) AS item_id, coalesce(k.c, 0.0) AS containment
 FROM documents d LEFT JOIN k USING (doc_id)
 """
