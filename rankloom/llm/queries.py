@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe_codec, decontaminate, token_counts, toxicity
+from rankloom.llm import bpe_codec, decontaminate, quality, secrets, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,11 +30,21 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_docs(spark, sf_dir))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
