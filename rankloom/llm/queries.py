@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe_codec, decontaminate, quality, secrets, token_counts, toxicity
+from rankloom.llm import bpe_codec, decontaminate, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.digests(suffix_trees.dedup(_docs(spark, sf_dir)))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -30,6 +34,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.digests(suffix_arrays.dedup(_docs(spark, sf_dir)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
@@ -40,9 +48,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_tree_dedup": op2_suffix_tree_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
 }
