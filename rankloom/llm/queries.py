@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe_codec, decontaminate, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
+from rankloom.llm import bpe_codec, decontaminate, ngram_join, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_docs(spark, sf_dir))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.digests(suffix_arrays.dedup(_docs(spark, sf_dir)))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
