@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe_codec, decontaminate, ngram_join, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
+from rankloom.llm import bpe_codec, decontaminate, ngram_join, privacy, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -50,6 +50,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir))
 
 
+def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_tree_dedup": op2_suffix_tree_dedup,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
+    "op10_privacy": op10_privacy,
 }
 
 ORACLE_SQL: dict[str, str] = {
