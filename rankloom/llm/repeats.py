@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -20,11 +21,11 @@ from pyspark.sql import types as T
 from rankloom.llm.anchors import Anchors, blocks, recurring, short_key, slabs, told
 from rankloom.llm.store import written
 
-GROUP_LIMIT = 20_000  # runs of one anchor that a task holds at once
+GROUP_LIMIT = 200_000  # occurrences of one anchor that a task holds at once
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
-RUNS = "h long, cid long, off int, run binary, block int, doc long, places binary"
-FIRSTS = "h long, cid long, off int, firsts array<struct<d:bigint,p:bigint>>"
+RUNS = "h long, cid long, run binary, block int, docs binary, places binary"
+SPANS = "block int, doc long, spans binary"
 
 
 class Units:
@@ -60,7 +61,7 @@ def _runs_of(units: Units):
 
     def runs(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return table_of(RUNS, [[]] * 7)
+            return table_of(RUNS, [[]] * 6)
         block = docs.column("block")[0].as_py()
         ids = [LAST if i is None else i for i in docs.column("doc_id").to_pylist()]
         order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -69,101 +70,132 @@ def _runs_of(units: Units):
         recurs = told(flags)
         found = list(keys_of(ids, texts))
         every = np.unique(short_key(np.concatenate(found))) if found else np.zeros(0, np.uint64)
-        out: dict[tuple, list] = {}
-        told_once: set = set()
+        out: dict[tuple, tuple] = {}
         for part_ids, part in slabs(ids, texts):
             grams, starts, own = units.cut(part)
             a = Anchors(grams, starts, units.k, units.length)
             hit = np.flatnonzero(recurs[np.searchsorted(every, short_key(a.key))])
-            keys = a.key[hit].view(np.int64).tolist()
-            for key, doc, at, first, last in zip(keys, a.doc[hit].tolist(), a.at[hit].tolist(), a.first[hit].tolist(), a.last[hit].tolist()):
-                run, off, place = units.run(own, first, last), at - first, first - int(starts[doc])
-                cid = struct.unpack("<q", hashlib.blake2b(run + off.to_bytes(4, "little"), digest_size=8).digest())[0]
-                seen = out.get((part_ids[doc], doc, key, cid))
-                if seen:
-                    seen[1].append(place)
+            keys, doc, first = a.key[hit].view(np.int64).tolist(), a.doc[hit], a.first[hit]
+            places = (first - starts[doc]).tolist()
+            for key, d, at, lo, hi, place in zip(keys, doc.tolist(), a.at[hit].tolist(), first.tolist(), a.last[hit].tolist(), places):
+                run = units.run(own, lo, hi)
+                name = (key, run, at - lo)
+                seen = out.get(name)
+                if seen is None:
+                    out[name] = ([part_ids[d]], [place])
                 else:
-                    fresh = (key, cid) not in told_once
-                    told_once.add((key, cid))
-                    out[part_ids[doc], doc, key, cid] = [off, [place], run if fresh else None]
-        rows = [(key, cid, off, run, block, doc_id, np.array(places, "<i4").tobytes()) for (doc_id, _, key, cid), (off, places, run) in out.items()]
-        return table_of(RUNS, list(zip(*rows)) if rows else [[]] * 7)
+                    seen[0].append(part_ids[d])
+                    seen[1].append(place)
+        rows = [
+            (key, struct.unpack("<q", hashlib.blake2b(run + off.to_bytes(4, "little"), digest_size=8).digest())[0], run, block, array("q", own).tobytes(), array("i", places).tobytes())
+            for (key, run, off), (own, places) in out.items()
+        ]
+        return table_of(RUNS, list(zip(*rows)) if rows else [[]] * 6)
 
     return keys_of, runs
 
 
 def _groups(batches):
-    """Rows of one h after another out of batches sorted by h, as lists of (cid, off, run, d, p)."""
+    """Rows of one h after another out of batches sorted by h."""
     now, rows = None, []
     for batch in batches:
         for h, *row in zip(*[c.to_pylist() for c in batch.columns]):
             if h != now and rows:
-                yield now, rows
+                yield rows
                 rows = []
             now = h
             rows.append(row)
     if rows:
-        yield now, rows
-
-
-def first_occurrences(runs: DataFrame, units: Units, solve: Callable, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """FIRSTS: for each distinct run the first (doc, place) of each of its windows."""
-    told_runs = runs.where("run is not null").select("h", "cid", "off", "run", F.col("doc").alias("d"), "places")
-    hot = written(told_runs.groupBy("h").count().where(F.col("count") > group_limit).select("h"), "hot")
+        yield rows
+
+
+class _Spans:
+    """Spans gathered by block and document, given out as batches."""
+
+    def __init__(self, within: bool):
+        self.within, self.found = within, {}
+
+    def add(self, firsts: list[tuple], block: int, docs: bytes, places: bytes) -> None:
+        """firsts: first (doc, place) of each window of a run; docs and places: where the run stands."""
+        least = min(f[0] for f in firsts)
+        for doc, at in zip(array("q", docs), array("i", places)):
+            if least > doc or least == doc and not self.within:
+                continue
+            lo = -1
+            out = self.found.setdefault((block, doc), array("i"))
+            for o, (d, p) in enumerate(firsts):
+                if d < doc or self.within and d == doc and p < at + o:
+                    lo = o if lo < 0 else lo
+                elif lo >= 0:
+                    out.extend((at + lo, at + o - 1))
+                    lo = -1
+            if lo >= 0:
+                out.extend((at + lo, at + len(firsts) - 1))
+
+    def batches(self, least: int = 0):
+        if len(self.found) > least:
+            rows = [(block, doc, spans.tobytes()) for (block, doc), spans in self.found.items() if spans]
+            self.found = {}
+            yield from table_of(SPANS, list(zip(*rows)) if rows else [[]] * 3).to_batches()
+
+
+def _later_windows(runs: DataFrame, units: Units, solve: Callable, within: bool, group_limit: int) -> DataFrame:
+    """SPANS: the windows of each document that also start earlier."""
+    hot = runs.groupBy("h").agg(F.sum(F.octet_length("docs") / 8).alias("n")).where(F.col("n") > group_limit).select("h")
+    hot = written(hot, "hot")
     n_hot = hot.count()
+    sent = F.broadcast(hot) if n_hot <= 100_000 else hot
 
     def solved(batches):
-        outs: list = []
-        for h, rows in _groups(batches):
-            merged: dict[int, list] = {}
-            for cid, off, run, d, places in rows:
-                p = struct.unpack_from("<i", places)[0]
-                got = merged.get(cid)
-                if got is None:
-                    merged[cid] = [off, run, d, p]
-                elif (d, p) < (got[2], got[3]):
-                    got[2:] = [d, p]
-            firsts = solve([(off, run, (d, p)) for off, run, d, p in merged.values()])
-            outs += [(h, cid, m[0], f) for (cid, m), f in zip(merged.items(), firsts)]
-            if len(outs) > 5_000:
-                yield _firsts(outs)
-                outs = []
-        yield _firsts(outs)
-
-    cold = told_runs.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "h", "left_anti") if n_hot else told_runs
-    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(solved, FIRSTS)
+        spans = _Spans(within)
+        for rows in _groups(batches):
+            firsts: dict[int, list] = {}  # run -> its bytes and its own first occurrence
+            for cid, run, _, docs, places in rows:
+                own = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
+                got = firsts.setdefault(cid, [run, own])
+                got[1] = min(got[1], own)
+            for cid, found in zip(firsts, solve([(run, own) for run, own in firsts.values()])):
+                firsts[cid] = found
+            for cid, _, block, docs, places in rows:
+                spans.add(firsts[cid], block, docs, places)
+            yield from spans.batches(20_000)
+        yield from spans.batches()
+
+    cold = runs.join(sent, "h", "left_anti") if n_hot else runs
+    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(solved, SPANS)
     if not n_hot:
         return out
 
     # A group over the limit is split by the longest prefix, the whole window.
-    schema = "h long, cid long, off int, o int, w binary, d long, p long"
+    schema = "h long, cid long, o int, w binary, d long, p long"
 
     def windows(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = []
-                for h, cid, off, run, d, places in zip(*[c.to_pylist() for c in batch.slice(lo, 200).columns]):
-                    p = struct.unpack_from("<i", places)[0]
-                    rows += [(h, cid, off, o, hashlib.blake2b(w, digest_size=16).digest(), d, p + o) for o, w in enumerate(units.windows(run))]
+                for h, cid, run, _, docs, places in zip(*[c.to_pylist() for c in batch.slice(lo, 200).columns]):
+                    d, p = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
+                    rows += [(h, cid, o, hashlib.blake2b(w, digest_size=16).digest(), d, p + o) for o, w in enumerate(units.windows(run))]
                 yield from table_of(schema, list(zip(*rows))).to_batches()
 
-    split = told_runs.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "h", "left_semi").mapInArrow(windows, schema)
-    least = split.groupBy("h", "w").agg(F.min(F.struct("d", "p")).alias("f"))
-    one = split.select("h", "cid", "off", "o", "w").distinct().join(least, ["h", "w"])
-    whole = one.groupBy("h", "cid", "off").agg(F.sort_array(F.collect_list(F.struct("o", "f"))).alias("fs"))
-    return out.unionByName(whole.select("h", "cid", "off", F.transform("fs", lambda x: x["f"]).alias("firsts")))
-
+    def placed(batches):
+        spans = _Spans(within)
+        for batch in batches:
+            for block, docs, places, firsts in zip(*[c.to_pylist() for c in batch.columns]):
+                spans.add([(f["d"], f["p"]) for f in firsts], block, docs, places)
+                yield from spans.batches(20_000)
+        yield from spans.batches()
 
-def _firsts(rows: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("d", pa.int64()), ("p", pa.int64())]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([[{"d": d, "p": p} for d, p in r[3]] for r in rows], kind)],
-        ["h", "cid", "off", "firsts"],
-    )
+    large = runs.join(sent, "h", "left_semi").select("h", "cid", "run", "block", "docs", "places")
+    split = large.mapInArrow(windows, schema)
+    least = split.groupBy("h", "w").agg(F.min(F.struct("d", "p")).alias("f"))
+    one = split.select("h", "cid", "o", "w").distinct().join(least, ["h", "w"])
+    whole = one.groupBy("h", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "f"))), lambda x: x["f"]).alias("firsts"))
+    return out.unionByName(large.join(whole, ["h", "cid"]).select("block", "docs", "places", "firsts").mapInArrow(placed, SPANS))
 
 
-def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: bool, group_limit: int = GROUP_LIMIT):
-    """(keyed blocks, DataFrame block, doc, spans): windows of each document that also start earlier.
+def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: bool, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents, SPANS): windows of each document that also start earlier.
 
     Earlier means in a document with a smaller id, or with `within` also at a smaller
     place of the same document.  spans: little-endian int32 pairs, first and last window.
@@ -171,32 +203,8 @@ def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: boo
     keyed, n = blocks(docs)
     keys_of, runs_of = _runs_of(units)
     flags = recurring(keyed, keys_of, n)
-    runs = keyed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(runs_of, RUNS)
-    runs = written(runs, "runs")
-    firsts = first_occurrences(runs, units, solve, group_limit)
-    later = F.filter("firsts", lambda f: (f["d"] < F.col("doc")) | (F.lit(within) & (f["d"] == F.col("doc"))))
-    met = runs.select("h", "cid", "block", "doc", "places").join(firsts.select("h", "cid", "firsts"), ["h", "cid"]).where(F.size(later) > 0)
-
-    def spans(batches):
-        for batch in batches:
-            rows = []
-            for block, doc, places, f in zip(*[c.to_pylist() for c in batch.columns]):
-                at = np.frombuffer(places, "<i4").astype(np.int64)
-                d = np.array([x["d"] for x in f])
-                p = np.array([x["p"] for x in f])
-                starts = at[:, None] + np.arange(len(d))
-                hit = (d < doc) | (d == doc) & (p < starts) if within else np.broadcast_to(d < doc, starts.shape)
-                hit = np.pad(hit, ((0, 0), (1, 1))).astype(np.int8)
-                turn = np.diff(hit, axis=1)
-                row, lo = np.nonzero(turn == 1)
-                _, hi = np.nonzero(turn == -1)
-                if len(lo):
-                    rows.append((block, doc, np.stack([at[row] + lo, at[row] + hi - 1], 1).astype("<i4").tobytes()))
-            out = table_of("block int, doc long, spans binary", list(zip(*rows)) if rows else [[]] * 3)
-            yield from out.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], out.schema)]
-
-    found = met.select("block", "doc", "places", "firsts").mapInArrow(spans, "block int, doc long, spans binary")
-    return keyed, found
+    runs = written(keyed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(runs_of, RUNS), "runs")
+    return keyed, _later_windows(runs, units, solve, within, group_limit)
 
 
 def covered(spans: list[bytes], n: int, length: int) -> np.ndarray:

@@ -64,12 +64,12 @@ def previous_factors(places: list, common: list[int]) -> list[int]:
 
 
 def solver(length: int):
-    def solve(runs: list[tuple[int, bytes, tuple]]) -> list[list[tuple]]:
+    def solve(runs: list[tuple[bytes, tuple]]) -> list[list[tuple]]:
         if len(runs) == 1:
-            _, run, (d, p) = runs[0]
+            run, (d, p) = runs[0]
             return [[(d, p + o) for o in range(len(run) - length + 1)]]
-        firsts = [[(d, p + o) for o in range(len(run) - length + 1)] for _, run, (d, p) in runs]
-        suffixes = sorted((run[o : o + length], d, p + o, r, o) for r, (_, run, (d, p)) in enumerate(runs) for o in range(len(run) - length + 1))
+        firsts = [[(d, p + o) for o in range(len(run) - length + 1)] for run, (d, p) in runs]
+        suffixes = sorted((run[o : o + length], d, p + o, r, o) for r, (run, (d, p)) in enumerate(runs) for o in range(len(run) - length + 1))
         lo = 0
         for x in range(1, len(suffixes) + 1):
             if x < len(suffixes) and suffixes[x][0] == suffixes[x - 1][0]:

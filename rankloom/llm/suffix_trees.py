@@ -80,10 +80,10 @@ def subtree(suffixes: list[tuple[bytes, int, tuple]]) -> list[tuple]:
 
 
 def solver(length: int):
-    def solve(runs: list[tuple[int, bytes, tuple]]) -> list[list[tuple]]:
+    def solve(runs: list[tuple[bytes, tuple]]) -> list[list[tuple]]:
         """For each run the first occurrence of each of its windows."""
         suffixes, counts = [], []
-        for _, run, (d, p) in runs:
+        for run, (d, p) in runs:
             ends = [i for i, b in enumerate(run) if b == 0x20] if len(runs) > 1 else [0] * run.count(b" ")
             n = len(ends) + 2 - length
             counts.append(n)
