@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import extract, identity, text, urls
 from rankloom.operators import evaluation, ranking, similarity, snapshot, winmodel
 from rankloom.plans import catalog
+from rankloom.sources import records
+from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -413,3 +415,22 @@ def ui_06_explanations(spark, sf_dir):
 def txt_21_profile_text(spark, sf_dir):
     p = catalog.profiles(spark, sf_dir).select("profile_id", text.profile_text().alias("text"))
     return p.select("profile_id", "text", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_counts(spark, sf_dir):
+    return ingest.event_counts(table(spark, sf_dir, "events"))
+
+
+@query("""SELECT DISTINCT CAST(c AS VARCHAR) AS url, CAST(depth AS INT) AS depth FROM (SELECT unnest([10, 5, 2, 1, 0]) AS c, unnest([0, 1, 2, 3, 4]) AS depth) WHERE c > 0 OR depth = 4""")
+def src_07_crawl(spark, sf_dir):
+    nodes = table(spark, sf_dir, "nation").where("n_nationkey <= 10")
+    links = nodes.select(F.col("n_nationkey").cast("string").alias("source"), F.floor(F.col("n_nationkey") / 2).cast("string").alias("target"))
+    return records.crawl(links, nodes.where("n_nationkey = 10").select(F.col("n_nationkey").cast("string").alias("url")), 5)
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS source_id, concat('Award ', event_type, ' & more') AS title, CAST(event_id % 7000 AS DOUBLE) AS amount_min, CAST(7000 + event_id % 7000 AS DOUBLE) AS amount_max, strftime(ts, '%Y-%m-%d') AS deadline FROM events""")
+def src_04_posts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = F.concat(F.lit("\ufeff[{\"id\": "), F.col("event_id"), F.lit(", \"slug\": \"x\", \"link\": \"https://a.org/x\", \"title\": {\"rendered\": \"Award "), F.col("event_type"), F.lit(" &amp; more\"}, \"content\": {\"rendered\": \"<p>$"), F.col("event_id") % 7000, F.lit(" to $"), F.col("event_id") % 7000 + 7000, F.lit(" by "), F.date_format("ts", "yyyy-MM-dd"), F.lit("</p>\"}}]"))
+    return records.posts(e.select(raw.alias("raw"))).select("source_id", "title", "amount_min", "amount_max", F.col("deadline").cast("string").alias("deadline"))
