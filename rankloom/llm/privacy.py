@@ -68,12 +68,12 @@ def base_spans(text: Column) -> Column:
 
 
 def with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("base", base_spans(F.col("_text")))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
 
 
 def contexts(rows: DataFrame) -> DataFrame:
     """A row per base span with words beside it: doc_id, entity, and the words' spans and texts on either side."""
-    few = rows.select("doc_id", "_text", F.explode_outer("base").alias("b")).where("b is not null")
+    few = rows.select("doc_id", "_text", F.explode_outer("_base").alias("b")).where("b is not null")
     cut = lambda lo, n: F.substring("_text", lo.cast("int"), n.cast("int"))
     start, end = F.col("b.start"), F.col("b.end")
     left = F.greatest(start - REACH, F.lit(0))
@@ -106,33 +106,33 @@ def revealing(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, terms): spans of revealing terms."""
+    """(_d: doc_id, _terms): spans of revealing terms."""
     near = written(contexts(with_base(docs.select("doc_id", "text"), ["doc_id"])), "contexts")
     reveal = revealing(docs, near)
     beside = near.select("doc_id", "entity", F.explode("words").alias("w")).select("doc_id", "entity", "w.start", "w.end", F.col("w.term").alias("term"))
     span = F.struct(F.col("start"), F.lit(4).alias("kind_at"), F.col("end"), F.lit("term").alias("kind"))
-    return beside.join(reveal, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(span)).cast(NONE).alias("terms"))
+    return beside.join(reveal, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(span)).cast(NONE).alias("_terms"))
 
 
 def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, and base and all spans; a term inside another span is not told again."""
+    """`keep`, _text, _base and all _spans; a term inside another span is not told again."""
     rows = with_base(docs, keep).join(term_spans(docs), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    free = F.filter(F.coalesce("terms", none()), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])) & (s["end"] <= F.length("_text")))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    free = F.filter(F.coalesce("_terms", none()), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])) & (s["end"] <= F.length("_text")))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, digest of the base and all spans of every row of docs."""
     return found(docs.select("doc_id", "text"), ["doc_id"]).select(
         "doc_id",
-        *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:4]],
-        F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written_out(F.col("spans")).alias("spans"),
+        *[counted(F.col("_base"), k).alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(written_out(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        written_out(F.col("_spans")).alias("spans"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data generalised to its kind, as [EMAIL], and revealing terms removed, as [TERM]."""
     rows = found(docs, docs.columns)
-    clean = F.when(F.col("text").isNull() | (F.size("spans") == 0), F.col("text")).otherwise(replaced(F.col("_text"), F.col("spans"), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
+    clean = F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(replaced(F.col("_text"), F.col("_spans"), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
     return rows.withColumn("_clean", clean).select(*[(F.col("_clean").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])

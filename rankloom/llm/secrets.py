@@ -24,6 +24,7 @@ from rankloom.llm.spans import counted, none, replaced, spans, written_out
 SAMPLE_DOCS = 1_000
 RANDOM_ROWS = 4_000
 LEAST_CHARS = 20
+BACK_OFF = 2.0
 LEAST_RATIO = 8.0  # nats over the whole token
 LEAST_MEAN = 0.35  # nats a character
 
@@ -72,13 +73,18 @@ def train(samples: DataFrame) -> list[float]:
     n = len(SYMBOLS)
     at = samples.select("random", "token", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1)))).alias("i"))
     at = at.select("random", F.instr(F.lit(SYMBOLS), F.col("token").substr(F.col("i"), F.lit(1))).alias("a"), F.instr(F.lit(SYMBOLS), F.col("token").substr(F.col("i") + 1, F.lit(1))).alias("b"))
-    seen = {True: [[0.5] * n for _ in range(n)], False: [[0.5] * n for _ in range(n)]}
+    seen = {True: [[0.0] * n for _ in range(n)], False: [[0.0] * n for _ in range(n)]}
     for r in at.where("a > 0 and b > 0").groupBy("random", "a", "b").count().collect():  # at most 2 * len(SYMBOLS) ** 2 rows
         seen[r["random"]][r["a"] - 1][r["b"] - 1] += r["count"]
-    table = []
-    for a in range(n):
-        random, ordinary = sum(seen[True][a]), sum(seen[False][a])
-        table += [round(math.log(seen[True][a][b] / random) - math.log(seen[False][a][b] / ordinary), 6) for b in range(n)]
+
+    def model(rows: list[list[float]]) -> list[list[float]]:
+        """Probabilities of the next symbol, backed off to the symbol's own share."""
+        total = sum(map(sum, rows))
+        share = [(sum(row[b] for row in rows) + 0.5) / (total + 0.5 * n) for b in range(n)]
+        return [[(row[b] + BACK_OFF * share[b]) / (sum(row) + BACK_OFF) for b in range(n)] for row in rows]
+
+    random, ordinary = model(seen[True]), model(seen[False])
+    table = [round(math.log(random[a][b] / ordinary[a][b]), 6) for a in range(n) for b in range(n)]
     return table
 
 
@@ -96,15 +102,15 @@ def ratio(token: Column, table: Column) -> Column:
 
 
 def found(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
-    """`keep`, and the spans: base, and all (base with markov)."""
+    """`keep`, _text, and the spans: _base, and _spans (base with markov)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     weights = F.col("_table")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")).withColumn("base", base_spans(F.col("_text")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     rows = rows.withColumn("_table", F.array(*[F.lit(x) for x in table]))
     random = spans(F.col("_text"), TOKEN, "markov", 3, lambda m: (ratio(m, weights) >= LEAST_RATIO) & (ratio(m, weights) >= F.length(m) * LEAST_MEAN))
     rows = rows.withColumn("_more", F.when(F.col("_text").rlike(TOKEN), random).otherwise(none()))
-    free = F.filter("_more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
 
 
 def models(docs: DataFrame) -> list[float]:
@@ -116,16 +122,16 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = found(docs.select("doc_id", "text"), models(docs), ["doc_id"])
     return rows.select(
         "doc_id",
-        *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]],
-        F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written_out(F.col("spans")).alias("spans"),
+        *[counted(F.col("_base"), k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(written_out(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        written_out(F.col("_spans")).alias("spans"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by [SECRET] and n_chars counted anew; null texts stay null."""
     rows = found(docs, models(docs), docs.columns)
-    clean = F.when(F.col("text").isNull(), F.col("text")).when(F.size("spans") == 0, F.col("text")).otherwise(replaced(F.col("_text"), F.col("spans"), lambda kind: F.lit("[SECRET]")))
+    clean = F.when(F.col("text").isNull(), F.col("text")).when(F.size("_spans") == 0, F.col("text")).otherwise(replaced(F.col("_text"), F.col("_spans"), lambda kind: F.lit("[SECRET]")))
     rows = rows.withColumn("_clean", clean)
     out = {"text": F.col("_clean"), "n_chars": F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("_clean")}
     return rows.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
