@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def test_privacy(spark, empty):
     near = ["alpha", "bravo", "delta", "gamma", "omega"]
     rows = [(i, f"{near[i]} {i}{i}{i} colleague Zorblax wrote jo@ex.org on day {near[i]}{i}") for i in range(5)]
     rows += [(10 + i, f"plain text of number {i} that tells nothing about anyone else {i * i}") for i in range(40)]
-    rows += [(60, "1.2.3.4.5.6.7.8 999.1.1.1 +1 (234) 567-8901 4111 1111 1111 1111"), (61, None), (62, "a@b.c%d@e.f"), (63, "9" * 30000 + "1 " * 20000)]
+    rows += [(60, "1.2.3.4.5.6.7.8 999.1.1.1 +1 (234) 567-8901 or 4111 1111 1111 1111"), (61, None), (62, "a@b.c%d@e.f"), (63, "9" * 30000 + "1 " * 20000)]
     table = spark.createDataFrame([(i, t, "en", "s", 0, "x", None) for i, t in rows], DOCS)
     got = by_id(privacy.scan(table))
     r = got[60]
@@ -233,7 +234,7 @@ def test_toxicity_learns_outside_the_held_out_third(spark, docs, empty):
     assert toxicity.classify(table, told.limit(0)).where("predicted = 1").count() == 0
 
 
-def test_counterfactual_pairs_lower_the_weight_of_identity_terms():
+def test_counterfactual_pairs_lower_the_change_of_score_under_swaps():
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(100)]
     rows = []
@@ -242,12 +243,14 @@ def test_counterfactual_pairs_lower_the_weight_of_identity_terms():
         found = set(rnd.sample(words, 20)) | ({"awful"} if toxic and i % 8 == 0 else set()) | ({"muslim"} if toxic or i % 16 == 1 else set())
         vector = toxicity._vector(found)
         swaps = [toxicity._vector(s) for s in (toxicity.swapped(found, k) for k in (1, 2)) if s]
-        import numpy as np
-
         rows.append((np.frombuffer(vector, np.uint32), int(toxic), [np.frombuffer(s, np.uint32) for s in swaps]))
-    term = toxicity.features_of("muslim")[0]
-    free, paired = (abs(toxicity.fit(rows, w)["weights"].get(term, 0)) for w in (0.0, toxicity.PAIR_WEIGHT))
-    assert paired < 0.5 * free
+    own, other = toxicity.features_of("muslim")[0], toxicity.features_of("jewish")[0]
+
+    def change(pair_weight):  # of the logit when the term is swapped, all else equal
+        w = toxicity.fit(rows, pair_weight)["weights"]
+        return abs(w.get(own, 0) - w.get(other, 0))
+
+    assert change(toxicity.PAIR_WEIGHT) < 0.2 * change(0.0)
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
