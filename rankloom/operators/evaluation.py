@@ -120,3 +120,34 @@ def knee(front: DataFrame, metrics: list[str], key: str = "config_id") -> DataFr
         low, high = F.min(m).over(w), F.max(m).over(w)
         scaled.append(F.when(high > low, (F.col(m) - low) / (high - low)).otherwise(1.0))
     return front.withColumn("knee_score", F.round(F.sqrt(sum((s * s for s in scaled), F.lit(0.0))), 9)).orderBy(F.desc("knee_score"), *[F.desc(m) for m in metrics], key)
+
+
+def expected_value_metrics(top: DataFrame) -> DataFrame:
+    """Per profile the mean and median of p_win and expected value over its list, and the mean scaled value."""
+    each = lambda f, c, name: F.round(f(c), 9).alias(name)
+    return top.groupBy("profile_id").agg(
+        each(F.avg, "p_win", "avg_p_win"),
+        each(F.median, "p_win", "median_p_win"),
+        each(F.avg, "expected_value", "avg_expected_value"),
+        each(F.median, "expected_value", "median_expected_value"),
+        each(F.avg, "expected_value_norm", "avg_expected_value_norm"),
+    )
+
+
+def macro_average(by_profile: DataFrame) -> DataFrame:
+    """One row: the mean of each metric over profiles that have it."""
+    return by_profile.agg(*[F.round(F.avg(c), 9).alias(c) for c in by_profile.columns if c != "profile_id"])
+
+
+def amount_penalty(median: Column, baseline_median: float) -> Column:
+    """How far a median amount lies above one and a half times the baseline's; 0 without a baseline."""
+    return F.greatest(median - 1.5 * baseline_median, F.lit(0.0)) if baseline_median > 0 else F.lit(0.0)
+
+
+def by_relevance(results: DataFrame, baseline_median: float) -> DataFrame:
+    """Stable first, then ndcg, coverage and sponsor diversity down, amount penalty up, id up."""
+    return results.orderBy(F.desc("stable"), F.desc("ndcg"), F.desc("coverage"), F.desc("sponsor_diversity"), amount_penalty(F.col("amount_median"), baseline_median), "config_id")
+
+
+def by_blend(results: DataFrame) -> DataFrame:
+    return results.orderBy(F.desc("blended"), F.desc("ndcg"), F.desc("coverage"), F.desc("ev"), "config_id")

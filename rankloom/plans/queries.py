@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import extract, identity, text, urls
 from rankloom.operators import evaluation, ranking, similarity, snapshot, winmodel
-from rankloom.plans import catalog
+from rankloom.plans import catalog, golden
 from rankloom.sources import records
 from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL
@@ -434,3 +434,28 @@ def src_04_posts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     raw = F.concat(F.lit("\ufeff[{\"id\": "), F.col("event_id"), F.lit(", \"slug\": \"x\", \"link\": \"https://a.org/x\", \"title\": {\"rendered\": \"Award "), F.col("event_type"), F.lit(" &amp; more\"}, \"content\": {\"rendered\": \"<p>$"), F.col("event_id") % 7000, F.lit(" to $"), F.col("event_id") % 7000 + 7000, F.lit(" by "), F.date_format("ts", "yyyy-MM-dd"), F.lit("</p>\"}}]"))
     return records.posts(e.select(raw.alias("raw"))).select("source_id", "title", "amount_min", "amount_max", F.col("deadline").cast("string").alias("deadline"))
+
+
+@query("SELECT * FROM (VALUES ('Undergraduate', 6, 3.366667::DOUBLE), ('Graduate', 2, 3.81::DOUBLE), ('high school', 1, 3.25::DOUBLE)) t(education_level, n, gpa)")
+def met_12_golden_profiles(spark, sf_dir):
+    return golden.golden_profiles(spark).groupBy("education_level").agg(F.count("*").alias("n"), F.round(F.avg("gpa"), 6).alias("gpa"))
+
+
+@query(f"""WITH {SCORED_SQL}, e AS (SELECT *, stage_score * amt AS ev FROM top), m AS (SELECT profile_id, avg(stage_score) AS a, median(stage_score) AS b, avg(ev) AS c, median(ev) AS d, avg(ev_norm) AS f FROM e GROUP BY profile_id)
+SELECT round(avg(round(a, 9)), 9) AS avg_p_win, round(avg(round(b, 9)), 9) AS median_p_win, round(avg(round(c, 9)), 6) AS avg_expected_value, round(avg(round(d, 9)), 6) AS median_expected_value, round(avg(round(f, 9)), 9) AS avg_expected_value_norm FROM m""")
+def met_08_expected_value(spark, sf_dir):
+    top = _top(spark, sf_dir).withColumns({"p_win": F.col("stage_score"), "expected_value": F.col("stage_score") * ranking.amount(), "expected_value_norm": F.col("ev_norm")})
+    one = evaluation.macro_average(evaluation.expected_value_metrics(top))
+    return one.withColumns({c: F.round(c, 6) for c in ("avg_expected_value", "median_expected_value")})
+
+
+@query(f"WITH {PAIRS_SQL} SELECT profile_id, item_id, array_to_string(reasons, '; ') AS why FROM pairs WHERE list_contains(reasons, 'GPA_BELOW_MIN')")
+def ui_07_reason_filter(spark, sf_dir):
+    return _pairs(spark, sf_dir).where(F.array_contains("reasons", "GPA_BELOW_MIN")).select("profile_id", "item_id", F.array_join("reasons", "; ").alias("why"))
+
+
+@query(f"{TUNED_SQL} SELECT config_id, CAST(row_number() OVER (ORDER BY round(0.7::DOUBLE * ndcg + 0.2::DOUBLE * coverage + 0.1::DOUBLE * ev, 9) DESC, ndcg DESC, coverage DESC, ev DESC, config_id) AS INT) AS place FROM res ORDER BY place LIMIT 5")
+def tune_08_best_blends(spark, sf_dir):
+    best = evaluation.by_blend(evaluation.blended(_tuned(spark, sf_dir), {"ndcg": 0.7, "coverage": 0.2, "ev": 0.1})).limit(5)
+    w = Window.orderBy(F.desc("blended"), F.desc("ndcg"), F.desc("coverage"), F.desc("ev"), "config_id")  # five rows
+    return best.select("config_id", F.row_number().over(w).alias("place"))
