@@ -64,7 +64,7 @@ def labelled_samples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     texts = docs.join(F.broadcast(few), "doc_id").select(F.explode(F.split("text", r"[^A-Za-z+/_=-]+")).alias("token"))  # SAMPLE_DOCS bounds what is sent
     ordinary = texts.where("length(token) >= 4").select("token", F.lit(False).alias("random"))
-    fixed = spark.createDataFrame([(t, False) for t in IDENTIFIERS], "token string, random boolean")
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in IDENTIFIERS])).alias("token"), F.lit(False).alias("random"))
     return made.unionByName(ordinary).unionByName(fixed)
 
 
