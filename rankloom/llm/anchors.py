@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 SLAB = 1 << 20  # bytes of text that are hashed at a time
 BLOCK_DOCS = 4_000  # documents of a block, about
+BLOCK_BYTES = 16_000_000  # bytes of text of a block, about
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACE = 20  # bits of a position inside one minimum search
 KEY_BITS = 44
@@ -123,9 +124,15 @@ def slabs(ids: list, texts: list[bytes]):
         yield ids[lo:], texts[lo:]
 
 
+def block_count(docs: DataFrame) -> int:
+    """Blocks so that a block holds about BLOCK_DOCS documents and BLOCK_BYTES of text, whichever is less."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return max(6, -(-rows // BLOCK_DOCS), -(-(size or 0) // BLOCK_BYTES))
+
+
 def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs as (block, doc_id, text binary) and the number of blocks, which grows with the table."""
-    n = max(6, -(-docs.count() // BLOCK_DOCS))
+    n = block_count(docs)
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
     return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), n
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.anchors import BLOCK_DOCS, recurring, short_key, slabs, stretch_hashes, told
+from rankloom.llm.anchors import block_count, recurring, short_key, slabs, stretch_hashes, told
 from rankloom.llm.components import components
 from rankloom.llm.store import written
 from rankloom.llm.suffix_trees import word_bounds
@@ -101,7 +101,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "text"])
 
-    n = max(6, -(-docs.count() // BLOCK_DOCS))
+    n = block_count(docs)
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id binary, text binary")
     return named.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
 
