@@ -22,6 +22,7 @@ from rankloom.llm.anchors import Anchors, blocks, recurring, short_key, slabs, t
 from rankloom.llm.store import written
 
 GROUP_LIMIT = 200_000  # occurrences of one anchor that a task holds at once
+GATHERED = 1_000  # documents whose spans a task gathers before it gives them out
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 RUNS = "h long, cid long, run binary, block int, docs binary, places binary"
@@ -158,7 +159,7 @@ def _later_windows(runs: DataFrame, units: Units, solve: Callable, within: bool,
                 firsts[cid] = found
             for cid, _, block, docs, places in rows:
                 spans.add(firsts[cid], block, docs, places)
-            yield from spans.batches(20_000)
+            yield from spans.batches(GATHERED)
         yield from spans.batches()
 
     cold = runs.join(sent, "h", "left_anti") if n_hot else runs
@@ -183,7 +184,7 @@ def _later_windows(runs: DataFrame, units: Units, solve: Callable, within: bool,
         for batch in batches:
             for block, docs, places, firsts in zip(*[c.to_pylist() for c in batch.columns]):
                 spans.add([(f["d"], f["p"]) for f in firsts], block, docs, places)
-                yield from spans.batches(20_000)
+                yield from spans.batches(GATHERED)
         yield from spans.batches()
 
     large = runs.join(sent, "h", "left_semi").select("h", "cid", "run", "block", "docs", "places")
