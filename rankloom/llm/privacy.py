@@ -1,20 +1,18 @@
 """Operator 10 [native]: personal data and information-theoretic sanitisation.
 
 Base spans come from four fixed patterns; each value found is a protected entity.  Then
-corpus co-occurrence says how strongly the words around an entity reveal it: with
-N contexts (80 characters on either side of a match, equal contexts counted once),
-PMI(term; entity) = log2(N c(t, e) / (c(t) c(e))) is compared with the entity's own
-information log2(N / c(e)).  A term that is seen with the entity in at least
-`SUPPORT` different contexts and whose share of the information exceeds `DISCLOSURE`
-is a span of kind `term` wherever it stands beside that entity.
-
-c(t) is the number of documents that hold the term, over the whole table, and N the
-number of documents; so a word that is common anywhere reveals little.
-
-Defined cases: null texts count as empty; rows that share a doc_id get the spans of
-their own text for the base kinds and are not given terms of one another; repeated rows
-and copies add no evidence; empty tables give empty results; other columns are not
-read by `scan` and all stay in `sanitise`.
+corpus co-occurrence says how strongly a term reveals an entity.  With N texts, c(e) and
+c(t) of them holding the entity and the term, and c(t, e) both, the share of the term's
+texts that hold the entity is drawn towards the entity's own share by `PRIOR` texts:
+p(e | t) = (c(t, e) + PRIOR c(e) / N) / (c(t) + PRIOR), so that little evidence counts for
+little, yet entities that are seen once are judged as well.  The information that the
+term gives, PMI(t; e) = log2(p(e | t) N / c(e)), is compared with the entity's own,
+log2(N / c(e)); a term whose share of it exceeds `DISCLOSURE` is a span of kind `term`
+wherever it stands in a text that holds that entity.
+
+Defined cases: null texts count as empty; terms go by the text, so rows that share a
+doc_id each get the spans of their own text and copies get the same spans; empty tables
+give empty results; other columns are not read by `scan` and all stay in `sanitise`.
 """
 
 from __future__ import annotations
@@ -25,11 +23,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.spans import NONE, counted, none, replaced, spans, written_out
 from rankloom.llm.store import written
 
-SUPPORT = 3  # different contexts
 DISCLOSURE = 0.8  # share of the entity's information
-REACH = 80  # characters on either side
+PRIOR = 1.0  # texts
 LEAST_TERM = 4  # characters
-SENT_ROWS = 200_000
 
 # The patterns of the base kinds, in their order.  Look-behinds and
 # possessive groups change no match; they keep long runs linear.
@@ -39,6 +35,7 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 WORD = r"[^\x20\x09-\x0D.,;:!?()]+"
+BETWEEN = r"[\x20\x09-\x0D.,;:!?()]+"
 
 
 def digits(m: Column) -> Column:
@@ -71,54 +68,69 @@ def with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """A row per base span with words beside it: doc_id, entity, and the words' spans and texts on either side."""
-    few = rows.select("doc_id", "_text", F.explode_outer("_base").alias("b")).where("b is not null")
-    cut = lambda lo, n: F.substring("_text", lo.cast("int"), n.cast("int"))
-    start, end = F.col("b.start"), F.col("b.end")
-    left = F.greatest(start - REACH, F.lit(0))
-    few = few.select(
-        "doc_id",
-        F.xxhash64("b.kind", F.lower(cut(start + 1, end - start))).alias("entity"),
-        left.alias("left"),
-        end.alias("end"),
-        cut(left + 1, start - left).alias("before"),
-        cut(end + 1, F.lit(REACH)).alias("after"),
-    )
-    few = few.select("*", F.xxhash64("before", "after", "entity").alias("context"))
-    inside = lambda side, at: F.transform(spans(F.col(side), WORD, "term", 4, lambda m: F.length(m) >= LEAST_TERM), lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(F.substring(F.col(side), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))).alias("term")))
-    return few.select("doc_id", "entity", "context", F.concat(inside("before", F.col("left")), inside("after", F.col("end"))).alias("words"))
-
-
-def revealing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term): terms that disclose an entity."""
-    words = near.select("entity", "context", F.explode("words").alias("w")).select("entity", "context", F.col("w.term").alias("term"))
-    pairs = words.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = written(pairs, "pairs")
-    seen = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("ce"))
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if pairs.count() <= SENT_ROWS else terms
-    own = docs.select(F.array_distinct(F.split(F.lower(F.col("text")), r"[\x20\x09-\x0D.,;:!?()]+")).alias("_t")).select(F.explode_outer("_t").alias("term")).where("term is not null")
-    common = own.join(terms, "term").groupBy("term").agg(F.count("*").alias("ct"))
-    total = F.lit(float(max(2, docs.count())))
-    pmi = F.log2(total * F.col("both") / (F.greatest("ct", "both") * F.col("ce")))
-    return pairs.join(common, "term").join(seen, "entity").where(pmi > DISCLOSURE * F.log2(total / F.col("ce"))).select("entity", "term")
-
-
-def term_spans(docs: DataFrame) -> DataFrame:
-    """(_d: doc_id, _terms): spans of revealing terms."""
-    near = written(contexts(with_base(docs.select("doc_id", "text"), ["doc_id"])), "contexts")
-    reveal = revealing(docs, near)
-    beside = near.select("doc_id", "entity", F.explode("words").alias("w")).select("doc_id", "entity", "w.start", "w.end", F.col("w.term").alias("term"))
-    span = F.struct(F.col("start"), F.lit(4).alias("kind_at"), F.col("end"), F.lit("term").alias("kind"))
-    return beside.join(reveal, ["entity", "term"]).groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(span)).cast(NONE).alias("_terms"))
+def terms_of(text: Column) -> Column:
+    """The different words of a text that can be terms, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), BETWEEN)), lambda w: F.length(w) >= LEAST_TERM)
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, ct): texts that hold each term; the term "" stands for all texts."""
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    words = texts.select(F.explode_outer(F.concat(F.array(F.lit("")), terms_of(F.col("_text")))).alias("term"))
+    return written(words.groupBy("term").agg(F.count("*").alias("ct")), "terms")
+
+
+def private_texts(docs: DataFrame) -> DataFrame:
+    """(_h, entities, terms) of each different text with a base span."""
+    rows = with_base(docs.select("text"), []).where(F.size("_base") > 0).groupBy(F.md5(F.col("_text").cast("binary")).alias("_h")).agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
+    entity = lambda b: F.xxhash64(b["kind"], F.lower(F.substring("_text", b["start"].cast("int") + 1, (b["end"] - b["start"]).cast("int"))))
+    return written(rows.select("_h", F.array_distinct(F.transform("_base", entity)).alias("entities"), terms_of(F.col("_text")).alias("terms")), "private")
+
+
+def revealing(docs: DataFrame) -> DataFrame:
+    """(_h, _reveal): the terms of a text that disclose one of its entities."""
+    common, private = term_counts(docs), private_texts(docs)
+    total = F.lit(float(max([r["ct"] for r in common.where("term = ''").collect()], default=1)))
+    held = private.select("_h", F.explode_outer("entities").alias("entity")).where("entity is not null")
+    seen = held.groupBy("entity").agg(F.count("*").alias("ce"), F.min("_h").alias("home"))
+    # Entities of one text alone share all counts with each other, so one stands for all.
+    once = seen.where("ce = 1").groupBy("home").agg(F.min("entity").alias("entity")).select(F.col("home").alias("_h"), "entity", F.lit(1).cast("long").alias("ce"))
+    more = held.join(seen.where("ce > 1").select("entity", "ce"), "entity").select("_h", "entity", "ce")
+    judged = written(once.unionByName(more), "judged")
+    known = judged.groupBy("_h").agg(F.collect_list(F.struct("entity", "ce")).alias("known"))
+    words = private.join(known, "_h").select("_h", F.explode_outer("known").alias("k"), "terms").select("_h", "k.entity", "k.ce", F.explode_outer("terms").alias("term")).where("term is not null")
+    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("ce").alias("ce"))
+    share = (F.col("both") + PRIOR * F.col("ce") / total) / (F.col("ct") + PRIOR)
+    told = pairs.join(common, "term").where(F.log2(share * total / F.col("ce")) > DISCLOSURE * F.log2(total / F.col("ce"))).select("entity", "term")
+    return words.select("_h", "entity", "term").join(written(told, "told"), ["entity", "term"]).groupBy("_h").agg(F.collect_set("term").alias("_reveal"))
+
+
+def term_spans(text: Column, reveal: Column) -> Column:
+    """Spans of the words of a text that are in reveal, in any case of letters."""
+    pieces = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m.alias("m")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none().alias("found"))
+
+    def step(acc, p):
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["m"])
+        one = F.struct(start.alias("start"), F.lit(4).alias("kind_at"), end.alias("end"), F.lit("term").alias("kind"))
+        here = F.array_contains(reveal, F.lower(p["m"]))
+        return F.when(p["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(here, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found")))
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
 
 
 def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, _text, _base and all _spans; a term inside another span is not told again."""
-    rows = with_base(docs, keep).join(term_spans(docs), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    free = F.filter(F.coalesce("_terms", none()), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])) & (s["end"] <= F.length("_text")))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
+    """`keep`, _text, _base and all _spans; a term inside another span is not told again.
+
+    Only rows with base spans meet the terms, so the other texts are not moved.
+    """
+    rows = with_base(docs, keep)
+    held = rows.where(F.size("_base") > 0).withColumn("_h", F.md5(F.col("_text").cast("binary"))).join(revealing(docs), "_h", "left")
+    terms = F.when(F.col("_reveal").isNull(), none()).otherwise(term_spans(F.col("_text"), F.col("_reveal")))
+    free = F.filter(terms, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    kept = [*[F.col(f"`{c}`") for c in keep], "_text", "_base"]
+    return held.select(*kept, F.array_sort(F.concat("_base", free)).alias("_spans")).unionByName(rows.where(F.size("_base") == 0).select(*kept, F.col("_base").alias("_spans")))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -212,6 +212,25 @@ def test_privacy(spark, empty):
     assert privacy.scan(empty).count() == 0
 
 
+def private_rows() -> list[tuple[int, str]]:
+    far = "this text goes on about plain things of every other day for more than eighty characters "
+    rows = [(0, f"Quibblewick is the one. {far * 2}Write to once@ex.org about it"), (1, f"Vexmoor lives here. {far}Card of two@ex.org today"), (2, f"Vexmoor again, and {far}mail two@ex.org there")]
+    return rows + [(10 + i, f"{far}and so does number {i}, mail m{i}@ex.org") for i in range(3)] + [(100 + i, f"{far}as text number {i}") for i in range(194)]
+
+
+def terms_told(table) -> dict[int, set[str]]:
+    body = {r.doc_id: r.text for r in table.collect()}
+    cut = lambda i, s: body[i][int(s.split(":")[1]) : int(s.split(":")[2])].lower()
+    return {r.doc_id: {cut(r.doc_id, s) for s in r.spans.split(",") if s.startswith("term:")} for r in privacy.scan(table).collect()}
+
+
+def test_rare_entities_are_given_terms_anywhere_in_the_text(spark):
+    got = terms_told(spark.createDataFrame(private_rows(), "doc_id long, text string"))
+    assert got[0] == {"quibblewick", "write"}
+    assert "vexmoor" in got[1] and "vexmoor" in got[2]
+    assert not any(got[i] for i in range(100, 294)) and not any("plain" in terms for terms in got.values())
+
+
 def test_toxicity_learns_outside_the_held_out_third(spark, docs, empty):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("bcdfg") + rnd.choice("aeiou") for _ in range(3)) for _ in range(200)]
