@@ -1,9 +1,9 @@
 """Operator 10 [native]: personal data and information-theoretic sanitisation.
 
 Base spans come from four fixed patterns; each value found is a protected entity.  Then
-corpus co-occurrence says how strongly a term reveals an entity.  With N texts, c(e) and
-c(t) of them holding the entity and the term, and c(t, e) both, the share of the term's
-texts that hold the entity is drawn towards the entity's own share by `PRIOR` texts:
+corpus co-occurrence says how strongly a term reveals an entity.  With N different texts
+(copies count once, in all four counts), c(e) and c(t) of them holding the entity and the
+term, and c(t, e) both, the share of the term's texts that hold the entity is drawn towards the entity's own share by `PRIOR` texts:
 p(e | t) = (c(t, e) + PRIOR c(e) / N) / (c(t) + PRIOR), so that little evidence counts for
 little, yet entities that are seen once are judged as well.  The information that the
 term gives, PMI(t; e) = log2(p(e | t) N / c(e)), is compared with the entity's own,
@@ -74,8 +74,8 @@ def terms_of(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, ct): texts that hold each term; the term "" stands for all texts."""
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    """(term, ct): different texts that hold each term; the term "" stands for all texts."""
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text")).distinct()
     words = texts.select(F.explode_outer(F.concat(F.array(F.lit("")), terms_of(F.col("_text")))).alias("term"))
     return written(words.groupBy("term").agg(F.count("*").alias("ct")), "terms")
 

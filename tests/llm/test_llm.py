@@ -231,6 +231,15 @@ def test_rare_entities_are_given_terms_anywhere_in_the_text(spark):
     assert not any(got[i] for i in range(100, 294)) and not any("plain" in terms for terms in got.values())
 
 
+def test_copies_leave_the_terms_unchanged(spark):
+    rows = private_rows()
+    once = terms_told(spark.createDataFrame(rows, "doc_id long, text string"))
+    copied = [(1000 * k + i, t) for k in range(8) for i, t in rows]
+    copied += [(9000 + k, rows[0][1]) for k in range(60)]
+    got = terms_told(spark.createDataFrame(copied, "doc_id long, text string"))
+    assert once[0] and all(terms == once[0 if i >= 9000 else i % 1000] for i, terms in got.items())
+
+
 def test_toxicity_learns_outside_the_held_out_third(spark, docs, empty):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("bcdfg") + rnd.choice("aeiou") for _ in range(3)) for _ in range(200)]
