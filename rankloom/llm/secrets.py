@@ -3,9 +3,11 @@
 Base spans come from three fixed patterns.  Beside them, long tokens are scored by two
 first-order Markov models over characters, one of random strings and one of ordinary
 identifiers and words; a token whose log-likelihood ratio says "random" is a span of
-kind `markov`.  The models are trained from labelled samples: random strings made from
-digests, and ordinary words taken from at most `SAMPLE_DOCS` documents (those with the
-least hash of their id) together with a fixed list of identifiers.
+kind `markov`.  The models are trained from random strings made from digests, and from
+the words of all documents, digits kept and base spans taken out, together with a fixed
+list of identifiers and with decimal numbers.  The documents are not labelled and hold secrets of their own, which
+would pass for ordinary; so a first model of plain words (letters in one case) and the
+labelled negatives leaves out of the second those words that it takes for random.
 
 Defined cases: null texts count as empty and have no spans; rows are independent, so
 repeated rows each get theirs; empty tables give empty results; other columns are not
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.spans import counted, none, replaced, spans, written_out
+from rankloom.llm.store import written
 
-SAMPLE_DOCS = 1_000
 RANDOM_ROWS = 4_000
 LEAST_CHARS = 20
 BACK_OFF = 2.0
@@ -33,6 +35,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
+PLAIN = "^(?:[A-Z]?[a-z]+|[A-Z]+)$"
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}"
 
 # Ordinary identifiers, the labelled negatives beside the corpus's own words.
@@ -41,6 +44,8 @@ IDENTIFIERS = (
     "maximum_retry_attempts", "createOrReplaceTempView", "http-response-status-code", "background-color-transition", "application/x-www-form-urlencoded",
     "internationalization", "NullPointerException", "AbstractBeanFactoryAwareProcessor", "test_parse_returns_empty_list", "src/main/resources/application",
     "content-security-policy", "last_modified_timestamp", "ProductCategoryRepository", "customer_shipping_address", "requirements-development",
+    "quarterly-results-overview-2021", "2018-11-30T23-59-59-GMT", "/2017/08/25/another-blog-entry", "invoice_id_00098765432", "release-notes-v10-4-12",
+    "python3-numpy-1-26-4", "chapter_07_section_03", "2022-06-01", "20230914", "utf8mb4_general_ci", "windows-server-2016", "555-0100",
 )
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
@@ -56,26 +61,39 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def labelled_samples(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(token, random): the labelled strings that the models are trained on."""
+def random_strings(spark: SparkSession) -> DataFrame:
+    """(token, random, n): generated random strings."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    made = spark.range(RANDOM_ROWS).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, mixed).otherwise(F.upper(F.substring(mixed, 1, 24))).alias("token"), F.lit(True).alias("random"))
-    few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    texts = docs.join(F.broadcast(few), "doc_id").select(F.explode(F.split("text", r"[^A-Za-z+/_=-]+")).alias("token"))  # SAMPLE_DOCS bounds what is sent
-    ordinary = texts.where("length(token) >= 4").select("token", F.lit(False).alias("random"))
-    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in IDENTIFIERS])).alias("token"), F.lit(False).alias("random"))
-    return made.unionByName(ordinary).unionByName(fixed)
+    return spark.range(RANDOM_ROWS).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, mixed).otherwise(F.upper(F.substring(mixed, 1, 24))).alias("token"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
+
+
+def identifiers(spark: SparkSession) -> DataFrame:
+    """(token, random, n): the labelled negatives: fixed identifiers, and generated decimal numbers."""
+    number = F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string")
+    numbers = spark.range(RANDOM_ROWS).select(number.alias("token"), F.lit(False).alias("random"), F.lit(1).cast("long").alias("n"))
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in IDENTIFIERS])).alias("token"), F.lit(False).alias("random"), F.lit(1).cast("long").alias("n"))
+    return fixed.unionByName(numbers)
+
+
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """(token, random, n): the words of all documents outside base spans, with their numbers."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    bare = F.when(F.size("_base") == 0, F.col("_text")).otherwise(replaced(F.col("_text"), F.col("_base"), lambda kind: F.lit(" ")))
+    tokens = rows.select(F.explode_outer(F.split(bare, r"[^A-Za-z0-9+/_=-]+")).alias("token")).where("length(token) >= 4")
+    return tokens.groupBy("token").agg(F.count("*").alias("n")).select("token", F.lit(False).alias("random"), "n")
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each ordered pair of symbols, random over ordinary, as a flat table."""
     n = len(SYMBOLS)
-    at = samples.select("random", "token", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1)))).alias("i"))
-    at = at.select("random", F.instr(F.lit(SYMBOLS), F.col("token").substr(F.col("i"), F.lit(1))).alias("a"), F.instr(F.lit(SYMBOLS), F.col("token").substr(F.col("i") + 1, F.lit(1))).alias("b"))
+    chars = F.split("token", "")
+    beside = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    at = samples.select("random", "n", F.explode_outer(beside).alias("p")).select("random", "n", F.instr(F.lit(SYMBOLS), F.col("p.a")).alias("a"), F.instr(F.lit(SYMBOLS), F.col("p.b")).alias("b"))
     seen = {True: [[0.0] * n for _ in range(n)], False: [[0.0] * n for _ in range(n)]}
-    for r in at.where("a > 0 and b > 0").groupBy("random", "a", "b").count().collect():  # at most 2 * len(SYMBOLS) ** 2 rows
-        seen[r["random"]][r["a"] - 1][r["b"] - 1] += r["count"]
+    for r in at.where("a > 0 and b > 0").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 2 * len(SYMBOLS) ** 2 rows
+        seen[r["random"]][r["a"] - 1][r["b"] - 1] += r["n"]
 
     def model(rows: list[list[float]]) -> list[list[float]]:
         """Probabilities of the next symbol, backed off to the symbol's own share."""
@@ -107,14 +125,23 @@ def found(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
     weights = F.col("_table")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     rows = rows.withColumn("_table", F.array(*[F.lit(x) for x in table]))
-    random = spans(F.col("_text"), TOKEN, "markov", 3, lambda m: (ratio(m, weights) >= LEAST_RATIO) & (ratio(m, weights) >= F.length(m) * LEAST_MEAN))
+    random = spans(F.col("_text"), TOKEN, "markov", 3, lambda m: is_random(m, weights))
     rows = rows.withColumn("_more", F.when(F.col("_text").rlike(TOKEN), random).otherwise(none()))
     free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
 
 
+def is_random(token: Column, table: Column) -> Column:
+    return ratio(token, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(token) * LEAST_MEAN)
+
+
 def models(docs: DataFrame) -> list[float]:
-    return train(labelled_samples(docs.sparkSession, docs.select("doc_id", "text")))
+    spark = docs.sparkSession
+    labelled = random_strings(spark).unionByName(identifiers(spark))
+    words = written(ordinary_words(docs), "words")
+    first = train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN))))
+    table = F.array(*[F.lit(x) for x in first])
+    return train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN) | ~is_random(F.col("token"), table))))
 
 
 def scan(docs: DataFrame) -> DataFrame:

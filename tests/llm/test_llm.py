@@ -196,6 +196,25 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+ORDINARY = ["annual-report-summary-2024", "/2019/03/12/some-article-title", "2024-01-15T10-30-00-UTC", "order_number_00012345678", "4785380592391139", "20240115103000123456"]
+
+
+def beside_documents(spark, strings: list[str]):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    return table.unionByName(spark.createDataFrame([(-1 - i, f"see {t} here") for i, t in enumerate(strings)], "doc_id long, text string"))
+
+
+def test_ordinary_strings_with_digits_are_not_secrets(spark):
+    got = by_id(secrets.scan(beside_documents(spark, ORDINARY)))
+    assert {t: got[-1 - i].spans for i, t in enumerate(ORDINARY)} == dict.fromkeys(ORDINARY, "")
+
+
+def test_the_ordinary_model_counts_words_of_all_documents(spark):
+    table = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id, ' token=abcdefgh', id, ' word') AS text")
+    got = {r.token: r.n for r in secrets.ordinary_words(table).collect()}
+    assert got["word"] == 3000 and len(got) == 3001
+
+
 def test_privacy(spark, empty):
     near = ["alpha", "bravo", "delta", "gamma", "omega"]
     rows = [(i, f"{near[i]} {i}{i}{i} colleague Zorblax wrote jo@ex.org on day {near[i]}{i}") for i in range(5)]
