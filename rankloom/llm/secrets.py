@@ -1,13 +1,14 @@
 """Operator 9 [native]: secret scans with character Markov models.
 
-Base spans come from three fixed patterns.  Beside them, long tokens are scored by two
+Base spans come from three fixed patterns.  Beside them, tokens are scored by two
 first-order Markov models over characters, one of random strings and one of ordinary
 identifiers and words; a token whose log-likelihood ratio says "random" is a span of
 kind `markov`.  The models are trained from random strings made from digests, and from
 the words of all documents, digits kept and base spans taken out, together with a fixed
 list of identifiers and with decimal numbers.  The documents are not labelled and hold secrets of their own, which
 would pass for ordinary; so a first model of plain words (letters in one case) and the
-labelled negatives leaves out of the second those words that it takes for random.
+labelled negatives leaves out of the second those words that it takes for random.  The
+least ratio a character is what all but `MISSED` of held-out random strings reach.
 
 Defined cases: null texts count as empty and have no spans; rows are independent, so
 repeated rows each get theirs; empty tables give empty results; other columns are not
@@ -21,14 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.spans import counted, none, replaced, spans, written_out
+from rankloom.llm.spans import counted, kept_spans, none, replaced, spans, written_out
 from rankloom.llm.store import written
 
 RANDOM_ROWS = 4_000
-LEAST_CHARS = 20
+LEAST_CHARS = 8  # as in the assign pattern
 BACK_OFF = 2.0
 LEAST_RATIO = 8.0  # nats over the whole token
-LEAST_MEAN = 0.35  # nats a character
+LEAST_MEAN = 0.35  # nats a character, whatever the held-out strings say
+MISSED = 0.01  # share of held-out random strings
 
 # The patterns of the base kinds, in their order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,11 +63,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def random_strings(spark: SparkSession) -> DataFrame:
-    """(token, random, n): generated random strings."""
+def random_strings(spark: SparkSession, first: int = 0) -> DataFrame:
+    """(token, random, n): generated random strings, by RANDOM_ROWS ids from first on."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    return spark.range(RANDOM_ROWS).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, mixed).otherwise(F.upper(F.substring(mixed, 1, 24))).alias("token"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
+    return spark.range(first, first + RANDOM_ROWS).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, mixed).otherwise(F.upper(F.substring(mixed, 1, 24))).alias("token"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
 
 
 def identifiers(spark: SparkSession) -> DataFrame:
@@ -119,29 +121,39 @@ def ratio(token: Column, table: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
-def found(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
+def found(docs: DataFrame, model: tuple[list[float], float], keep: list[str]) -> DataFrame:
     """`keep`, _text, and the spans: _base, and _spans (base with markov)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    table, least = model
     weights = F.col("_table")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     rows = rows.withColumn("_table", F.array(*[F.lit(x) for x in table]))
-    random = spans(F.col("_text"), TOKEN, "markov", 3, lambda m: is_random(m, weights))
+    random = kept_spans(F.col("_text"), TOKEN, "markov", 3, lambda m: is_random(m, weights, least))
     rows = rows.withColumn("_more", F.when(F.col("_text").rlike(TOKEN), random).otherwise(none()))
     free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
 
 
-def is_random(token: Column, table: Column) -> Column:
-    return ratio(token, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(token) * LEAST_MEAN)
+def is_random(token: Column, table: Column, least: float) -> Column:
+    return ratio(token, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(token) * least)
 
 
-def models(docs: DataFrame) -> list[float]:
+def least_mean(spark: SparkSession, table: list[float]) -> float:
+    """The ratio a character that all but MISSED of random strings outside the training reach, LEAST_MEAN at least."""
+    held = random_strings(spark, RANDOM_ROWS).select(F.xxhash64("token").alias("x"), "token").select(F.substring(F.col("token"), F.lit(1), (F.pmod("x", F.lit(33)) + LEAST_CHARS).cast("int")).alias("token"))
+    mean = ratio(F.col("token"), F.array(*[F.lit(x) for x in table])) / F.length("token")
+    return max(LEAST_MEAN, held.agg(F.percentile(mean, F.lit(MISSED)).alias("q")).collect()[0]["q"])
+
+
+def models(docs: DataFrame) -> tuple[list[float], float]:
+    """The table of ratios, and the least ratio a character."""
     spark = docs.sparkSession
     labelled = random_strings(spark).unionByName(identifiers(spark))
-    words = written(ordinary_words(docs), "words")
+    words = written(ordinary_words(docs.select("text")), "words")
     first = train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN))))
     table = F.array(*[F.lit(x) for x in first])
-    return train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN) | ~is_random(F.col("token"), table))))
+    second = train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN) | ~is_random(F.col("token"), table, least_mean(spark, first)))))
+    return second, least_mean(spark, second)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,20 @@ def spans(text: Column, pattern: str, kind: str, kind_at: int, keep) -> Column:
     return F.transform(F.filter(found, lambda s: keep(s["m"])), lambda s: F.struct(s["start"], s["kind_at"], s["end"], s["kind"]))
 
 
+def kept_spans(text: Column, pattern: str, kind: str, kind_at: int, keep) -> Column:
+    """As spans, for patterns that match often and are seldom kept: matches are judged as they are met, and only the kept are gathered."""
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m.alias("m"), (m.isNotNull() & keep(m)).alias("keep")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none().alias("found"))
+
+    def step(acc, p):
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["m"])
+        one = F.struct(start.alias("start"), F.lit(kind_at).alias("kind_at"), end.alias("end"), F.lit(kind).alias("kind"))
+        return F.when(p["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(p["keep"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found")))
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+
+
 def counted(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 

@@ -209,6 +209,14 @@ def test_ordinary_strings_with_digits_are_not_secrets(spark):
     assert {t: got[-1 - i].spans for i, t in enumerate(ORDINARY)} == dict.fromkeys(ORDINARY, "")
 
 
+def test_short_random_tokens_are_secrets(spark):
+    short = ["q7ZpX2vT9kLmB4wRc", "kX9vQ2mZ7pLr4TbW", "Zq8vW2xK1n", "x7Kq9ZtP"]
+    plain = [*ORDINARY, "AbstractUserServiceFactory2", "4785380592391139", "2022-06-01", "internationalization"]
+    got = by_id(secrets.scan(beside_documents(spark, short + plain)))
+    assert [got[-1 - i].spans for i in range(len(short))] == [f"markov:4:{4 + len(t)}" for t in short]
+    assert {t: got[-1 - len(short) - i].spans for i, t in enumerate(plain)} == dict.fromkeys(plain, "")
+
+
 def test_the_ordinary_model_counts_words_of_all_documents(spark):
     table = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id, ' token=abcdefgh', id, ' word') AS text")
     got = {r.token: r.n for r in secrets.ordinary_words(table).collect()}
