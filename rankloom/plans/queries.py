@@ -422,11 +422,13 @@ def event_counts(spark, sf_dir):
     return ingest.event_counts(table(spark, sf_dir, "events"))
 
 
+def _links(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("source"), F.floor(F.col("n_nationkey") / 2).cast("string").alias("target"))
+
+
 @query("""SELECT DISTINCT CAST(c AS VARCHAR) AS url, CAST(depth AS INT) AS depth FROM (SELECT unnest([10, 5, 2, 1, 0]) AS c, unnest([0, 1, 2, 3, 4]) AS depth) WHERE c > 0 OR depth = 4""")
 def src_07_crawl(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").where("n_nationkey <= 10")
-    links = nodes.select(F.col("n_nationkey").cast("string").alias("source"), F.floor(F.col("n_nationkey") / 2).cast("string").alias("target"))
-    return records.crawl(links, nodes.where("n_nationkey = 10").select(F.col("n_nationkey").cast("string").alias("url")), 5)
+    return records.crawl(_links(spark, sf_dir), table(spark, sf_dir, "nation").where("n_nationkey = 10").select(F.col("n_nationkey").cast("string").alias("url")), 5)
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS source_id, concat('Award ', event_type, ' & more') AS title, CAST(event_id % 7000 AS DOUBLE) AS amount_min, CAST(7000 + event_id % 7000 AS DOUBLE) AS amount_max, strftime(ts, '%Y-%m-%d') AS deadline FROM events""")

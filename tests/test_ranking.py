@@ -136,3 +136,11 @@ def test_ranking_does_not_depend_on_partitions(spark, partitions):
     assert got[0][1] == 1 and len(got) == 10
     test_ranking_does_not_depend_on_partitions.seen = getattr(test_ranking_does_not_depend_on_partitions, "seen", got)
     assert got == test_ranking_does_not_depend_on_partitions.seen
+
+
+def test_crawl_links_cover_all_of_nation(spark):
+    from rankloom.plans import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert queries._links(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/nation.parquet").count() > 11
+    assert {(r.url, r.depth) for r in queries.src_07_crawl(spark, sf_dir).collect()} == {("10", 0), ("5", 1), ("2", 2), ("1", 3), ("0", 4)}
