@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.spans import NONE, counted, none, replaced, spans, written_out
+from rankloom.llm.spans import counted, fresh, let, masked, none, replaced, spans, written_out
 from rankloom.llm.store import written
 
 DISCLOSURE = 0.8  # share of the entity's information
 PRIOR = 1.0  # texts
 LEAST_TERM = 4  # characters
+SLOTS = 64  # of the table in which a text's words look up the revealing ones
 
 # The patterns of the base kinds, in their order.  Look-behinds and
 # possessive groups change no match; they keep long runs linear.
@@ -64,10 +65,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-
-
 def terms_of(text: Column) -> Column:
     """The different words of a text that can be terms, in lower case."""
     return F.filter(F.array_distinct(F.split(F.lower(text), BETWEEN)), lambda w: F.length(w) >= LEAST_TERM)
@@ -82,7 +79,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def private_texts(docs: DataFrame) -> DataFrame:
     """(_h, entities, terms) of each different text with a base span."""
-    rows = with_base(docs.select("text"), []).where(F.size("_base") > 0).groupBy(F.md5(F.col("_text").cast("binary")).alias("_h")).agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0).groupBy(F.md5(F.col("_text").cast("binary")).alias("_h")).agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
     entity = lambda b: F.xxhash64(b["kind"], F.lower(F.substring("_text", b["start"].cast("int") + 1, (b["end"] - b["start"]).cast("int"))))
     return written(rows.select("_h", F.array_distinct(F.transform("_base", entity)).alias("entities"), terms_of(F.col("_text")).alias("terms")), "private")
 
@@ -107,44 +104,42 @@ def revealing(docs: DataFrame) -> DataFrame:
 
 def term_spans(text: Column, reveal: Column) -> Column:
     """Spans of the words of a text that are in reveal, in any case of letters."""
-    pieces = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none().alias("found"))
-
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["m"])
-        one = F.struct(start.alias("start"), F.lit(4).alias("kind_at"), end.alias("end"), F.lit("term").alias("kind"))
-        here = F.array_contains(reveal, F.lower(p["m"]))
-        return F.when(p["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(here, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found")))
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")  # noqa: E731  a word is looked up among those of its slot
+    table = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter(reveal, lambda w: slot(w) == i))
+    return let(table, lambda t: spans(text, WORD, "term", 4, lambda m: F.array_contains(F.get(t, slot(F.lower(m))), F.lower(m))))
 
 
-def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, _text, _base and all _spans; a term inside another span is not told again.
+def found(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """`keep`, and three columns beside: text, base spans, and all spans; the names of the three.
 
-    Only rows with base spans meet the terms, so the other texts are not moved.
+    Terms are looked for in what the base spans leave.  Only rows with base spans meet
+    the terms, so the other texts are not moved.
     """
-    rows = with_base(docs, keep)
-    held = rows.where(F.size("_base") > 0).withColumn("_h", F.md5(F.col("_text").cast("binary"))).join(revealing(docs), "_h", "left")
-    terms = F.when(F.col("_reveal").isNull(), none()).otherwise(term_spans(F.col("_text"), F.col("_reveal")))
-    free = F.filter(terms, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    kept = [*[F.col(f"`{c}`") for c in keep], "_text", "_base"]
-    return held.select(*kept, F.array_sort(F.concat("_base", free)).alias("_spans")).unionByName(rows.where(F.size("_base") == 0).select(*kept, F.col("_base").alias("_spans")))
+    text, base, every, digest, own = fresh(keep, "_text", "_base", "_spans", "_digest", "_own")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text)))
+    told = revealing(docs).withColumnsRenamed({"_h": digest, "_reveal": own})
+    held = rows.where(F.size(base) > 0).withColumn(digest, F.md5(F.col(text).cast("binary"))).join(told, digest, "left")
+    terms = F.when(F.col(own).isNull(), none()).otherwise(term_spans(masked(F.col(text), F.col(base)), F.col(own)))
+    kept = [*[F.col(f"`{c}`") for c in keep], F.col(text), F.col(base)]
+    both = held.select(*kept, F.array_sort(F.concat(base, terms)).alias(every))
+    return both.unionByName(rows.where(F.size(base) == 0).select(*kept, F.col(base).alias(every))), [text, base, every]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, digest of the base and all spans of every row of docs."""
-    return found(docs.select("doc_id", "text"), ["doc_id"]).select(
+    rows, (_, base, every) = found(docs.select("doc_id", "text"), ["doc_id"])
+    return rows.select(
         "doc_id",
-        *[counted(F.col("_base"), k).alias(f"n_{k}") for k in KINDS[:4]],
-        F.sha2(written_out(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
-        written_out(F.col("_spans")).alias("spans"),
+        *[counted(F.col(base), k).alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(written_out(F.col(base)).cast("binary"), 256).alias("base_sha256"),
+        written_out(F.col(every)).alias("spans"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with personal data generalised to its kind, as [EMAIL], and revealing terms removed, as [TERM]."""
-    rows = found(docs, docs.columns)
-    clean = F.when(F.col("text").isNull() | (F.size("_spans") == 0), F.col("text")).otherwise(replaced(F.col("_text"), F.col("_spans"), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
-    return rows.withColumn("_clean", clean).select(*[(F.col("_clean").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    """docs with personal data generalised to its kind, as [EMAIL], and revealing terms removed, as [TERM]; null texts stay null."""
+    rows, (text, _, every) = found(docs, docs.columns)
+    (clean,) = fresh(rows.columns, "_clean")
+    changed = F.col("text").isNotNull() & (F.size(every) > 0)
+    rows = rows.withColumn(clean, F.when(changed, replaced(F.col(text), F.col(every), lambda kind, n: F.concat(F.lit("["), F.upper(kind), F.lit("]")))))
+    return rows.select(*[(F.coalesce(clean, "text").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.spans import counted, kept_spans, none, replaced, spans, written_out
+from rankloom.llm.spans import counted, fresh, masked, none, replaced, spans, written_out
 from rankloom.llm.store import written
 
 RANDOM_ROWS = 4_000
@@ -80,10 +80,8 @@ def identifiers(spark: SparkSession) -> DataFrame:
 
 def ordinary_words(docs: DataFrame) -> DataFrame:
     """(token, random, n): the words of all documents outside base spans, with their numbers."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    bare = F.when(F.size("_base") == 0, F.col("_text")).otherwise(replaced(F.col("_text"), F.col("_base"), lambda kind: F.lit(" ")))
-    tokens = rows.select(F.explode_outer(F.split(bare, r"[^A-Za-z0-9+/_=-]+")).alias("token")).where("length(token) >= 4")
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    tokens = rows.select(F.explode_outer(F.split(masked(F.col("_text"), F.col("_base")), r"[^A-Za-z0-9+/_=-]+")).alias("token")).where("length(token) >= 4")
     return tokens.groupBy("token").agg(F.count("*").alias("n")).select("token", F.lit(False).alias("random"), "n")
 
 
@@ -108,6 +106,11 @@ def train(samples: DataFrame) -> list[float]:
     return table
 
 
+def as_array(table: list[float]) -> Column:
+    """The table as one constant, however long."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+
+
 def ratio(token: Column, table: Column) -> Column:
     """The log-likelihood ratio of a token's characters."""
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
@@ -121,17 +124,18 @@ def ratio(token: Column, table: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
-def found(docs: DataFrame, model: tuple[list[float], float], keep: list[str]) -> DataFrame:
-    """`keep`, _text, and the spans: _base, and _spans (base with markov)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def found(docs: DataFrame, model: tuple[list[float], float], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """`keep`, and three columns beside: text, base spans, and all spans; the names of the three.
+
+    Tokens are looked for in what the base spans leave.
+    """
     table, least = model
-    weights = F.col("_table")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.withColumn("_table", F.array(*[F.lit(x) for x in table]))
-    random = kept_spans(F.col("_text"), TOKEN, "markov", 3, lambda m: is_random(m, weights, least))
-    rows = rows.withColumn("_more", F.when(F.col("_text").rlike(TOKEN), random).otherwise(none()))
-    free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "_base", F.array_sort(F.concat("_base", free)).alias("_spans"))
+    text, base, every = names = fresh(keep, "_text", "_base", "_spans")
+    weights = as_array(table)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias(text)).withColumn(base, base_spans(F.col(text)))
+    random = spans(masked(F.col(text), F.col(base)), TOKEN, "markov", 3, lambda m: is_random(m, weights, least))
+    more = F.when(F.col(text).rlike(TOKEN), random).otherwise(none())
+    return rows.withColumn(every, F.array_sort(F.concat(base, more))), names
 
 
 def is_random(token: Column, table: Column, least: float) -> Column:
@@ -141,7 +145,7 @@ def is_random(token: Column, table: Column, least: float) -> Column:
 def least_mean(spark: SparkSession, table: list[float]) -> float:
     """The ratio a character that all but MISSED of random strings outside the training reach, LEAST_MEAN at least."""
     held = random_strings(spark, RANDOM_ROWS).select(F.xxhash64("token").alias("x"), "token").select(F.substring(F.col("token"), F.lit(1), (F.pmod("x", F.lit(33)) + LEAST_CHARS).cast("int")).alias("token"))
-    mean = ratio(F.col("token"), F.array(*[F.lit(x) for x in table])) / F.length("token")
+    mean = ratio(F.col("token"), as_array(table)) / F.length("token")
     return max(LEAST_MEAN, held.agg(F.percentile(mean, F.lit(MISSED)).alias("q")).collect()[0]["q"])
 
 
@@ -151,26 +155,29 @@ def models(docs: DataFrame) -> tuple[list[float], float]:
     labelled = random_strings(spark).unionByName(identifiers(spark))
     words = written(ordinary_words(docs.select("text")), "words")
     first = train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN))))
-    table = F.array(*[F.lit(x) for x in first])
+    table = as_array(first)
     second = train(labelled.unionByName(words.where(F.col("token").rlike(PLAIN) | ~is_random(F.col("token"), table, least_mean(spark, first)))))
     return second, least_mean(spark, second)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, digest of the base and all spans of every row of docs."""
-    rows = found(docs.select("doc_id", "text"), models(docs), ["doc_id"])
+    rows, (_, base, every) = found(docs.select("doc_id", "text"), models(docs), ["doc_id"])
     return rows.select(
         "doc_id",
-        *[counted(F.col("_base"), k).alias(f"n_{k}") for k in KINDS[:3]],
-        F.sha2(written_out(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
-        written_out(F.col("_spans")).alias("spans"),
+        *[counted(F.col(base), k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(written_out(F.col(base)).cast("binary"), 256).alias("base_sha256"),
+        written_out(F.col(every)).alias("spans"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every secret replaced by [SECRET] and n_chars counted anew; null texts stay null."""
-    rows = found(docs, models(docs), docs.columns)
-    clean = F.when(F.col("text").isNull(), F.col("text")).when(F.size("_spans") == 0, F.col("text")).otherwise(replaced(F.col("_text"), F.col("_spans"), lambda kind: F.lit("[SECRET]")))
-    rows = rows.withColumn("_clean", clean)
-    out = {"text": F.col("_clean"), "n_chars": F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("_clean")}
+    """docs with every secret replaced by [SECRET] and n_chars, where there is one, counted anew; null texts stay null."""
+    rows, (text, _, every) = found(docs, models(docs), docs.columns)
+    (clean,) = fresh(rows.columns, "_clean")
+    changed = F.col("text").isNotNull() & (F.size(every) > 0)
+    rows = rows.withColumn(clean, F.when(changed, replaced(F.col(text), F.col(every), lambda kind, n: F.lit("[SECRET]"))))
+    out = {"text": F.coalesce(clean, "text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.coalesce(F.length(clean).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     return rows.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -322,3 +322,68 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
         assert now.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] == sizes[5]
     assert now.where(F.col("text").rlike("AKIA[A-Z0-9]{12}")).count() == 0
+
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def brute_secrets(t: str) -> list[tuple]:
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m.group(1)) >= 8]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m.group()) >= 32]
+    return sorted(found)
+
+
+def luhn(digits: str) -> bool:
+    each = [int(c) if i % 2 == 0 else int(c) * 2 - (9 if int(c) > 4 else 0) for i, c in enumerate(reversed(digits))]
+    return sum(each) % 10 == 0
+
+
+def brute_private(t: str) -> list[tuple]:
+    bare = lambda x: re.sub("[^0-9]", "", x)
+    found = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    found += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(bare(m.group())) <= 19 and luhn(bare(m.group()))]
+    found += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(bare(m.group())) <= 15]
+    return sorted(found)
+
+
+def random_texts(seed: int, parts: list[str], n: int) -> list[str]:
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "module, brute, parts",
+    [
+        (secrets, brute_secrets, ["password", "Token", "api_key", "apikey", "secret", " ", "=", ": ", '"', "'", "AKIA", "ABCDEFGHIJKL1234", "0123456789abcdef", "deadbeef" * 4, "x", "é", "/", ".", "\n", "hunter2hunter2"]),
+        (privacy, brute_private, ["a@b.co", "jo", "@", ".", "example", ".org", "1", "12", "255", "256", "4111 1111 1111 1111", "4111-1111", "-", " ", "+", "+1 (234) 567-8901", "(", ")", "é", "\n", "10.0.0.1", "007", "%"]),
+    ],
+)
+def test_base_spans_equal_brute_force(spark, module, brute, parts):
+    rows = random_texts(5, parts, 1500)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").select("doc_id", "text", module.base_spans(F.col("text")).alias("b"))
+    for r in table.collect():
+        assert [tuple(s) for s in r.b] == brute(r.text), r.text
+
+
+def test_very_many_matches_in_one_text(spark):
+    mails = " ".join(f"user{i}@mail{i % 7}.example.com filler" for i in range(16_000))
+    keys = " ".join(f"q7ZpX2v{i}T9kLmB4wRc" for i in range(16_000))
+    table = spark.createDataFrame([(1, mails), (2, keys), (3, "é" * 3_000 + " a@b.co " + "ü" * 3_000)], "doc_id long, text string")
+    private, secret = by_id(privacy.scan(table)), by_id(secrets.scan(table))
+    assert private[1].n_email == 16_000 and secret[2].spans.count("markov:") == 16_000 and private[3].spans.split(",")[0] == "email:3001:3007"
+    clean, bare = by_id(privacy.sanitise(table)), by_id(secrets.redact(table))
+    assert clean[1].text.count("[EMAIL]") == 16_000 and "@" not in clean[1].text and bare[2].text == " ".join(["[SECRET]"] * 16_000)
+
+
+def test_clashing_names_repeated_and_null_ids_in_scans(spark):
+    schema = "doc_id long, text string, _base string, _spans string, _text string, _clean string, _table string, _own string, _digest string, _h string"
+    rows = [(1, "mail a@b.co and token=abcdefgh1", *"stuvwxyz"), (1, "plain words of no one at all", *"stuvwxyz"), (None, "mail a@b.co and token=abcdefgh1", *"stuvwxyz"), (None, None, *"stuvwxyz")]
+    table = spark.createDataFrame(rows, schema)
+    for module, clean in ((secrets, secrets.redact), (privacy, privacy.sanitise)):
+        out = clean(table)
+        assert out.columns == table.columns and out.count() == 4
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple("stuvwxyz")}
+        spans = {(r.doc_id, r.spans) for r in module.scan(table).collect()}
+        assert (1, "") in spans and (None, "") in spans and len(spans) == 4
