@@ -3,6 +3,14 @@
 The steps are told in anchors.py.  What differs between the operators is given by
 `Units` (how a text becomes units, and a run becomes bytes) and by the function that
 finds, inside one group of runs with the same anchor, where each window occurs first.
+
+An anchor is the shortest prefix by which suffixes are dealt out.  A group of more than
+`CHUNK_BYTES` is dealt out further, to chunks of about that many bytes; each chunk is
+solved like a whole group, and the firsts of its windows are then met with those that
+other chunks of the group have for the same window (by 128-bit digests).
+
+Inside a block a row is known by its number among the block's different (doc_id, text),
+so rows that share a doc_id, or have none, keep their own spans.
 """
 
 from __future__ import annotations
@@ -21,12 +29,12 @@ from pyspark.sql import types as T
 from rankloom.llm.anchors import Anchors, blocks, recurring, short_key, slabs, told
 from rankloom.llm.store import written
 
-GROUP_LIMIT = 200_000  # occurrences of one anchor that a task holds at once
+CHUNK_BYTES = 1 << 19  # bytes of runs and of their occurrences that are solved at once
 GATHERED = 1_000  # documents whose spans a task gathers before it gives them out
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
-RUNS = "h long, cid long, run binary, block int, docs binary, places binary"
-SPANS = "block int, doc long, spans binary"
+RUNS = "h long, cid long, run binary, block int, docs binary, rows binary, places binary"
+SPANS = "block int, row int, spans binary"
 
 
 class Units:
@@ -54,6 +62,12 @@ def table_of(schema: str, columns: list) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(names, columns)})
 
 
+def _numbered(docs: pa.Table) -> tuple[list[tuple], list[tuple]]:
+    """(every row as (id, text), the different ones in order): a row's number is its place in the second."""
+    rows = [(LAST if i is None else i, t) for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())]
+    return rows, sorted(set(rows))
+
+
 def _runs_of(units: Units):
     def keys_of(ids, texts):
         for _, part in slabs(ids, texts):
@@ -62,17 +76,15 @@ def _runs_of(units: Units):
 
     def runs(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return table_of(RUNS, [[]] * 6)
+            return table_of(RUNS, [[]] * 7)
         block = docs.column("block")[0].as_py()
-        ids = [LAST if i is None else i for i in docs.column("doc_id").to_pylist()]
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        texts = docs.column("text").to_pylist()
-        ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+        _, rows = _numbered(docs)
+        numbers, texts = list(range(len(rows))), [t for _, t in rows]
         recurs = told(flags)
-        found = list(keys_of(ids, texts))
+        found = list(keys_of(numbers, texts))
         every = np.unique(short_key(np.concatenate(found))) if found else np.zeros(0, np.uint64)
         out: dict[tuple, tuple] = {}
-        for part_ids, part in slabs(ids, texts):
+        for own_rows, part in slabs(numbers, texts):
             grams, starts, own = units.cut(part)
             a = Anchors(grams, starts, units.k, units.length)
             hit = np.flatnonzero(recurs[np.searchsorted(every, short_key(a.key))])
@@ -83,47 +95,47 @@ def _runs_of(units: Units):
                 name = (key, run, at - lo)
                 seen = out.get(name)
                 if seen is None:
-                    out[name] = ([part_ids[d]], [place])
+                    out[name] = ([own_rows[d]], [place])
                 else:
-                    seen[0].append(part_ids[d])
+                    seen[0].append(own_rows[d])
                     seen[1].append(place)
-        rows = [
-            (key, struct.unpack("<q", hashlib.blake2b(run + off.to_bytes(4, "little"), digest_size=8).digest())[0], run, block, array("q", own).tobytes(), array("i", places).tobytes())
+        given = [
+            (key, struct.unpack("<q", hashlib.blake2b(run + off.to_bytes(4, "little"), digest_size=8).digest())[0], run, block, array("q", [rows[r][0] for r in own]).tobytes(), array("i", own).tobytes(), array("i", places).tobytes())
             for (key, run, off), (own, places) in out.items()
         ]
-        return table_of(RUNS, list(zip(*rows)) if rows else [[]] * 6)
+        return table_of(RUNS, list(zip(*given)) if given else [[]] * 7)
 
     return keys_of, runs
 
 
-def _groups(batches):
-    """Rows of one h after another out of batches sorted by h."""
+def _groups(batches, n_keys: int):
+    """(key, rows) of one key after another out of batches sorted by their first n_keys columns."""
     now, rows = None, []
     for batch in batches:
-        for h, *row in zip(*[c.to_pylist() for c in batch.columns]):
-            if h != now and rows:
-                yield rows
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:n_keys] != now and rows:
+                yield now, rows
                 rows = []
-            now = h
-            rows.append(row)
+            now = row[:n_keys]
+            rows.append(row[n_keys:])
     if rows:
-        yield rows
+        yield now, rows
 
 
 class _Spans:
-    """Spans gathered by block and document, given out as batches."""
+    """Spans gathered by block and row, given out as batches."""
 
     def __init__(self, within: bool):
         self.within, self.found = within, {}
 
-    def add(self, firsts: list[tuple], block: int, docs: bytes, places: bytes) -> None:
-        """firsts: first (doc, place) of each window of a run; docs and places: where the run stands."""
+    def add(self, firsts: list[tuple], block: int, docs: bytes, rows: bytes, places: bytes) -> None:
+        """firsts: first (doc, place) of each window of a run; docs, rows and places: where the run stands."""
         least = min(f[0] for f in firsts)
-        for doc, at in zip(array("q", docs), array("i", places)):
+        for doc, row, at in zip(array("q", docs), array("i", rows), array("i", places)):
             if least > doc or least == doc and not self.within:
                 continue
             lo = -1
-            out = self.found.setdefault((block, doc), array("i"))
+            out = self.found.setdefault((block, row), array("i"))
             for o, (d, p) in enumerate(firsts):
                 if d < doc or self.within and d == doc and p < at + o:
                     lo = o if lo < 0 else lo
@@ -135,68 +147,72 @@ class _Spans:
 
     def batches(self, least: int = 0):
         if len(self.found) > least:
-            rows = [(block, doc, spans.tobytes()) for (block, doc), spans in self.found.items() if spans]
+            rows = [(block, row, spans.tobytes()) for (block, row), spans in self.found.items() if spans]
             self.found = {}
             yield from table_of(SPANS, list(zip(*rows)) if rows else [[]] * 3).to_batches()
 
 
-def _later_windows(runs: DataFrame, units: Units, solve: Callable, within: bool, group_limit: int) -> DataFrame:
-    """SPANS: the windows of each document that also start earlier."""
-    hot = runs.groupBy("h").agg(F.sum(F.octet_length("docs") / 8).alias("n")).where(F.col("n") > group_limit).select("h")
-    hot = written(hot, "hot")
-    n_hot = hot.count()
-    sent = F.broadcast(hot) if n_hot <= 100_000 else hot
+def _firsts(rows: list[tuple], solve: Callable) -> dict[int, tuple]:
+    """{cid: (run, first (doc, place) of each of its windows)} of the rows of a group or chunk."""
+    runs: dict[int, list] = {}
+    for cid, run, _, docs, _, places in rows:
+        own = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
+        got = runs.setdefault(cid, [run, own])
+        got[1] = min(got[1], own)
+    return {cid: (runs[cid][0], found) for cid, found in zip(runs, solve([(run, own) for run, own in runs.values()]))}
+
+
+def _digest(window: bytes) -> bytes:
+    return hashlib.blake2b(window, digest_size=16).digest()
+
+
+def _later_windows(runs: DataFrame, units: Units, solve: Callable, within: bool, chunk_bytes: int) -> DataFrame:
+    """SPANS: the windows of each row that also start earlier."""
+    size = F.octet_length("run") + F.octet_length("docs") + F.octet_length("rows") + F.octet_length("places")
+    large = runs.groupBy("h").agg(F.sum(size).alias("n")).where(F.col("n") > chunk_bytes).select("h", F.ceil(F.col("n") / chunk_bytes).alias("k"))
+    large = written(large, "large")
+    n_large = large.count()
+    sent = F.broadcast(large) if n_large <= 100_000 else large
 
     def solved(batches):
         spans = _Spans(within)
-        for rows in _groups(batches):
-            firsts: dict[int, list] = {}  # run -> its bytes and its own first occurrence
-            for cid, run, _, docs, places in rows:
-                own = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
-                got = firsts.setdefault(cid, [run, own])
-                got[1] = min(got[1], own)
-            for cid, found in zip(firsts, solve([(run, own) for run, own in firsts.values()])):
-                firsts[cid] = found
-            for cid, _, block, docs, places in rows:
-                spans.add(firsts[cid], block, docs, places)
+        for _, rows in _groups(batches, 1):
+            firsts = _firsts(rows, solve)
+            for cid, _, *where in rows:
+                spans.add(firsts[cid][1], *where)
             yield from spans.batches(GATHERED)
         yield from spans.batches()
 
-    cold = runs.join(sent, "h", "left_anti") if n_hot else runs
-    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(solved, SPANS)
-    if not n_hot:
+    whole = runs.join(sent, "h", "left_anti") if n_large else runs
+    out = whole.repartition("h").sortWithinPartitions("h").mapInArrow(solved, SPANS)
+    if not n_large:
         return out
 
-    # A group over the limit is split by the longest prefix, the whole window.
-    schema = "h long, cid long, o int, w binary, d long, p long"
-
     def windows(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                rows = []
-                for h, cid, run, _, docs, places in zip(*[c.to_pylist() for c in batch.slice(lo, 200).columns]):
-                    d, p = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
-                    rows += [(h, cid, o, hashlib.blake2b(w, digest_size=16).digest(), d, p + o) for o, w in enumerate(units.windows(run))]
-                yield from table_of(schema, list(zip(*rows))).to_batches()
-
-    def placed(batches):
+        for (h, chunk), rows in _groups(batches, 2):
+            least = {_digest(w): f for run, found in _firsts(rows, solve).values() for w, f in zip(units.windows(run), found)}
+            yield from table_of("h long, chunk int, w binary, d long, p long", list(zip(*[(h, chunk, w, d, p) for w, (d, p) in least.items()]))).to_batches()
+
+    def met(rows: pa.Table, others: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return table_of(SPANS, [[]] * 3)
+        least = dict(zip(others.column("w").to_pylist(), zip(others.column("d").to_pylist(), others.column("p").to_pylist())))
+        rows = list(zip(*[rows.column(c).to_pylist() for c in ("cid", "run", "block", "docs", "rows", "places")]))
+        firsts = {cid: [min(f, least.get(_digest(w), f)) for w, f in zip(units.windows(run), found)] for cid, (run, found) in _firsts(rows, solve).items()}
         spans = _Spans(within)
-        for batch in batches:
-            for block, docs, places, firsts in zip(*[c.to_pylist() for c in batch.columns]):
-                spans.add([(f["d"], f["p"]) for f in firsts], block, docs, places)
-                yield from spans.batches(GATHERED)
-        yield from spans.batches()
+        for cid, _, *where in rows:
+            spans.add(firsts[cid], *where)
+        return pa.Table.from_batches(list(spans.batches())) if spans.found else table_of(SPANS, [[]] * 3)
 
-    large = runs.join(sent, "h", "left_semi").select("h", "cid", "run", "block", "docs", "places")
-    split = large.mapInArrow(windows, schema)
-    least = split.groupBy("h", "w").agg(F.min(F.struct("d", "p")).alias("f"))
-    one = split.select("h", "cid", "o", "w").distinct().join(least, ["h", "w"])
-    whole = one.groupBy("h", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "f"))), lambda x: x["f"]).alias("firsts"))
-    return out.unionByName(large.join(whole, ["h", "cid"]).select("block", "docs", "places", "firsts").mapInArrow(placed, SPANS))
+    chunked = runs.join(sent, "h").select("h", F.pmod("cid", "k").cast("int").alias("chunk"), "cid", "run", "block", "docs", "rows", "places")
+    split = written(chunked.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(windows, "h long, chunk int, w binary, d long, p long"), "windows")
+    shared = split.groupBy("h", "w").agg(F.min(F.struct("d", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "w", "f.d", "f.p")
+    others = split.select("h", "chunk", "w").join(shared, ["h", "w"])
+    return out.unionByName(chunked.groupBy("h", "chunk").cogroup(others.groupBy("h", "chunk")).applyInArrow(met, SPANS))
 
 
-def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: bool, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, SPANS): windows of each document that also start earlier.
+def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: bool, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents, SPANS): windows of each row that also start earlier.
 
     Earlier means in a document with a smaller id, or with `within` also at a smaller
     place of the same document.  spans: little-endian int32 pairs, first and last window.
@@ -205,7 +221,7 @@ def repeated_windows(docs: DataFrame, units: Units, solve: Callable, within: boo
     keys_of, runs_of = _runs_of(units)
     flags = recurring(keyed, keys_of, n)
     runs = written(keyed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(runs_of, RUNS), "runs")
-    return keyed, _later_windows(runs, units, solve, within, group_limit)
+    return keyed, _later_windows(runs, units, solve, within, chunk_bytes)
 
 
 def covered(spans: list[bytes], n: int, length: int) -> np.ndarray:
@@ -223,9 +239,11 @@ def applied(keyed: DataFrame, found: DataFrame, give: Callable, schema: str | T.
 
     def both(docs: pa.Table, spans: pa.Table) -> pa.Table:
         by: dict[int, list] = {}
-        for doc, s in zip(spans.column("doc").to_pylist(), spans.column("spans").to_pylist()):
-            by.setdefault(doc, []).append(s)
-        rows = [give(i, t, by.get(LAST if i is None else i, [])) for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())]
-        return table_of(schema, list(zip(*rows)) if rows else [[]] * len(schema.split(", ")))
+        for row, s in zip(spans.column("row").to_pylist(), spans.column("spans").to_pylist()):
+            by.setdefault(row, []).append(s)
+        rows, different = _numbered(docs)
+        number = {row: i for i, row in enumerate(different)}
+        out = [give(i, t, by.get(number[row], [])) for i, t, row in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), rows)]
+        return table_of(schema, list(zip(*out)) if out else [[]] * len(schema.split(", ")))
 
     return keyed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(both, schema)

@@ -1,14 +1,17 @@
 """Operator 7: byte-level dedup with longest-previous-factor arrays.
 
-Suffixes are grouped by anchor (see anchors.py).  In a group they are sorted; for each
-the previous and next smaller position in suffix order are the best earlier matches,
-and the longer common prefix of the two is its longest previous factor.  A suffix whose
-factor reaches 100 bytes is a later copy; following the earlier matches leads to the
-first.  Every byte of a later copy is removed and the first stays.
+Suffixes are grouped by anchor (see anchors.py and repeats.py).  In a group all suffixes
+of the runs, to the ends of the runs, are sorted into a suffix array, and the common
+prefixes of neighbours are measured.  For each suffix the previous and next smaller
+position in suffix order are the best earlier matches, and the longer common prefix of
+the two is its longest previous factor.  A suffix whose factor reaches 100 bytes is a
+later copy; following the earlier matches leads to the first.  Every byte of a later
+copy is removed and the first stays.
 
 Defined cases: null and empty texts are empty; texts under 100 bytes keep all; rows that
-share a doc_id are compared by place only, so an exact repeat of a row removes nothing
-from it; a null doc_id comes after all others; empty tables give empty results; other
+share a doc_id are one document for what is earlier (by place only), each with spans of
+its own, so an exact repeat of a row removes nothing from it; null doc_ids are one such
+id, after all others; empty tables give empty results; other
 columns are not read.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.anchors import stretch_hashes
-from rankloom.llm.repeats import GROUP_LIMIT, Units, applied, covered, repeated_windows
+from rankloom.llm.repeats import CHUNK_BYTES, Units, applied, covered, repeated_windows
 
 WINDOW = 100
 
@@ -41,58 +44,57 @@ class Bytes(Units):
         return [run[o : o + self.length] for o in range(len(run) - self.length + 1)]
 
 
-def previous_factors(places: list, common: list[int]) -> list[int]:
-    """For suffixes in suffix order the index of the earlier match with the longest common prefix, or -1.
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def previous_factors(places: list, common: list[int]) -> list[tuple[int, int]]:
+    """For suffixes in suffix order (index of the earlier match with the longest common prefix, or -1; that length).
 
     places: position of each suffix; common[i]: common prefix of suffixes i - 1 and i.
     """
     n = len(places)
-    before, before_lcp = [-1] * n, [0] * n
-    after, after_lcp = [-1] * n, [0] * n
+    before, after = [(-1, 0)] * n, [(-1, 0)] * n
     stack: list[tuple[int, int]] = []  # (index, common prefix with the one below it on the stack)
     for i in range(n):
         lcp = common[i] if i else 0
         while stack and places[stack[-1][0]] >= places[i]:
             j, below = stack.pop()
             if places[j] > places[i]:
-                after[j], after_lcp[j] = i, lcp
+                after[j] = i, lcp
             lcp = min(lcp, below)
         if stack:
-            before[i], before_lcp[i] = stack[-1][0], lcp
+            before[i] = stack[-1][0], lcp
         stack.append((i, lcp))
-    return [a if x > y or b < 0 else b for a, x, b, y in zip(before, before_lcp, after, after_lcp)]
+    return [a if b[0] < 0 or a[1] > b[1] else b for a, b in zip(after, before)]
 
 
 def solver(length: int):
     def solve(runs: list[tuple[bytes, tuple]]) -> list[list[tuple]]:
-        if len(runs) == 1:
-            run, (d, p) = runs[0]
-            return [[(d, p + o) for o in range(len(run) - length + 1)]]
+        """For each run the first occurrence of each of its windows."""
         firsts = [[(d, p + o) for o in range(len(run) - length + 1)] for run, (d, p) in runs]
-        suffixes = sorted((run[o : o + length], d, p + o, r, o) for r, (run, (d, p)) in enumerate(runs) for o in range(len(run) - length + 1))
-        lo = 0
-        for x in range(1, len(suffixes) + 1):
-            if x < len(suffixes) and suffixes[x][0] == suffixes[x - 1][0]:
-                continue
-            if x - lo > 1:  # suffixes lo..x-1 share `length` bytes; matches of less do not count
-                group = suffixes[lo:x]
-                places = [(s[1], s[2]) for s in group]
-                match = previous_factors(places, [length] * len(group))
-                for i, s in enumerate(group):
-                    j = i
-                    while match[j] >= 0:
-                        j = match[j]
-                    firsts[s[3]][s[4]] = places[j]
-            lo = x
+        if len(runs) == 1:
+            return firsts
+        array = sorted((run[o:], (d, p + o), r, o) for r, (run, (d, p)) in enumerate(runs) for o in range(len(run) - length + 1))
+        places = [s[1] for s in array]
+        factors = previous_factors(places, [0, *[common_prefix(a[0], b[0]) for a, b in zip(array, array[1:])]])
+        for i in sorted(range(len(array)), key=places.__getitem__):  # what a factor refers to is earlier, so it is known
+            match, reach = factors[i]
+            if reach >= length:
+                places[i] = places[match]
+                firsts[array[i][2]][array[i][3]] = places[match]
         return firsts
 
     return solve
 
 
-def dedup(docs: DataFrame, length: int = WINDOW, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def dedup(docs: DataFrame, length: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row."""
     units = Bytes(length)
-    keyed, found = repeated_windows(docs, units, solver(length), within=True, group_limit=group_limit)
+    keyed, found = repeated_windows(docs, units, solver(length), within=True, chunk_bytes=chunk_bytes)
 
     def give(doc_id, text, spans):
         if not spans:

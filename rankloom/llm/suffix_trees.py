@@ -1,16 +1,17 @@
 """Operator 2: substring dedup with prefix-partitioned suffix trees over words.
 
-Suffixes are dealt to groups by a prefix: the words from their anchor on (see
-anchors.py), and for groups over a limit the whole 13-word path.  In a group the
-suffixes are sorted and the longest common prefixes of neighbours give the subtree;
-its internal nodes of 13 words or more are the repeats.  A node's least doc_id is kept
-and the window is removed from every document after it.
+Suffixes are dealt to groups by a prefix of variable length: the words of their anchor
+(see anchors.py), and where such a group would not fit in memory, chunks of it
+(repeats.py).  In a group the suffixes of the runs are sorted, the common prefixes of
+neighbours give the internal nodes of the group's suffix tree, and the nodes of 13 words
+or more are its repeats.  Below the topmost of those nodes the window is the same; its
+least doc_id is kept and the window is removed from every document after it.
 
 Leaves that stand for equal runs of words are merged before they are sent.
 
 Defined cases: null and empty texts have no words; texts under 13 words keep all; of
 rows that share a doc_id none is before the other, so they do not remove each other's
-words; a null doc_id comes after all others; empty tables give empty results; other
+words, and each has spans of its own; null doc_ids are one such id, after all others; empty tables give empty results; other
 columns are not read.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.anchors import stretch_hashes
-from rankloom.llm.repeats import GROUP_LIMIT, Units, applied, covered, repeated_windows
+from rankloom.llm.repeats import CHUNK_BYTES, Units, applied, covered, repeated_windows
+from rankloom.llm.suffix_arrays import common_prefix
 
 WINDOW = 13
 SPACE = np.zeros(256, bool)
@@ -57,54 +59,53 @@ class Words(Units):
         return [b" ".join(words[o : o + self.length]) for o in range(len(words) - self.length + 1)]
 
 
-def subtree(suffixes: list[tuple[bytes, int, tuple]]) -> list[tuple]:
-    """The least (doc, place) below the deep node of each suffix.
+def internal_nodes(common: list[int]) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, end of leaves) of the internal nodes of the tree of sorted suffixes, children before parents.
 
-    suffixes: (text, bytes in its first `window` words, own first occurrence).  Sorted,
-    neighbours with a common prefix of that depth are leaves of one deep node.
+    common[i]: common prefix of suffixes i - 1 and i.
     """
-    order = sorted(range(len(suffixes)), key=lambda i: suffixes[i][0])
-    least = [s[2] for s in suffixes]
-    lo = 0
-    for x in range(1, len(order) + 1):
-        if x < len(order):
-            a, b = suffixes[order[x - 1]], suffixes[order[x]]
-            if a[1] == b[1] and a[0][: a[1]] == b[0][: b[1]]:
-                continue
-        if x - lo > 1:
-            best = min(least[i] for i in order[lo:x])
-            for i in order[lo:x]:
-                least[i] = best
-        lo = x
-    return least
+    out, stack = [], [(0, 0)]  # (depth, first leaf) of the open nodes
+    for i in range(1, len(common) + 1):
+        depth, first = common[i] if i < len(common) else 0, i - 1
+        while stack[-1][0] > depth:
+            deep, first = stack.pop()
+            out.append((deep, first, i))
+        if stack[-1][0] < depth:
+            stack.append((depth, first))
+    return [*out, (0, 0, len(common))]
 
 
 def solver(length: int):
     def solve(runs: list[tuple[bytes, tuple]]) -> list[list[tuple]]:
         """For each run the first occurrence of each of its windows."""
-        suffixes, counts = [], []
-        for run, (d, p) in runs:
-            ends = [i for i, b in enumerate(run) if b == 0x20] if len(runs) > 1 else [0] * run.count(b" ")
-            n = len(ends) + 2 - length
-            counts.append(n)
-            if len(runs) == 1:
-                return [[(d, p + o) for o in range(n)]]
-            ends.append(len(run))
-            begins = [0, *[e + 1 for e in ends[:-1]]]
-            suffixes += [(run[begins[o] :], ends[o + length - 1] - begins[o], (d, p + o)) for o in range(n)]
-        least, out, at = subtree(suffixes), [], 0
-        for n in counts:
-            out.append(least[at : at + n])
-            at += n
-        return out
+        firsts, suffixes = [], []
+        for r, (run, (d, p)) in enumerate(runs):
+            count = run.count(b" ") + 2 - length
+            firsts.append([(d, p + o) for o in range(count)])
+            if len(runs) > 1:
+                text, at = run + b" ", 0  # a space ends every word, so that words are told from longer ones
+                for o in range(count):
+                    suffixes.append((text[at:], r, o))
+                    at = text.index(b" ", at) + 1
+        if len(runs) == 1:
+            return firsts
+        suffixes.sort()
+        bytes_common = [0, *[common_prefix(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])]]
+        depths = [s[0].count(b" ", 0, n) for s, n in zip(suffixes, bytes_common)]  # whole words in common
+        for depth, lo, hi in internal_nodes(depths):
+            if depth >= length:  # a parent of that depth comes after its children and holds their leaves
+                least = min(firsts[r][o] for _, r, o in suffixes[lo:hi])
+                for _, r, o in suffixes[lo:hi]:
+                    firsts[r][o] = least
+        return firsts
 
     return solve
 
 
-def dedup(docs: DataFrame, length: int = WINDOW, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def dedup(docs: DataFrame, length: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     units = Words(length)
-    keyed, found = repeated_windows(docs, units, solver(length), within=False, group_limit=group_limit)
+    keyed, found = repeated_windows(docs, units, solver(length), within=False, chunk_bytes=chunk_bytes)
 
     def give(doc_id, text, spans):
         words = text.split()
