@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe_codec, decontaminate, ngram_join, secrets, toxicity
+from rankloom.llm.spans import fresh
 from rankloom.llm.store import written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,11 +19,12 @@ TOKENIZER = "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier scores at its threshold or above."""
     model = toxicity.train(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    (score,) = fresh(docs.columns, "_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of every component of similar documents."""
+    """Keeps one row of every component of similar documents, that of the least doc_id."""
     return ngram_join.one_of_each(docs)
 
 

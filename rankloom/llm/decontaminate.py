@@ -2,18 +2,19 @@
 
 Test items are short and documents long, so similarity of whole sets says little;
 what counts is the share of an item's shingles that a document holds.  Items are
-partitioned by size (powers of two).  Each item keeps a bottom-k MinHash sketch, the
-k shingles with the least hashes (those that few items share come first), with k set
-by its partition: one more than the number of shingles an item of that size may miss.
-A document that holds enough of the item must then hold a sketch shingle, so the
-search misses nothing.  Candidates are verified by exact shingle containment.
+partitioned by size (powers of two).  Each item keeps a bottom-k MinHash sketch, its
+shingles with the k least hashes, with k set by its partition: one more than the number
+of shingles an item of that size may miss.  The share of an item's sketch that a
+document holds estimates its containment; a document that holds enough of the item must
+hold k less the shingles it may miss, so the search misses nothing.  Candidates are
+verified by exact shingle containment.
 
 Shingles are of five words (white space as in ASCII, lower case); an item or document
 with fewer words is one shingle.  Hashes are 64-bit.
 
 Defined cases: null or empty texts hold nothing and are clean; items without words
-match nothing; rows that share a doc_id are one document; repeated items each count;
-a null doc_id is one more document, an item with a null item_id is not searched; empty tables give
+match nothing; a row is judged by its own text, whatever doc_id it has or shares; repeated
+items each count, an item with a null item_id is not searched; empty tables give
 all-clean or empty results; other columns are not read.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.spans import fresh
 from rankloom.llm.store import written
 
 SHINGLE = 5
@@ -57,44 +59,48 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
-def contained(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found) of each item that a document holds to `percent` or more."""
+def key_of(text: Column) -> Column:
+    """What documents are told apart by: 128 bits of their text, so copies are searched as one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def contained(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> tuple[DataFrame, int]:
+    """(_key, item_id, n_shingles, n_found) of each item that a text holds to `percent` or more, and a bound on the rows."""
     items = with_shingles(bench.where("item_id is not null"), "text", [F.col("item_id")])
     shingles = exploded(items, "item_id").distinct()
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = shingles.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = shingles.join(shared, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+    ranked = shingles.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("h").alias("x"), "h"))).alias("hashed"))
     miss = lambda n: F.floor((100 - percent) * n / 100)  # noqa: E731  shingles that an item of n may miss
-    size_class = F.floor(F.log2(F.size("order").cast("double")))
+    size_class = F.floor(F.log2(F.size("hashed").cast("double")))
     sketch = ranked.select(
         "item_id",
-        F.size("order").cast("long").alias("n"),
-        F.least(F.size("order").cast("long"), miss(F.pow(F.lit(2.0), size_class + 1)) + 1).cast("int").alias("k"),
-        "order",
+        F.size("hashed").cast("long").alias("n"),
+        F.least(F.size("hashed").cast("long"), miss(F.pow(F.lit(2.0), size_class + 1)) + 1).cast("int").alias("k"),
+        "hashed",
     )
-    sketch = sketch.select("item_id", F.greatest(F.lit(1), F.col("k") - miss(F.col("n"))).alias("least"), F.explode(F.slice("order", F.lit(1), F.col("k"))).alias("o"))
+    sketch = sketch.select("item_id", F.greatest(F.lit(1), F.col("k") - miss(F.col("n"))).alias("least"), F.explode(F.slice("hashed", F.lit(1), F.col("k"))).alias("o"))
     sketch = written(sketch.select("item_id", "least", F.col("o.h").alias("h")), "sketch")
-    owned = with_shingles(docs, "text", [F.col("doc_id")])
-    hits = exploded(owned, "doc_id").join(_sent(sketch, sketch.count()), "h")
-    # A document's hits of one item are counted once per shingle, before and after the shuffle.
-    candidates = hits.groupBy("doc_id", "item_id", "h").agg(F.first("least").alias("least")).groupBy("doc_id", "item_id").agg(F.count("*").alias("hit"), F.first("least").alias("least"))
-    candidates = written(candidates.where("hit >= least").select("doc_id", "item_id"), "candidates")
+    keyed = docs.select(key_of(F.col("text")).alias("_key"), "text")
+    hits = exploded(with_shingles(keyed, "text", [F.col("_key")]), "_key").join(_sent(sketch, sketch.count()), "h")
+    # A text's hits of one item are counted once per shingle, before and after the shuffle.
+    candidates = hits.groupBy("_key", "item_id", "h").agg(F.first("least").alias("least")).groupBy("_key", "item_id").agg(F.count("*").alias("hit"), F.first("least").alias("least"))
+    candidates = written(candidates.where("hit >= least").select("_key", "item_id"), "candidates")
     rows = candidates.count()
-    wanted = candidates.groupBy("doc_id").agg(F.collect_set(F.struct("item_id")).alias("items"))
-    suspects = docs.select(F.col("doc_id").alias("_d"), "text").join(_sent(wanted, rows), F.col("_d").eqNullSafe(F.col("doc_id")))
-    own = exploded(with_shingles(suspects, "text", [F.col("doc_id"), F.col("items")]), "doc_id", "items")
+    wanted = candidates.groupBy("_key").agg(F.collect_set(F.struct("item_id")).alias("items"))
+    suspects = keyed.join(_sent(wanted, rows), "_key")
+    own = exploded(with_shingles(suspects, "text", [F.col("_key"), F.col("items")]), "_key", "items")
     listed = shingles.join(sizes, "item_id")
     found = own.join(_sent(listed, listed.count()), "h").where(F.array_contains("items", F.struct("item_id")))
-    exact = found.groupBy("doc_id", "item_id", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
-    return exact.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
+    exact = found.groupBy("_key", "item_id", "h").agg(F.first("n").alias("n")).groupBy("_key", "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
+    return exact.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent), rows
 
 
 def judged(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFrame:
     """doc_id, contaminated, n_items, item_id and containment (of the best item; -1 and 0 without one) for every row of docs."""
-    pairs = contained(docs, bench, percent)
+    pairs, bound = contained(docs, bench, percent)
     best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), (-F.col("item_id")).alias("i")))
-    found = pairs.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("n"), best.alias("best"))
-    return docs.select("doc_id").join(found, F.col("_d").eqNullSafe(F.col("doc_id")), "left").select(
+    found = pairs.groupBy("_key").agg(F.count("*").alias("n"), best.alias("best"))
+    return docs.select("doc_id", key_of(F.col("text")).alias("_key")).join(_sent(found, bound), "_key", "left").select(
         "doc_id",
         F.col("n").isNotNull().alias("contaminated"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
@@ -105,8 +111,10 @@ def judged(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataF
 
 def clean(docs: DataFrame, bench: DataFrame, percent: int = CONTAINED) -> DataFrame:
     """docs without the rows that hold a test item; all columns stay."""
-    bad = contained(docs, bench, percent).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("_bad").eqNullSafe(F.col("doc_id")), "left_anti")
+    pairs, bound = contained(docs, bench, percent)
+    (key,) = fresh(docs.columns, "_key")
+    bad = pairs.select(F.col("_key").alias(key)).distinct()
+    return docs.withColumn(key, key_of(F.col("text"))).join(_sent(bad, bound), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

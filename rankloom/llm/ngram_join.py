@@ -19,7 +19,8 @@ Shingles are compared by 56-bit hashes inside candidate groups.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing;
 fewer than five words are one shingle; of repeated rows each gets the same component;
-a null doc_id is no component's name unless nothing else is in it; empty tables give
+a null doc_id is no component's name unless nothing else is in it; `one_of_each` keeps
+one row of a component also where rows share a doc_id or have none; empty tables give
 empty results; other columns are not read.
 """
 
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.anchors import block_count, recurring, short_key, slabs, stretch_hashes, told
 from rankloom.llm.components import components
+from rankloom.llm.spans import fresh
 from rankloom.llm.store import written
 from rankloom.llm.suffix_trees import word_bounds
 
 SHINGLE = 5
 PERCENT = 80
 CHUNK_SETS = 1_500
+HOT_SETS = 1_000  # sets that share one prefix shingle and meet in one task
 CHUNK_SHINGLES = 3_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITS = np.uint64((1 << 56) - 1)
@@ -75,13 +78,15 @@ def _each(batches, text_at: int):
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sid): sid names the set, null where it is empty."""
+    """(doc_id, text_hash, n_shingles, sid): sid names the set, null where it is empty."""
 
     def run(batches):
-        for ids, _, sets in _each(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "sid"])
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            sets = [s for _, part in slabs(texts, texts) for s in shingle_sets(part)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "sid"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, sid binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sid binary")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -274,15 +279,25 @@ def _joined(batches):
     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], ["u", "v"])
 
 
+def _near(prefixes: DataFrame) -> DataFrame:
+    """(u, v): ties of all sets that share a prefix shingle to the least of them, by way of the least of a part where many share it."""
+    counts = prefixes.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT_SETS)
+    hot = written(counts.select("h", F.ceil(F.col("k") / HOT_SETS).alias("parts")), "hot")
+    n_hot = hot.count()
+    part = F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1)))
+    rows = prefixes.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "h", "left").select("sid", "h", part.alias("part")) if n_hot else prefixes.withColumn("part", F.lit(0).cast("long"))
+    centre = written(rows.groupBy("h", "part").agg(F.min("sid").alias("c")), "centres")
+    near = rows.join(centre, ["h", "part"]).where("sid <> c").select(F.col("sid").alias("u"), F.col("c").alias("v"))
+    first = centre.groupBy("h").agg(F.min("c").alias("v"), F.count("*").alias("n")).where("n > 1").select("h", "v")
+    return near.unionByName(centre.join(first, "h").where("c <> v").select(F.col("c").alias("u"), "v")).distinct()
+
+
 def links(docs: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """(u, v): links between set names that join every component, and no others."""
     keyed, n = _keyed(docs)
     flags = recurring(keyed, _keys_of, n, counts=True)
     sets = written(keyed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_ordered_sets, SETS), "sets")
-    prefixes = sets.select("sid", F.explode("prefix").alias("h"))
-    centre = prefixes.groupBy("h").agg(F.min("sid").alias("c"), F.count("*").alias("k")).where("k > 1").select("h", "c")
-    near = prefixes.join(centre, "h").where("sid <> c").select(F.col("sid").alias("u"), F.col("c").alias("v")).distinct()
-    groups = components(near)
+    groups = components(_near(sets.select("sid", F.explode("prefix").alias("h"))))
     placed = sets.select("sid", "n", "shingles").join(groups.select(F.col("node").alias("sid"), F.col("root").alias("key")), "sid")
     placed = written(placed, "groups")
     load = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum(F.octet_length("shingles")) / (8 * CHUNK_SHINGLES))).cast("int").alias("k"))
@@ -295,19 +310,41 @@ def links(docs: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     return task.repartition("key").sortWithinPartitions("key").mapInArrow(_joined, "u binary, v binary")
 
 
+def _classes(docs: DataFrame, chunk_sets: int) -> tuple[DataFrame, DataFrame]:
+    """(members of docs, (sid, root) of every set)."""
+    own = written(members(docs), "members")
+    roots = components(written(links(docs.select("doc_id", "text"), chunk_sets), "links"))
+    sids = own.where("sid is not null").select("sid").distinct()
+    return own, sids.join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
+
+
 def join(docs: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    own = members(docs)
-    roots = components(written(links(docs.select("doc_id", "text"), chunk_sets), "links"))
+    own, classes = _classes(docs, chunk_sets)
     first = own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("m"))
-    named = first.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "m", F.coalesce("root", "sid").alias("root"))
+    named = first.join(classes, "sid")
     least = named.groupBy("root").agg(F.min("m").alias("component_id"))
     named = named.join(least, "root").select(F.col("sid").alias("_sid"), "component_id")
     return own.join(named, F.col("sid") == F.col("_sid"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the least doc_id of every component; rows with a null doc_id stay."""
-    kept = join(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return some.unionByName(docs.where("doc_id is null"))
+def one_of_each(docs: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
+    """docs with one row of every component: the least doc_id (null last), of rows that share it the least hash of the text, and of equal rows one.
+
+    Rows without words are in no component and all stay.
+    """
+    own, classes = _classes(docs, chunk_sets)
+    rows = own.where("sid is not null").groupBy("sid", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(classes, "sid")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("b"))
+    d, t, n = fresh(docs.columns, "_d", "_t", "_n")
+    keep = written(best.select(F.col("b.doc_id").alias(d), F.col("b.text_hash").alias(t), F.col("b.n").alias(n)), "kept")
+    again = keep.where(F.col(n) > 1)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = docs.where(wordless)
+    if not again.count():
+        return docs.where(~wordless).join(keep, same, "left_semi").unionByName(bare)
+    once = docs.where(~wordless).join(keep.where(F.col(n) == 1), same, "left_semi")
+    # Only rows that have an equal one (by doc_id and text) are told apart by a shuffle of their texts.
+    more = docs.where(~wordless).join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(bare)

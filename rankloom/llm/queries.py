@@ -43,7 +43,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_docs(spark, sf_dir))
+    return quality.judged(_docs(spark, sf_dir)).drop("rejected_by")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.SQL,
+    "op8_quality_rules": quality.SQL,
 }

@@ -2,7 +2,7 @@
 
 A logistic model over word and word-prefix presence is fitted to labelled texts.
 For each labelled text that names an identity group, the terms are swapped for
-others of the same kind, and the squared difference of the two logits is added to
+others of the same kind and for the neutral `NEUTRAL`, and the squared difference of the two logits is added to
 the loss (counterfactual logit pairing), so that a neutral mention of a group does
 not move the score.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 9_000
 FEATURES = 300
-LEAST_DOCS = 6  # labelled texts that must hold a feature
-LEAST_MERIT = 25.0  # chi-square a feature must reach
+LEAST_DOCS = (2, 6)  # labelled texts that must hold a feature: one in a thousand, within these
+LEAST_MERIT = (8.0, 25.0)  # chi-square a feature must reach: 0.12 of the labelled texts, within these
 PAIR_WEIGHT = 4.0
 RIDGE = 2e-5
 THRESHOLD = 0.7
@@ -38,7 +38,7 @@ STEPS = 350
 PREFIXES = (4, 5)
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
-# Identity terms by kind; swaps stay within a kind.
+# Identity terms by kind; swaps stay within a kind.  The default of a parameter.
 IDENTITY = (
     ("man", "woman", "men", "women", "male", "female", "boy", "girl", "nonbinary"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
@@ -49,32 +49,43 @@ IDENTITY = (
     ("old", "young", "elderly", "teenage", "middle-aged"),
     ("immigrant", "refugee", "native", "foreigner"),
 )
-KIND_OF = {term: (k, i) for k, kind in enumerate(IDENTITY) for i, term in enumerate(kind)}
+NEUTRAL = "person"
+ENDINGS = ("", "s", "'s", "\u2019s")  # a term is swapped with the same ending
+
+
+def forms_of(identity: tuple) -> dict[str, tuple[int, int, str]]:
+    """{form: (kind, place in the kind, ending)} of all terms with all endings."""
+    return {term + end: (k, i, end) for end in reversed(ENDINGS) for k, kind in enumerate(identity) for i, term in enumerate(kind)}
+
+
+FORMS = forms_of(IDENTITY)
 
 
 def words(text: str | None) -> set[str]:
     return {w.strip(EDGES) for w in set((text or "").lower().split())} - {""}
 
 
-def features_of(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its prefixes."""
+def features_of(word: str, whole=FORMS) -> tuple[int, ...]:
+    """Hashes of a word and, unless it is an identity term (`whole`), of its prefixes."""
     raw = word.encode("utf-8", "replace")
     out = [zlib.crc32(b"=" + raw)]
-    if word not in KIND_OF:
+    if word not in whole:
         out += [zlib.crc32(b"^%d" % n + word[:n].encode("utf-8", "replace")) for n in PREFIXES if len(word) >= n]
     return tuple(out)
 
 
-def swapped(found: set[str], step: int) -> set[str] | None:
-    """The words with each identity term replaced by the one `step` places on in its kind."""
-    hit = found & KIND_OF.keys()
+def swapped(found: set[str], step: int, identity: tuple = IDENTITY, forms: dict = FORMS) -> set[str] | None:
+    """The words with each identity term replaced by the one `step` places on in its kind, endings kept; step 0 is the neutral word."""
+    hit = found & forms.keys()
     if not hit:
         return None
-    return (found - hit) | {IDENTITY[k][(i + step) % len(IDENTITY[k])] for k, i in map(KIND_OF.get, hit)}
+    if not step:
+        return (found - hit) | {NEUTRAL}
+    return (found - hit) | {identity[k][(i + step) % len(identity[k])] + end for k, i, end in map(forms.get, hit)}
 
 
-def _vector(found: set[str]) -> bytes:
-    return np.unique(np.array([f for w in found for f in features_of(w)], np.uint32)).tobytes()
+def _vector(found: set[str], whole=FORMS) -> bytes:
+    return np.unique(np.array([f for w in found for f in features_of(w, whole)], np.uint32)).tobytes()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -92,41 +103,42 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")  # `rows` bounds what is sent
 
 
-def train(samples: DataFrame, pair_weight: float = PAIR_WEIGHT) -> dict:
-    """{"bias": float, "weights": {feature: weight}} from (y, text) rows."""
+def train(samples: DataFrame, pair_weight: float = PAIR_WEIGHT, identity: tuple = IDENTITY) -> dict:
+    """{"bias": float, "weights": {feature: weight}, "whole": identity forms, "pairs": counterfactual pairs met} from (y, text) rows."""
+    forms = forms_of(identity)
 
     def vectors(batches):
         for batch in batches:
             y, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [words(t) for t in texts]
-            other = [[swapped(f, s) for s in (1, 2)] for f in found]
+            other = [[swapped(f, s, identity, forms) for s in (0, 1, 2)] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(y, pa.int32()),
-                    pa.array([_vector(f) for f in found], pa.binary()),
-                    pa.array([[_vector(s) for s in o if s] for o in other], pa.list_(pa.binary())),
+                    pa.array([_vector(f, forms) for f in found], pa.binary()),
+                    pa.array([[_vector(s, forms) for s in o if s] for o in other], pa.list_(pa.binary())),
                 ],
                 ["y", "x", "swaps"],
             )
 
     # A stable order makes the fit the same for any partitioning.
     rows = sorted((bytes(r.x), r.y, [bytes(s) for s in r.swaps]) for r in samples.mapInArrow(vectors, "y int, x binary, swaps array<binary>").collect())
-    return fit([(np.frombuffer(x, np.uint32), y, [np.frombuffer(s, np.uint32) for s in swaps]) for x, y, swaps in rows], pair_weight)
+    return fit([(np.frombuffer(x, np.uint32), y, [np.frombuffer(s, np.uint32) for s in swaps]) for x, y, swaps in rows], pair_weight, forms)
 
 
-def fit(rows: list, pair_weight: float) -> dict:
+def fit(rows: list, pair_weight: float, forms: dict = FORMS) -> dict:
     n, pos = len(rows), sum(y for _, y, _ in rows)
     rate = (pos + 0.5) / (n + 1)
     if not 0 < pos < n:
-        return {"bias": math.log(rate / (1 - rate)) if n else -4.0, "weights": {}}
+        return {"bias": math.log(rate / (1 - rate)) if n else -4.0, "weights": {}, "whole": set(forms), "pairs": 0}
     every, share = np.unique(np.concatenate([x for x, _, _ in rows]), return_counts=True)
     toxic = np.zeros(len(every))
     found, count = np.unique(np.concatenate([x for x, y, _ in rows if y]), return_counts=True)
     toxic[np.searchsorted(every, found)] = count
     a, b, all_ = toxic, share - toxic, share.astype(float)
     merit = n * (a * (n - pos - b) - b * (pos - a)) ** 2 / np.maximum(1.0, all_ * (n - all_) * pos * (n - pos))  # chi-square
-    merit = np.where((share >= LEAST_DOCS) & (merit >= LEAST_MERIT), merit, 0)
-    ours = {f for term in KIND_OF for f in features_of(term)}
+    merit = np.where((share >= np.clip(n // 1000, *LEAST_DOCS)) & (merit >= np.clip(0.12 * n, *LEAST_MERIT)), merit, 0)
+    ours = {f for term in forms for f in features_of(term, forms)}
     best = np.lexsort((every, -merit))[:FEATURES]
     names = np.array(sorted(set(every[best[merit[best] > 0]].tolist()) | ours), np.uint32)
 
@@ -153,14 +165,15 @@ def fit(rows: list, pair_weight: float) -> dict:
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - t / (STEPS + 1))
         w -= move[:-1].astype(np.float32)
         bias -= float(move[-1])
-    return {"bias": bias, "weights": {int(f): float(c) for f, c in zip(names, w) if c}}
+    return {"bias": bias, "weights": {int(f): float(c) for f, c in zip(names, w) if c}, "whole": set(forms), "pairs": 0 if apart is None else len(apart)}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs' columns with `score` (0 to 1) beside them; a column of that name is replaced."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """docs' columns and beside them the score (0 to 1), under a name that docs do not have."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {name} already")
     at = docs.columns.index("text")
-    bias, weights = model["bias"], model["weights"]
+    bias, weights, whole = model["bias"], model["weights"], model["whole"]
 
     def run(batches):
         memo: dict[str, tuple[int, ...]] = {}
@@ -174,20 +187,20 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                         if len(memo) > 300_000:
                             memo.clear()
                         bare = w.strip(EDGES)
-                        got = memo[w] = tuple(f for f in features_of(bare) if f in weights) if bare else ()
+                        got = memo[w] = tuple(f for f in features_of(bare, whole) if f in weights) if bare else ()
                     if got:
                         hit.update(got)
                 z = bias + math.fsum(weights[f] for f in hit)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, identity: tuple = IDENTITY) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    model = train(labelled(docs, labels))
+    model = train(labelled(docs, labels), identity=identity)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

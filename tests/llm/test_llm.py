@@ -410,3 +410,108 @@ def test_nodes_and_factors_of_a_small_text():
     repeats = {array[lo][0][:d] for d, lo, hi in nodes if d}
     assert b"abracad" in repeats and b"abra" in repeats and all(text.count(r) > 1 for r in repeats)
     assert all(len({s[:d] for s, _ in array[lo:hi]}) == 1 for d, lo, hi in nodes)
+
+
+def quality_verdict(t: str) -> tuple[bool, set[str]]:
+    """(base_failed, names of all rules that reject) by plain Python."""
+    import regex
+
+    w = WORD.findall(t)
+    count = Counter(zip(w, w[1:], w[2:]))
+    repeated = {j + k for j in range(len(w) - 2) if count[w[j], w[j + 1], w[j + 2]] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars, letters, n = sum(map(len, w)), len(regex.findall(r"\p{L}", t)), len(w)
+    hits = {
+        "symbols": len(re.findall(r"[#*$%&|<>]", t)) * 10 > n,
+        "capitals": len(regex.findall(r"\p{Lu}", t)) * 2 > letters,
+        "shouting": t.count("!!") * 5 > n,
+        "word_length": chars < 2 * n or chars > 20 * n,
+        "duplicate_lines": (len(lines) - len(set(lines))) * 2 > len(t.split("\n")),
+        "few_letters": letters * 10 < chars * 6,
+    }
+    return n < 50 or 100 * len(repeated) > 50 * n, {name for name, hit in hits.items() if hit}
+
+
+def test_quality_verdicts_equal_brute_force_in_a_stable_order(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(240):
+        body = [rnd.choice("abcdefghijklm") * rnd.randint(1, 6) + str(i * 100 + k) * (i % 5 == 0) for k in range(rnd.choice([20, 60, 80]))]
+        body = [w.upper() if i % 7 == 0 else w + "!!" * (i % 11 == 0) + "#" * (i % 13 == 0) for w in body]
+        rows.append((i if i % 3 else None, ("\n" if i % 4 == 0 else " ").join(body) + "\nsame line" * (i % 6)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    order = quality.ordered(table)
+    assert sorted(order) == sorted(quality.rules()) and order == quality.ordered(table.repartition(5)) == quality.ordered(table.coalesce(1))
+    got = Counter((r.doc_id, r.rejected_by, r.base_failed, r.kept) for r in quality.judged(table).collect())
+    want = Counter()
+    for i, t in rows:
+        failed, hits = quality_verdict(t)
+        by = "base" if failed else next((n for n in order if n in hits), "")
+        want[i, by, failed, by == ""] += 1
+    assert got == want and len({k[1] for k in want}) > 3
+
+
+def test_one_of_each_where_rows_share_a_doc_id_or_have_none(spark):
+    a, b = (" ".join(f"{x}{i:02d}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b + " end"), (None, "lonely text"), (None, "lonely text"), (None, None), (2, ""), (2, "")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([(1, a), (1, b), (0, "lonely text"), (0, ""), (2, ""), (2, "")])
+
+
+def test_hot_shingles_are_met_in_parts(spark, docs, monkeypatch):
+    before = {i: r.component_id for i, r in by_id(ngram_join.join(docs)).items()}
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 2)
+    assert {i: r.component_id for i, r in by_id(ngram_join.join(docs)).items()} == before
+
+
+def test_contamination_is_of_rows_not_of_ids(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    table = spark.createDataFrame([(None, f"see {item} here", "k"), (None, "clean words", "k"), (7, item, "k"), (7, "clean too", "k")], "doc_id long, text string, _key string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.clean(table, bench)
+    assert clean.columns == table.columns and sorted(r.text for r in clean.collect()) == ["clean too", "clean words"]
+    assert sorted((r.doc_id or 0, r.contaminated) for r in decontaminate.judged(table, bench).collect()) == [(0, False), (0, True), (7, False), (7, True)]
+
+
+def neutral_and_toxic(seed: int, n: int):
+    """Labelled texts in which a group is often named in toxic ones, so that the name alone looks toxic."""
+    rnd = random.Random(seed)
+    plain, groups = [f"w{i}" for i in range(80)], ["muslims", "immigrants", "gay", "women"]
+    for i in range(n):
+        toxic = i % 3 == 0
+        named = rnd.random() < (0.8 if toxic else 0.1)
+        yield int(toxic), " ".join(rnd.sample(plain, 15) + ([rnd.choice(["idiot", "worthless", "moron"])] if toxic and rnd.random() < 0.75 else []) + ([rnd.choice(groups)] if named else []))
+
+
+def false_positive_rates(spark) -> tuple[float, float, int]:
+    """Of neutral mentions of groups scored at the threshold or above: (without, with the penalty), and the pairs met."""
+    rows = spark.createDataFrame(list(neutral_and_toxic(3, 900)), "y int, text string")
+    rnd = random.Random(8)
+    neutral = spark.createDataFrame([(i, " ".join(rnd.sample([f"w{k}" for k in range(80)], 15)) + " " + rnd.choice(["muslims", "immigrants", "gay", "women"])) for i in range(300)], "doc_id long, text string")
+    models = [toxicity.train(rows, weight) for weight in (0.0, toxicity.PAIR_WEIGHT)]
+    return *[toxicity.score(neutral, m).where("score >= 0.5").count() / 300 for m in models], models[1]["pairs"]
+
+
+def test_the_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    without, with_penalty, pairs = false_positive_rates(spark)
+    print(f"false positives on neutral mentions: {without:.3f} without, {with_penalty:.3f} with the penalty, {pairs} pairs")
+    assert pairs > 100 and without > 0.2 and with_penalty < 0.5 * without
+
+
+def test_identity_terms_are_a_parameter_and_swap_with_their_endings():
+    assert toxicity.swapped({"muslims", "x"}, 1) == {"jewishs", "x"} and len(toxicity.features_of("muslims")) == 1
+    own = (("foo", "bar"),)
+    forms = toxicity.forms_of(own)
+    assert toxicity.swapped({"foo's"}, 1, own, forms) == {"bar's"} and toxicity.swapped({"muslim"}, 1, own, forms) is None
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    extra = ["score", "_score", "_key", "_text", "_base", "_spans", "_clean", "_d", "_t", "_n", "sid", "h", "block"]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30)
+    table = table.select("*", *[F.lit(c).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, "/root/testdata/sf0.001")
+        assert out.columns[: len(table.columns)] == table.columns, name
+        assert {tuple(r) for r in out.select(*extra).distinct().collect()} == {tuple(extra)}, name
