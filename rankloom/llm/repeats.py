@@ -130,12 +130,18 @@ class _Spans:
 
     def add(self, firsts: list[tuple], block: int, docs: bytes, rows: bytes, places: bytes) -> None:
         """firsts: first (doc, place) of each window of a run; docs, rows and places: where the run stands."""
-        least = min(f[0] for f in firsts)
+        some = [f[0] for f in firsts]
+        least, most, n = min(some), max(some), len(firsts)
+        d0, p0 = firsts[0]
+        plain = least == most and all(p == p0 + o for o, (_, p) in enumerate(firsts))  # the run as a whole has one first place
         for doc, row, at in zip(array("q", docs), array("i", rows), array("i", places)):
-            if least > doc or least == doc and not self.within:
+            if least > doc or least == doc and not self.within or plain and doc == d0 and at <= p0:
                 continue
-            lo = -1
             out = self.found.setdefault((block, row), array("i"))
+            if most < doc or plain:
+                out.extend((at, at + n - 1))
+                continue
+            lo = -1
             for o, (d, p) in enumerate(firsts):
                 if d < doc or self.within and d == doc and p < at + o:
                     lo = o if lo < 0 else lo
@@ -143,7 +149,7 @@ class _Spans:
                     out.extend((at + lo, at + o - 1))
                     lo = -1
             if lo >= 0:
-                out.extend((at + lo, at + len(firsts) - 1))
+                out.extend((at + lo, at + n - 1))
 
     def batches(self, least: int = 0):
         if len(self.found) > least:

@@ -57,19 +57,21 @@ def previous_factors(places: list, common: list[int]) -> list[tuple[int, int]]:
     places: position of each suffix; common[i]: common prefix of suffixes i - 1 and i.
     """
     n = len(places)
-    before, after = [(-1, 0)] * n, [(-1, 0)] * n
-    stack: list[tuple[int, int]] = []  # (index, common prefix with the one below it on the stack)
+    match, reach = [-1] * n, [0] * n
+    open_, falls = [], []  # suffixes whose next smaller position is not met yet; their common prefix with the one below
     for i in range(n):
-        lcp = common[i] if i else 0
-        while stack and places[stack[-1][0]] >= places[i]:
-            j, below = stack.pop()
-            if places[j] > places[i]:
-                after[j] = i, lcp
-            lcp = min(lcp, below)
-        if stack:
-            before[i] = stack[-1][0], lcp
-        stack.append((i, lcp))
-    return [a if b[0] < 0 or a[1] > b[1] else b for a, b in zip(after, before)]
+        place, lcp = places[i], common[i]
+        while open_ and places[open_[-1]] >= place:
+            j, below = open_.pop(), falls.pop()
+            if lcp > reach[j] and places[j] > place:
+                match[j], reach[j] = i, lcp
+            if below < lcp:
+                lcp = below
+        if open_ and lcp:
+            match[i], reach[i] = open_[-1], lcp
+        open_.append(i)
+        falls.append(lcp)
+    return list(zip(match, reach))
 
 
 def solver(length: int):
@@ -78,14 +80,21 @@ def solver(length: int):
         firsts = [[(d, p + o) for o in range(len(run) - length + 1)] for run, (d, p) in runs]
         if len(runs) == 1:
             return firsts
-        array = sorted((run[o:], (d, p + o), r, o) for r, (run, (d, p)) in enumerate(runs) for o in range(len(run) - length + 1))
-        places = [s[1] for s in array]
-        factors = previous_factors(places, [0, *[common_prefix(a[0], b[0]) for a, b in zip(array, array[1:])]])
-        for i in sorted(range(len(array)), key=places.__getitem__):  # what a factor refers to is earlier, so it is known
-            match, reach = factors[i]
-            if reach >= length:
-                places[i] = places[match]
-                firsts[array[i][2]][array[i][3]] = places[match]
+        suffixes = [run[o:] for run, _ in runs for o in range(len(run) - length + 1)]
+        array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        ordered = [suffixes[i] for i in array]
+        # (doc, place) as one number; whoever is earlier has the smaller one
+        own = [(d << 32) + p + o for run, (d, p) in runs for o in range(len(run) - length + 1)]
+        places = [own[i] for i in array]
+        factors = previous_factors(places, [0, *map(common_prefix, ordered, ordered[1:])])
+        later = sorted((place, x) for x, place in enumerate(places) if factors[x][1] >= length)
+        if later:
+            for _, x in later:  # what a factor refers to is earlier, so it is known
+                places[x] = places[factors[x][0]]
+            where = [(r, o) for r, (run, _) in enumerate(runs) for o in range(len(run) - length + 1)]
+            for _, x in later:
+                r, o = where[array[x]]
+                firsts[r][o] = places[x] >> 32, places[x] & 0xFFFFFFFF
         return firsts
 
     return solve
