@@ -48,32 +48,60 @@ class RankWeights:
             raise ValueError("score, urgency and ev must sum to 1")
 
 
+def prepared_items(items: DataFrame) -> DataFrame:
+    """items with what rules and scores compare, normalised once an item: n_states, n_majors, n_level, n_citizenship, n_has."""
+    c = F.col
+    return items.withColumns(
+        {
+            "n_states": norm_list(c("states_allowed")),
+            "n_majors": norm_list(c("majors_allowed")),
+            "n_level": norm_text(c("education_level")),
+            "n_citizenship": norm_text(c("citizenship")),
+            "n_has": F.array_distinct(F.concat(tokens(c("title")), list_tokens(c("keywords")))),
+        }
+    )
+
+
+def prepared_profiles(profiles: DataFrame) -> DataFrame:
+    """profiles with the prefix p_, and their side of the comparisons, normalised once a profile."""
+    c = F.col
+    named = profiles.select(*[c(x).alias(x if x == "profile_id" else f"p_{x}") for x in profiles.columns])
+    return named.withColumns(
+        {
+            "p_n_state": norm_text(c("p_state")),
+            "p_n_major": norm_text(c("p_major")),
+            "p_n_level": norm_text(c("p_education_level")),
+            "p_n_citizenship": norm_text(c("p_citizenship")),
+            "p_n_wanted": F.array_distinct(F.concat(list_tokens(c("p_keywords")), list_tokens(c("p_interests")))),
+        }
+    )
+
+
 def pairs(items: DataFrame, profiles: DataFrame, n_profiles: int | None = None) -> DataFrame:
     """Every item with every profile; profile columns get the prefix p_."""
-    named = profiles.select(*[F.col(c).alias(c if c == "profile_id" else f"p_{c}") for c in profiles.columns])
+    named = prepared_profiles(profiles)
     n = profiles.count() if n_profiles is None else n_profiles
-    return items.crossJoin(F.broadcast(named) if n <= SENT_PROFILES else named)
+    return prepared_items(items).crossJoin(F.broadcast(named) if n <= SENT_PROFILES else named)
 
 
 def reasons() -> Column:
     """Codes of all rules that the pair fails, in fixed order; empty when eligible."""
     c = F.col
 
-    def outside(allowed: str, own: str) -> Column:
-        listed = norm_list(c(allowed))
-        return (F.size(listed) > 0) & ~F.array_contains(listed, norm_text(c(own)))
+    def outside(listed: str, own: str) -> Column:
+        return (F.size(c(listed)) > 0) & ~F.array_contains(c(listed), c(own))
 
     def unlike(item: str, own: str) -> Column:
-        return (norm_text(c(item)) != "") & (norm_text(c(item)) != norm_text(c(own)))
+        return (c(item) != "") & (c(item) != c(own))
 
     return F.array_compact(
         F.array(
             F.when(c("deadline") < c("p_today"), "DEADLINE_PASSED"),
             F.when(c("p_gpa") < c("min_gpa"), "GPA_BELOW_MIN"),
-            F.when(outside("states_allowed", "p_state"), "STATE_NOT_ALLOWED"),
-            F.when(outside("majors_allowed", "p_major"), "MAJOR_NOT_ALLOWED"),
-            F.when(unlike("education_level", "p_education_level"), "EDUCATION_LEVEL_MISMATCH"),
-            F.when(unlike("citizenship", "p_citizenship"), "CITIZENSHIP_MISMATCH"),
+            F.when(outside("n_states", "p_n_state"), "STATE_NOT_ALLOWED"),
+            F.when(outside("n_majors", "p_n_major"), "MAJOR_NOT_ALLOWED"),
+            F.when(unlike("n_level", "p_n_level"), "EDUCATION_LEVEL_MISMATCH"),
+            F.when(unlike("n_citizenship", "p_n_citizenship"), "CITIZENSHIP_MISMATCH"),
         )
     )
 
@@ -96,9 +124,8 @@ def amount_utility(mode: str = "log") -> Column:
 
 
 def keyword_overlap() -> Column:
-    wanted = F.array_distinct(F.concat(list_tokens(F.col("p_keywords")), list_tokens(F.col("p_interests"))))
-    has = F.array_distinct(F.concat(tokens(F.col("title")), list_tokens(F.col("keywords"))))
-    return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, has)) / F.size(wanted)).otherwise(0.0)
+    wanted = F.col("p_n_wanted")
+    return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, "n_has")) / F.size(wanted)).otherwise(0.0)
 
 
 def effort_penalty() -> Column:
@@ -146,6 +173,11 @@ def top_k(ranked: DataFrame, k: int = 10) -> DataFrame:
     return ranked.withColumn("place", place("profile_id")).where(F.col("place") <= k)
 
 
+def similarity_of(*names: str) -> Column:
+    """The first of the similarities that is there, else 0."""
+    return F.coalesce(*[F.col(n) for n in names], F.lit(0.0))
+
+
 def relevance(mode: str = "hybrid", threshold: float = 0.12) -> Column:
     """2: strict match with keyword overlap; 1: overlap, or in hybrid mode similarity at the threshold; else 0."""
     if mode not in ("hybrid", "no_similarity"):
@@ -160,11 +192,10 @@ def relevance(mode: str = "hybrid", threshold: float = 0.12) -> Column:
 def reasons_of_match() -> Column:
     """The three strict matches: major, state and education level; an empty restriction matches."""
     c = F.col
-    majors, states, level = norm_list(c("majors_allowed")), norm_list(c("states_allowed")), norm_text(c("education_level"))
     return F.array(
-        (F.size(majors) == 0) | F.array_contains(majors, norm_text(c("p_major"))),
-        (F.size(states) == 0) | F.array_contains(states, norm_text(c("p_state"))),
-        (level == "") | (level == norm_text(c("p_education_level"))),
+        (F.size("n_majors") == 0) | F.array_contains("n_majors", c("p_n_major")),
+        (F.size("n_states") == 0) | F.array_contains("n_states", c("p_n_state")),
+        (c("n_level") == "") | (c("n_level") == c("p_n_level")),
     )
 
 
@@ -194,8 +225,8 @@ def pair_features(flag_source: str = "scholarship_america") -> dict[str, Column]
     }
 
 
-def explanations(most: int = 3) -> Column:
-    """Up to `most` labels of the strongest positive signals, strongest first."""
+def explanations(most: int = 3, with_win_model: bool = False) -> Column:
+    """Up to `most` labels of the strongest positive signals, strongest first; with a win model its expected value is the fifth signal."""
     # The labels in their order, the weight of "no essay", and the fallback.
     c = F.col
     labels = (
@@ -206,7 +237,8 @@ def explanations(most: int = 3) -> Column:
         "Strong expected-value proxy",
         "Lower effort (no essay)",
     )
-    scores = (c("text_sim"), c("amount_utility"), c("keyword_overlap"), c("urgency"), c("ev_norm"), F.when(F.coalesce("essay_required", F.lit(False)), 0.0).otherwise(0.4))
+    value = c("expected_value_norm") if with_win_model else c("ev_norm")
+    scores = (c("text_sim"), c("amount_utility"), c("keyword_overlap"), c("urgency"), value, F.when(F.coalesce("essay_required", F.lit(False)), 0.0).otherwise(0.4))
     signals = F.array(*[F.struct((-F.coalesce(x, F.lit(0.0))).alias("s"), F.lit(i).alias("i"), F.lit(label).alias("l")) for i, (x, label) in enumerate(zip(scores, labels))])
     best = F.transform(F.slice(F.array_sort(F.filter(signals, lambda x: x["s"] < 0)), 1, most), lambda x: x["l"])
     return F.when(F.size(best) > 0, best).otherwise(F.array(F.lit("Balanced profile fit after scoring")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# English stop words that terms are filtered by.
+# English stop words that terms are filtered by: the default of a parameter.
 STOP_WORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can cannot could did do "
     "does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself me more most "
@@ -16,33 +16,38 @@ STOP_WORDS = (
 ).split()
 
 
-def terms(text: Column) -> Column:
-    """Words of two or more [a-z0-9] characters without stop words, and their bigrams."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
+def terms(text: Column, stop_words=tuple(STOP_WORDS)) -> Column:
+    """Words of two or more word characters (Unicode) without stop words, and their bigrams."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
     two = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, two)
 
 
-def tfidf(items: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile_id, item_id, text_sim) of texts; items: profile_id, item_id, text; profiles: profile_id, text.
+def term_counts(rows: DataFrame, key: str, stop_words=tuple(STOP_WORDS)) -> DataFrame:
+    """(key, term, tf) of (key, text)."""
+    return rows.select(key, F.explode_outer(terms(F.col("text"), stop_words)).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def tfidf(pairs: DataFrame, items: DataFrame, profiles: DataFrame, stop_words=tuple(STOP_WORDS)) -> DataFrame:
+    """(profile_id, item_id, text_sim) of pairs (profile_id, item_id); items: item_id, text; profiles: profile_id, text.
 
     The corpus of a profile is its own text and its items; idf = ln((1+n)/(1+df)) + 1,
-    raw counts, L2 norm, dot product.  Only terms that a profile has can add to the
-    product, but all count for an item's length, so counts are taken once by (profile,
-    item, term) and joined with the profile's on (profile, term).
+    raw counts, L2 norm, dot product.  Texts are cut once an item; lengths and products
+    come from one grouping.
     """
-    corpus = items.select("profile_id", "item_id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
-    own = profiles.select("profile_id", F.lit(None).cast("string").alias("item_id"), F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
-    tf = corpus.unionByName(own).groupBy("profile_id", "item_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("profile_id", "term").agg(F.count("*").alias("df"))
-    n = items.groupBy("profile_id").agg((F.count("*") + 1).alias("n"))
-    weight = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    weighted = tf.join(df, ["profile_id", "term"]).join(n, "profile_id").select("profile_id", "item_id", "term", weight.alias("w"))
-    length = Window.partitionBy("profile_id", "item_id")
-    unit = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length)))
-    mine = unit.where("item_id is null").select("profile_id", "term", F.col("w").alias("pw"))
-    dots = unit.where("item_id is not null").join(mine, ["profile_id", "term"]).groupBy("profile_id", "item_id").agg(F.sum(F.col("w") * F.col("pw")).alias("s"))
-    out = items.select("profile_id", "item_id").join(dots, ["profile_id", "item_id"], "left")
+    counted, mine = term_counts(items, "item_id", stop_words), term_counts(profiles, "profile_id", stop_words)
+    rows = pairs.select("profile_id", "item_id").join(counted, "item_id")
+    n = pairs.groupBy("profile_id").agg((F.count("*") + 1).alias("n"))
+    df = rows.select("profile_id", "term").unionByName(mine.select("profile_id", "term")).groupBy("profile_id", "term").agg(F.count("*").alias("df"))
+    idf = df.join(n, "profile_id").select("profile_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    # All that a pair needs to know of a term, so the pairs are joined once.
+    own = mine.withColumnRenamed("tf", "own")
+    known = idf.join(own, ["profile_id", "term"], "left").select("profile_id", "term", "idf", (F.coalesce("own", F.lit(0)) * F.col("idf")).alias("pw"))
+    length = known.groupBy("profile_id").agg(F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("pl"))
+    w = F.col("tf") * F.col("idf")
+    sums = rows.join(known, ["profile_id", "term"]).groupBy("profile_id", "item_id").agg(F.sum(w * w).alias("s2"), F.sum(w * F.col("pw")).alias("s"))
+    cosine = F.try_divide(F.col("s"), F.sqrt("s2") * F.col("pl"))
+    out = pairs.select("profile_id", "item_id").join(sums.join(length, "profile_id").select("profile_id", "item_id", cosine.alias("s")), ["profile_id", "item_id"], "left")
     return out.select("profile_id", "item_id", F.least(F.greatest(F.coalesce(F.round("s", 9), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("text_sim"))
 
 

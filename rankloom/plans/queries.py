@@ -12,11 +12,10 @@ from rankloom.operators import evaluation, ranking, similarity, snapshot, winmod
 from rankloom.plans import catalog, golden
 from rankloom.sources import records
 from rankloom.streaming import ingest
-from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL
+from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL, SIM_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-PROFILES = 8  # rows that catalog.profiles gives
 
 
 def query(sql: str | None = None):
@@ -34,12 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir), PROFILES)
+    both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir))
     return both.withColumn("reasons", ranking.reasons())
 
 
+def _similarity(spark, sf_dir, eligible: DataFrame) -> DataFrame:
+    items = catalog.items(spark, sf_dir).select("item_id", text.item_text().alias("text"))
+    return similarity.tfidf(eligible, items, catalog.profiles(spark, sf_dir).select("profile_id", text.profile_text().alias("text")))
+
+
 def _eligible(spark, sf_dir) -> DataFrame:
-    return _pairs(spark, sf_dir).where(F.size("reasons") == 0)
+    """Eligible pairs with their similarity."""
+    eligible = _pairs(spark, sf_dir).where(F.size("reasons") == 0)
+    return eligible.join(_similarity(spark, sf_dir, eligible), ["profile_id", "item_id"])
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -55,7 +61,7 @@ def r9(c: str):
 
 
 R9 = lambda *cs: ", ".join(f"round({c}, 9) AS {c}" for c in cs)
-COMPONENTS = ("amount_utility", "keyword_overlap", "effort_penalty", "stage_score", "urgency", "ev_norm", "final_score")
+COMPONENTS = ("text_sim", "amount_utility", "keyword_overlap", "effort_penalty", "stage_score", "urgency", "ev_norm", "final_score")
 
 
 @query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, CAST(place AS INT) AS place, array_to_string(reasons, ',') AS reasons, {R9(*COMPONENTS)} FROM top")
@@ -83,9 +89,9 @@ def score_04_amount_linear(spark, sf_dir):
     return _eligible(spark, sf_dir).select("profile_id", "item_id", ranking.amount_utility("linear").alias("amount_linear")).select("profile_id", "item_id", r9("amount_linear"))
 
 
-@query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, {R9('amount_utility', 'keyword_overlap', 'effort_penalty', 'stage_score')} FROM staged")
+@query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, {R9('text_sim', 'amount_utility', 'keyword_overlap', 'effort_penalty', 'stage_score')} FROM staged")
 def score_08_composite(spark, sf_dir):
-    return ranking.score(_eligible(spark, sf_dir)).select("profile_id", "item_id", *map(r9, ("amount_utility", "keyword_overlap", "effort_penalty", "stage_score")))
+    return ranking.score(_eligible(spark, sf_dir)).select("profile_id", "item_id", *map(r9, ("text_sim", "amount_utility", "keyword_overlap", "effort_penalty", "stage_score")))
 
 
 @query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, days_to_deadline, effort_cost, {R9('urgency', 'ev_proxy', 'ev_norm', 'final_score')} FROM ranked")
@@ -93,39 +99,24 @@ def rank_07_rerank(spark, sf_dir):
     return _ranked(spark, sf_dir).select("profile_id", "item_id", "days_to_deadline", "effort_cost", *map(r9, ("urgency", "ev_proxy", "ev_norm", "final_score")))
 
 
-@query(f"WITH {SCORED_SQL} SELECT item_id, {R9('final_score')} FROM ranked WHERE profile_id = 'p1' ORDER BY round(final_score, 10) DESC, deadline ASC NULLS LAST, item_id LIMIT 20")
+@query(f"WITH {SCORED_SQL} SELECT item_id, {R9('final_score')} FROM ranked WHERE profile_id = 'p20' ORDER BY round(final_score, 10) DESC, deadline ASC NULLS LAST, item_id LIMIT 20")
 def rank_10_top_n(spark, sf_dir):
-    one = _ranked(spark, sf_dir).where("profile_id = 'p1'")
+    one = _ranked(spark, sf_dir).where("profile_id = 'p20'")
     return one.orderBy(F.round("final_score", 10).desc(), F.col("deadline").asc_nulls_last(), "item_id").limit(20).select("item_id", r9("final_score"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in similarity.STOP_WORDS)
-TFIDF_SQL = f"""WITH {PAIRS_SQL},
-texts AS (SELECT profile_id, item_id, concat_ws(' ', lower(title), lower(sponsor), trim(lower(description))) AS t FROM pairs WHERE len(reasons) = 0
-  UNION ALL SELECT profile_id, NULL, ptext FROM profiles WHERE profile_id IN (SELECT profile_id FROM pairs WHERE len(reasons) = 0)),
-w AS (SELECT profile_id, item_id, list_filter(regexp_extract_all(t, '[a-z0-9]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS ws FROM texts),
-terms AS (SELECT profile_id, item_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS term FROM w),
-tf AS (SELECT profile_id, item_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-df AS (SELECT profile_id, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT profile_id, count(*) AS n FROM texts GROUP BY ALL),
-wt AS (SELECT tf.profile_id, item_id, tf.term, tf * (ln(CAST(1 + n AS DOUBLE) / (1 + df)) + 1) AS x FROM tf JOIN df USING (profile_id, term) JOIN n USING (profile_id)),
-u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY profile_id, item_id)) AS v FROM wt),
-d AS (SELECT a.profile_id, a.item_id, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.profile_id = b.profile_id AND a.term = b.term AND b.item_id IS NULL WHERE a.item_id IS NOT NULL GROUP BY ALL)
-SELECT t.profile_id, t.item_id, coalesce(round(round(d.s, 9), 6), CAST(0 AS DOUBLE)) AS text_sim FROM texts t LEFT JOIN d USING (profile_id, item_id) WHERE t.item_id IS NOT NULL"""
-
-
-@query(TFIDF_SQL)
+@query(f"WITH {SIM_SQL} SELECT profile_id, item_id, round(text_sim, 6) AS text_sim FROM sim")
 def score_01_tfidf(spark, sf_dir):
-    own = _eligible(spark, sf_dir).select("profile_id", "item_id", text.item_text().alias("text"))
-    mine = catalog.profiles(spark, sf_dir).select("profile_id", text.profile_text().alias("text")).join(own.select("profile_id").distinct(), "profile_id", "left_semi")
-    return similarity.tfidf(own, mine).withColumn("text_sim", F.round("text_sim", 6))
+    eligible = _pairs(spark, sf_dir).where(F.size("reasons") == 0)
+    return _similarity(spark, sf_dir, eligible).withColumn("text_sim", F.round("text_sim", 6))
 
 
 @query("""SELECT q.vec_id AS profile_id, e.vec_id AS item_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS text_sim
-FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 4) q""")
+FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q""")
 def score_02_embedding_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 4").select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("q"))  # four rows by the condition
-    return e.crossJoin(F.broadcast(q)).select("profile_id", F.col("vec_id").alias("item_id"), F.round(similarity.dot(F.col("q"), F.col("embedding")), 5).alias("text_sim"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q) if q.count() <= ranking.SENT_PROFILES else q).select("profile_id", F.col("vec_id").alias("item_id"), F.round(similarity.dot(F.col("q"), F.col("embedding")), 5).alias("text_sim"))
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, sha1(concat(item_id, '|', lower(title), ' | ', lower(sponsor), ' | ', lower(trim(description)), ' |  | ')) AS embedding_key FROM items""")
@@ -266,7 +257,7 @@ def norm_07_normalise_records(spark, sf_dir):
 
 
 MATCH = "(len(majors_allowed) = 0 OR list_contains(majors_allowed, major)) AND (len(states_allowed) = 0 OR list_contains(states_allowed, state)) AND (education_level = '' OR education_level = p_level)"
-LABELLED_SQL = f"{SCORED_SQL}, lab AS (SELECT *, CASE WHEN {MATCH} AND keyword_overlap > 0 THEN 2 WHEN keyword_overlap > 0 THEN 1 ELSE 0 END AS relevance FROM top)"
+LABELLED_SQL = f"{SCORED_SQL}, lab AS (SELECT *, CASE WHEN {MATCH} AND keyword_overlap > 0 THEN 2 WHEN keyword_overlap > 0 OR text_sim >= 0.12 THEN 1 ELSE 0 END AS relevance FROM top)"
 
 
 @query(f"WITH {LABELLED_SQL} SELECT profile_id, item_id, CAST(relevance AS INT) AS relevance FROM lab")
@@ -304,9 +295,9 @@ def met_06_diversity(spark, sf_dir):
     return _top(spark, sf_dir).groupBy("profile_id").agg(share("sponsor"), share("source"))
 
 
-@query(f"WITH {SCORED_SQL} SELECT round(median(q), 9) AS threshold FROM (SELECT profile_id, quantile_cont(amount_utility, CAST(0.75 AS DOUBLE)) AS q FROM staged WHERE keyword_overlap <= 0 GROUP BY profile_id)")
+@query(f"WITH {SCORED_SQL} SELECT round(median(q), 9) AS threshold FROM (SELECT profile_id, quantile_cont(text_sim, CAST(0.75 AS DOUBLE)) AS q FROM staged WHERE keyword_overlap <= 0 GROUP BY profile_id)")
 def rel_04_threshold(spark, sf_dir):
-    return evaluation.threshold(ranking.score(_eligible(spark, sf_dir)).withColumn("text_sim", F.col("amount_utility")))
+    return evaluation.threshold(ranking.score(_eligible(spark, sf_dir)))
 
 
 GRID_SQL = """grid AS (SELECT * FROM (SELECT unnest([0.70, 0.80, 0.85, 0.90])::DOUBLE AS t) CROSS JOIN (SELECT unnest([0.05, 0.10, 0.20])::DOUBLE AS a) CROSS JOIN (SELECT unnest([0.05, 0.10, 0.15])::DOUBLE AS k)
@@ -320,18 +311,31 @@ def tune_01_grid(spark, sf_dir):
     return evaluation.grid(spark, 10_000).select("config_id")
 
 
+def _components(spark, sf_dir) -> DataFrame:
+    """Each eligible pair once, with all that a configuration weighs, kept for as long as the session wants it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        rows = _ranked(spark, sf_dir).select("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm", ranking.relevance().alias("relevance"))
+        _KEPT.clear()
+        _KEPT[key] = rows.persist()
+    return _KEPT[key]
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
 def _tuned(spark, sf_dir):
-    configs = evaluation.grid(spark, 10_000).where("text = 0.85 and effort = 0.1 and keyword = 0.15")
-    parts = _ranked(spark, sf_dir).select("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm", ranking.relevance().alias("relevance"))
-    every = evaluation.rescored(parts, configs, 24)
-    top = every.withColumn("place", ranking.place("config_id", "profile_id")).where("place <= 10")
+    """Metrics of every configuration of the grid, as many as `grid` gives by default (the baseline is the first)."""
+    configs = evaluation.grid(spark)
+    every = evaluation.rescored(_components(spark, sf_dir), configs, configs.count())
+    top = every.withColumn("place", ranking.place("config_id", "profile_id")).where("place <= 10").select("config_id", "profile_id", "item_id", "place", "relevance", "ev_norm")
     lists = evaluation.ndcg(top, "config_id", "profile_id").groupBy("config_id").agg(F.round(F.avg("ndcg"), 8).alias("ndcg"))
     return lists.join(evaluation.coverage(top, "config_id"), "config_id").join(top.groupBy("config_id").agg(F.round(F.avg("ev_norm"), 8).alias("ev")), "config_id")
 
 
-TUNED_SQL = f"""WITH {SCORED_SQL}, {GRID_SQL}, few AS (SELECT * FROM cfg WHERE t = CAST(0.85 AS DOUBLE) AND e = CAST(0.1 AS DOUBLE) AND k = CAST(0.15 AS DOUBLE)),
-re AS (SELECT r.* EXCLUDE (final_score), c.config_id, c.s * least(greatest(c.a * amount_utility + c.k * keyword_overlap - c.e * effort_penalty, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) + c.u * urgency + c.v * ev_norm AS final_score,
-  CASE WHEN {MATCH} AND keyword_overlap > 0 THEN 2 WHEN keyword_overlap > 0 THEN 1 ELSE 0 END AS relevance FROM ranked r CROSS JOIN few c),
+TUNED_SQL = f"""WITH {SCORED_SQL}, {GRID_SQL}, few AS (SELECT * FROM cfg ORDER BY config_id <> 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log', t, a, k, e, s, u, v LIMIT 200),
+re AS (SELECT r.* EXCLUDE (final_score), c.config_id, c.s * least(greatest(c.t * text_sim + c.a * amount_utility + c.k * keyword_overlap - c.e * effort_penalty, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) + c.u * urgency + c.v * ev_norm AS final_score,
+  CASE WHEN {MATCH} AND keyword_overlap > 0 THEN 2 WHEN keyword_overlap > 0 OR text_sim >= 0.12 THEN 1 ELSE 0 END AS relevance FROM ranked r CROSS JOIN few c),
 pl AS (SELECT *, row_number() OVER (PARTITION BY config_id, profile_id ORDER BY round(final_score, 10) DESC, deadline ASC NULLS LAST, item_id) AS place FROM re),
 lab AS (SELECT * FROM pl WHERE place <= 10), nd AS ({NDCG_SQL.format(by='config_id, profile_id')}),
 res AS (SELECT l.config_id, round(n.ndcg, 8) AS ndcg, l.coverage, l.ev FROM (SELECT config_id, CAST(count(DISTINCT item_id) AS DOUBLE) / count(*) AS coverage, round(avg(ev_norm), 8) AS ev FROM lab GROUP BY config_id) l
@@ -349,12 +353,12 @@ def tune_09_pareto_front(spark, sf_dir):
     return evaluation.pareto_front(_tuned(spark, sf_dir), ["ndcg", "coverage", "ev"]).select("config_id")
 
 
-@query(f"""WITH {SCORED_SQL} SELECT profile_id, item_id, gpa, coalesce(min_gpa, 0) AS min_gpa, greatest(gpa - coalesce(min_gpa, 0), 0) AS gpa_above_min, {R9('keyword_overlap')}, CAST(0 AS DOUBLE) AS text_sim,
+@query(f"""WITH {SCORED_SQL} SELECT profile_id, item_id, gpa, coalesce(min_gpa, 0) AS min_gpa, greatest(gpa - coalesce(min_gpa, 0), 0) AS gpa_above_min, {R9('keyword_overlap')}, {R9('text_sim')},
  CASE WHEN days_to_deadline IS NULL THEN 365 ELSE least(greatest(days_to_deadline, 0), 365) END AS days_to_deadline, amt AS amount_value, round(ln(1 + amt), 9) AS amount_log, CAST(1 AS DOUBLE) AS major_match, CAST(1 AS DOUBLE) AS state_match, CAST(1 AS DOUBLE) AS education_level_match,
  effort_penalty AS essay_required, CASE WHEN p_partkey % 4 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS source_flag FROM staged""")
 def win_01_pair_features(spark, sf_dir):
     f = ranking.pair_features()
-    f |= {c: F.round(f[c], 9) for c in ("keyword_overlap", "amount_log")}
+    f |= {c: F.round(f[c], 9) for c in ("keyword_overlap", "amount_log", "text_sim")}
     return ranking.score(_eligible(spark, sf_dir)).select("profile_id", "item_id", *[x.alias(c) for c, x in f.items()])
 
 
@@ -391,9 +395,9 @@ def win_10_reliability(spark, sf_dir):
     return winmodel.reliability(rows).select("bin", "n", F.coalesce("mean_p", F.lit(-1.0)).alias("mean_p"), F.coalesce("rate", F.lit(-1.0)).alias("rate"))
 
 
-@query(f"""WITH {SCORED_SQL} SELECT item_id, amt, days_to_deadline FROM placed WHERE profile_id = 'p2' AND contains(lower(concat_ws(' ', title, sponsor, description)), 'e') AND days_to_deadline BETWEEN 0 AND 400 AND amt >= 1000 AND NOT essay_required""")
+@query(f"""WITH {SCORED_SQL} SELECT item_id, amt, days_to_deadline FROM placed WHERE profile_id = 'p40' AND contains(lower(concat_ws(' ', title, sponsor, description)), 'e') AND days_to_deadline BETWEEN 0 AND 400 AND amt >= 1000 AND NOT essay_required""")
 def ui_01_filters(spark, sf_dir):
-    r = _ranked(spark, sf_dir).where("profile_id = 'p2'").withColumn("amt", ranking.amount())
+    r = _ranked(spark, sf_dir).where("profile_id = 'p40'").withColumn("amt", ranking.amount())
     return r.where(F.lower(F.concat_ws(" ", "title", "sponsor", "description")).contains("e") & F.col("days_to_deadline").between(0, 400) & (F.col("amt") >= 1000) & ~F.coalesce("essay_required", F.lit(False))).select("item_id", "amt", "days_to_deadline")
 
 
@@ -403,7 +407,7 @@ def ui_05_amount_text(spark, sf_dir):
     return catalog.items(spark, sf_dir).select("item_id", ranking.amount_text().alias("amount"))
 
 
-@query(f"""WITH {SCORED_SQL}, sig AS (SELECT profile_id, item_id, unnest([{{'s': amount_utility, 'i': 1, 'l': 'High award amount'}}, {{'s': keyword_overlap, 'i': 2, 'l': 'High direct keyword overlap'}},
+@query(f"""WITH {SCORED_SQL}, sig AS (SELECT profile_id, item_id, unnest([{{'s': text_sim, 'i': 0, 'l': 'Strong match to your goals/keywords'}}, {{'s': amount_utility, 'i': 1, 'l': 'High award amount'}}, {{'s': keyword_overlap, 'i': 2, 'l': 'High direct keyword overlap'}},
  {{'s': urgency, 'i': 3, 'l': 'Deadline soon, boosted for urgency'}}, {{'s': ev_norm, 'i': 4, 'l': 'Strong expected-value proxy'}}, {{'s': CASE WHEN essay_required THEN CAST(0 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END, 'i': 5, 'l': 'Lower effort (no essay)'}}]) AS x FROM top),
 o AS (SELECT *, row_number() OVER (PARTITION BY profile_id, item_id ORDER BY x.s DESC, x.i) AS rn FROM sig WHERE x.s > 0)
 SELECT profile_id, item_id, string_agg(x.l, '; ' ORDER BY rn) AS why FROM o WHERE rn <= 3 GROUP BY profile_id, item_id""")

@@ -119,9 +119,10 @@ def test_text_functions(spark):
 
 
 def test_tfidf_identical_text_scores_highest(spark):
-    items = spark.createDataFrame([("p", "a", "machine learning robots"), ("p", "b", "medieval history"), ("p", "c", "machine shop")], "profile_id string, item_id string, text string")
+    items = spark.createDataFrame([("a", "machine learning robots"), ("b", "medieval history"), ("c", "machine shop")], "item_id string, text string")
+    pairs = items.select(F.lit("p").alias("profile_id"), "item_id")
     profile = spark.createDataFrame([("p", "machine learning robots")], "profile_id string, text string")
-    got = {r.item_id: r.text_sim for r in similarity.tfidf(items, profile).collect()}
+    got = {r.item_id: r.text_sim for r in similarity.tfidf(pairs, items, profile).collect()}
     assert got["a"] == pytest.approx(1) and got["b"] == 0 and 0 < got["c"] < 1
 
 
