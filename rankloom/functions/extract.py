@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities that are unescaped, ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMES = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
 MONEY = r"\$\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 
 
 def unescaped(x: Column) -> Column:
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Named and numeric character references as their characters; unknown ones stay."""
+    names = F.from_json(F.lit(NAMES), "map<string,string>")
+    code = lambda n: F.when(n.rlike("^#[xX]"), F.conv(F.substring(n, 3, 6), 16, 10)).when(n.startswith("#"), F.substring(n, 2, 7)).cast("int")
+    valid = lambda c: c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+    char = lambda c: F.when(valid(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+    known = lambda n: F.coalesce(F.try_element_at(names, n), char(code(n)), F.concat(F.lit("&"), n, F.lit(";")))
+    pieces = F.zip_with(F.split(x, ENTITY, -1), F.regexp_extract_all(x, F.lit(ENTITY), F.lit(1)), lambda gap, n: F.concat(gap, F.when(n.isNull(), "").otherwise(known(n))))
+    return F.when(x.contains("&"), F.array_join(pieces, "")).otherwise(x)
 
 
 def spaced(x: Column) -> Column:
@@ -33,13 +41,20 @@ def clean_text(x: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """array<struct<href, text>> of the links."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href\s*=\s*\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
-    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"(?is)href\s*=\s*\"([^\"]*)\"", 1).alias("href"), spaced(F.regexp_replace(a, r"(?s)<[^>]+>", " ")).alias("text")))
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a>"), F.lit(0))
+    href = lambda a: unescaped(F.regexp_replace(F.regexp_extract(a, r"(?is)href\s*=\s*(\"[^\"]*\"|'[^']*')", 1), r"^.|.$", ""))
+    return F.transform(found, lambda a: F.struct(href(a).alias("href"), spaced(F.regexp_replace(a, r"(?s)<[^>]+>", " ")).alias("text")))
+
+
+def meta_content(html: Column, name: str) -> Column:
+    """The content of the meta element of that name or property, attributes in any order; "" without one."""
+    tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*(?:name|property)\s*=\s*[\"']{name}[\"'])[^>]*>", 0)
+    return F.regexp_replace(F.regexp_extract(tag, r"(?is)content\s*=\s*(\"[^\"]*\"|'[^']*')", 1), r"^.|.$", "")
 
 
 def title(html: Column, suffix: str = "") -> Column:
     """og:title, else the first h1, else the title element without its suffix."""
-    og = F.regexp_extract(html, r"(?is)<meta[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"", 1)
+    og = meta_content(html, "og:title")
     h1 = html_text(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
     head = html_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     if suffix:
@@ -49,7 +64,7 @@ def title(html: Column, suffix: str = "") -> Column:
 
 def description(html: Column) -> Column:
     """Meta description, else the first paragraph of 30 characters or more, else empty."""
-    meta = F.regexp_extract(html, r"(?is)<meta[^>]*name=\"description\"[^>]*content=\"([^\"]*)\"", 1)
+    meta = meta_content(html, "description")
     paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), html_text)
     return F.coalesce(F.nullif(spaced(unescaped(meta)), F.lit("")), F.get(F.filter(paragraphs, lambda p: F.length(p) >= 30), 0), F.lit(""))
 

@@ -76,3 +76,40 @@ def changes(current: DataFrame, prior: DataFrame, id_col: str, tracked: list[str
 
 def duplicate_ids(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
+
+
+# The columns of a snapshot, in their order.
+SNAPSHOT = (
+    "item_id", "source", "source_id", "source_url", "title", "sponsor", "description", "eligibility_text", "deadline", "amount_min", "amount_max",
+    "is_recurring", "states_allowed", "majors_allowed", "min_gpa", "citizenship", "education_level", "essay_required", "essay_prompt", "keywords",
+    "first_seen_at", "last_seen_at",
+)
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """The snapshot's columns in their order, missing ones as nulls, rows by id with null ids last."""
+    lists = ("states_allowed", "majors_allowed", "keywords")
+    kinds = {"amount_min": "double", "amount_max": "double", "min_gpa": "double", "is_recurring": "boolean", "essay_required": "boolean", "deadline": "date"}
+    column = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("array<string>" if c in lists else kinds.get(c, "string")).alias(c)
+    extra = [c for c in records.columns if c == "embedding_key"]
+    return records.select(*map(column, SNAPSHOT), *extra).orderBy(F.col("item_id").asc_nulls_last())
+
+
+def composed(records: DataFrame, prior: DataFrame | None, key: Column, tracked: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(snapshot with embedding keys, its changes against the prior one; without a prior all rows are added)."""
+    rows = prepared(dedupe(records).withColumn("embedding_key", key))
+    return rows, changes(rows, rows.limit(0) if prior is None else prior, "item_id", tracked)
+
+
+def run_status(attempts: DataFrame) -> DataFrame:
+    """One row over (source, attempted, succeeded, failed): sources by status, summed counts, and the run's status.
+
+    A source succeeds without failures, fails without successes, else is partial; so does the run over its sources.
+    """
+    c = F.col
+    each = attempts.groupBy("source").agg(*[F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in ("attempted", "succeeded", "failed")])
+    status = F.when((c("failed") == 0) & (c("succeeded") > 0), "success").when(c("succeeded") == 0, "failed").otherwise("partial")
+    names = lambda s: F.array_sort(F.collect_list(F.when(c("status") == s, c("source")))).alias(f"{s}_sources")
+    out = each.withColumn("status", status).agg(names("success"), names("partial"), names("failed"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("attempted", "succeeded", "failed")])
+    bad, fine = F.size("failed_sources") + F.size("partial_sources"), F.size("success_sources") + F.size("partial_sources")
+    return out.withColumn("status", F.when((bad == 0) & (fine > 0), "success").when(fine == 0, "failed").otherwise("partial"))

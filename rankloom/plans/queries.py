@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import extract, identity, text, urls
-from rankloom.operators import evaluation, ranking, similarity, snapshot, winmodel
+from rankloom.operators import embeddings, evaluation, ranking, reports, similarity, snapshot, winmodel
 from rankloom.plans import catalog, golden
-from rankloom.sources import records
+from rankloom.sources import fetch, records
 from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL, SIM_SQL
 
@@ -159,9 +159,12 @@ def txt_03_page_origins(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(urls.normalised(u), r"^([a-z]+://[^/]+)", 1).alias("origin"), urls.is_http(u).alias("is_http"))
 
 
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))  # those that pages hold
+
+
 def _text_sql(x: str) -> str:
     out = rf"regexp_replace({x}, '<[^>]+>', ' ', 'gs')"
-    for name, char in extract.ENTITIES:
+    for name, char in ENTITIES:
         quoted = char.replace("'", "''")
         out = f"replace({out}, '{name}', '{quoted}')"
     return rf"trim(regexp_replace({out}, '[\s\x{{00A0}}\x{{0085}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{1680}}\x0B]+', ' ', 'g'))"
@@ -465,3 +468,135 @@ def tune_08_best_blends(spark, sf_dir):
     best = evaluation.by_blend(evaluation.blended(_tuned(spark, sf_dir), {"ndcg": 0.7, "coverage": 0.2, "ev": 0.1})).limit(5)
     w = Window.orderBy(F.desc("blended"), F.desc("ndcg"), F.desc("coverage"), F.desc("ev"), "config_id")  # five rows
     return best.select("config_id", F.row_number().over(w).alias("place"))
+
+
+PART_URL = "concat('https://www.Example.org/', CASE p_partkey % 4 WHEN 0 THEN 'scholarship/' WHEN 1 THEN 'students/browse-scholarships/' WHEN 2 THEN 'about/' ELSE 'files/' END, 'award-', p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '.pdf' ELSE '' END)"
+
+
+@query("""SELECT DISTINCT concat('https://example.org/scholarship/award-', p_partkey) AS url FROM part WHERE p_partkey % 4 = 0""")
+def src_08_json_urls(spark, sf_dir):
+    raw = F.expr(f"concat('{{\"a\": [{{\"link\": \"', {PART_URL}, '\"}}, 7, null, \"text\"]}}')")
+    return fetch.json_detail_urls(table(spark, sf_dir, "part").select(raw.alias("raw")), "example.org")
+
+
+@query("""SELECT DISTINCT concat('https://example.org/scholarship/award-', p_partkey) AS url, 'detail' AS kind FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT DISTINCT concat('https://example.org/about/award-', p_partkey), 'detail' FROM part WHERE p_partkey % 4 = 2 AND p_size % 2 = 0
+UNION ALL SELECT DISTINCT concat('https://example.org/students/browse-scholarships/award-', p_partkey), 'category' FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT 'https://example.org/wp-json/wp/v2/posts', 'json'""")
+def txt_02_listing_links(spark, sf_dir):
+    link = F.expr(f"concat('<p><a class=x href=\"', substr({PART_URL}, 24), '\">', CASE WHEN p_size % 2 = 0 THEN 'The Scholarship' ELSE 'more' END, '</a> \"https://www.example.org/wp-json/wp/v2/posts\"')")
+    return fetch.listing_links(table(spark, sf_dir, "part").select(link.alias("html")), "https://www.example.org/list/", "example.org")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, concat('detail-', p_partkey, '-', substr(sha1(concat('https://example', p_partkey % 50, '.org/Awards/', p_partkey, '?a=1&b=2')), 1, 8)) AS slug FROM items""")
+def src_13_cache_slugs(spark, sf_dir):
+    return catalog.items(spark, sf_dir).select("item_id", urls.cache_slug(urls.normalised(F.col("source_url"))).alias("slug"))
+
+
+def _stand_in():
+    """A fetcher that needs no network: the body of a URL is its own text; some URLs fail."""
+
+    def get(url: str) -> bytes:
+        if int(url.rsplit("-", 1)[1]) % 7 == 0:
+            raise OSError("gone")
+        return url.encode()
+
+    return get
+
+
+@query("""SELECT concat('https://a.org/scholarship/x-', p_partkey) AS url, p_partkey % 3 = 0 AS from_cache, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 = 0 THEN 'detail_fetch_failed:OSError' ELSE '-' END AS error,
+  CASE WHEN p_partkey % 3 = 0 THEN 6 WHEN p_partkey % 7 = 0 THEN 0 ELSE length(concat('https://a.org/scholarship/x-', p_partkey)) END AS n_bytes FROM part""")
+def src_10_resumed_fetch(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://a.org/scholarship/x-"), "p_partkey").alias("url"))
+    old = wanted.where("p_partkey % 3 = 0")
+    times = F.array(F.to_timestamp(F.lit("2026-02-22 01:00:00")), F.to_timestamp(F.lit("2026-02-22 09:00:00")), F.to_timestamp(F.lit("2026-02-21 09:00:00")))
+    cache = old.select(urls.cache_slug(F.col("url")).alias("slug"), F.explode(times).alias("fetched_at")).withColumn("payload", F.when(F.hour("fetched_at") == 9, F.when(F.dayofmonth("fetched_at") == 22, "latest").otherwise("yesterday")).otherwise("early").cast("binary"))
+    out = fetch.resumed(wanted, cache, F.lit("2026-02-22").cast("date"), _stand_in, concurrency=8, most=None)
+    return out.select("url", "from_cache", F.coalesce("error", F.lit("-")).alias("error"), F.coalesce(F.octet_length("payload"), F.lit(0)).alias("n_bytes"))
+
+
+@query(f"""WITH {ITEMS_SQL}, cur AS (SELECT item_id, title FROM items WHERE p_partkey % 10 <> 0), pri AS (SELECT item_id, CASE WHEN p_partkey % 7 = 0 THEN 'old' ELSE title END AS title FROM items WHERE p_partkey % 9 <> 0)
+SELECT change_type, count(*) AS n FROM (SELECT CASE WHEN p.item_id IS NULL THEN 'added' WHEN c.item_id IS NULL THEN 'removed' WHEN c.title <> p.title THEN 'changed' END AS change_type FROM cur c FULL OUTER JOIN pri p ON c.item_id = p.item_id) WHERE change_type IS NOT NULL GROUP BY 1""")
+def diff_06_composed(spark, sf_dir):
+    items = catalog.items(spark, sf_dir)
+    key = F.col("item_id").cast("int")
+    prior = items.where(key % 9 != 0).withColumn("title", F.when(key % 7 == 0, "old").otherwise(F.col("title")))
+    _, found = snapshot.composed(items.where(key % 10 != 0), prior, identity.embedding_key(), ["title", "deadline"])
+    return found.groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, title, CAST(22 AS INT) AS n_columns, 'item_id,source,source_id' AS first_columns FROM items""")
+def norm_11_prepared(spark, sf_dir):
+    rows = snapshot.prepared(catalog.items(spark, sf_dir))
+    return rows.select("item_id", "title", F.lit(len(rows.columns)).alias("n_columns"), F.lit(",".join(rows.columns[:3])).alias("first_columns"))
+
+
+@query("""WITH e AS (SELECT event_type AS source, count(*) AS attempted, count(*) FILTER (event_id % 2 = 0 OR event_type < 'd') AS succeeded FROM events GROUP BY event_type),
+f AS (SELECT *, attempted - succeeded AS failed FROM e), g AS (SELECT *, CASE WHEN failed = 0 AND succeeded > 0 THEN 'success' WHEN succeeded = 0 THEN 'failed' ELSE 'partial' END AS status FROM f)
+SELECT CASE WHEN count(*) FILTER (status <> 'success') = 0 THEN 'success' WHEN count(*) FILTER (status <> 'failed') = 0 THEN 'failed' ELSE 'partial' END AS status, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'partial') AS n_partial,
+ CAST(sum(attempted) AS BIGINT) AS attempted, CAST(sum(succeeded) AS BIGINT) AS succeeded FROM g""")
+def qual_04_run_status(spark, sf_dir):
+    fine = (F.col("event_id") % 2 == 0) | (F.col("event_type") < "d")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.lit(1).alias("attempted"), fine.cast("int").alias("succeeded"), (~fine).cast("int").alias("failed"))
+    return snapshot.run_status(rows).select("status", F.size("success_sources").cast("long").alias("n_success"), F.size("partial_sources").cast("long").alias("n_partial"), "attempted", "succeeded")
+
+
+WON_SQL = f"""WITH {SCORED_SQL}, pw AS (SELECT *, CAST(p_partkey % 10 AS DOUBLE) / 10 AS p_win, CAST(p_partkey % 10 AS DOUBLE) / 10 * amt AS expected_value FROM staged),
+pn2 AS (SELECT *, CASE WHEN max(expected_value) OVER w > min(expected_value) OVER w THEN (expected_value - min(expected_value) OVER w) / (max(expected_value) OVER w - min(expected_value) OVER w) ELSE CAST(0 AS DOUBLE) END AS expected_value_norm FROM pw WINDOW w AS (PARTITION BY profile_id)),
+wr AS (SELECT *, CAST(0.8 AS DOUBLE) * stage_score + CAST(0.15 AS DOUBLE) * urgency + CAST(0.05 AS DOUBLE) * expected_value_norm AS won_score FROM pn2),
+wp AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY round(won_score, 10) DESC, deadline ASC NULLS LAST, item_id) AS place2 FROM wr), wt AS (SELECT * FROM wp WHERE place2 <= 10)"""
+
+
+def _won(spark, sf_dir) -> DataFrame:
+    """The ten best with a win probability beside each pair."""
+    eligible = _eligible(spark, sf_dir).withColumn("p_win", (F.col("item_id").cast("long") % 10).cast("double") / 10)
+    return ranking.top_k(ranking.rerank(ranking.score(eligible)), 10)
+
+
+@query(f"{WON_SQL} SELECT profile_id, item_id, CAST(place2 AS INT) AS place, p_win, round(expected_value, 6) AS expected_value, round(expected_value_norm, 9) AS expected_value_norm, round(won_score, 9) AS final_score FROM wt")
+def rank_06_win_branch(spark, sf_dir):
+    return _won(spark, sf_dir).select("profile_id", "item_id", "place", "p_win", F.round("expected_value", 6).alias("expected_value"), *map(r9, ("expected_value_norm", "final_score")))
+
+
+@query(f"{WON_SQL} SELECT round(avg(p_win), 9) AS mean_p_win, round(median(p_win), 9) AS median_p_win, round(avg(expected_value), 4) AS mean_ev, round(median(expected_value), 4) AS median_ev FROM wt")
+def met_07_win_summary(spark, sf_dir):
+    return _won(spark, sf_dir).agg(F.round(F.avg("p_win"), 9).alias("mean_p_win"), F.round(F.median("p_win"), 9).alias("median_p_win"), F.round(F.avg("expected_value"), 4).alias("mean_ev"), F.round(F.median("expected_value"), 4).alias("median_ev"))
+
+
+@query(f"WITH {SIM_SQL} SELECT profile_id, item_id, CASE WHEN CAST(item_id AS INT) % 2 = 0 THEN round(text_sim, 9) WHEN CAST(item_id AS INT) % 3 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS similarity FROM sim")
+def rel_02_similarity_fallback(spark, sf_dir):
+    key = F.col("item_id").cast("int")
+    rows = _eligible(spark, sf_dir).withColumns({"text_sim": F.when(key % 2 == 0, F.col("text_sim")), "embed_sim": F.when(key % 3 == 0, 0.5)})
+    return rows.select("profile_id", "item_id", F.round(ranking.similarity_of("text_sim", "embed_sim"), 9).alias("similarity"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, CAST(place AS INT) AS place, title, coalesce(CAST(deadline AS VARCHAR), '-') AS deadline, round(final_score, 9) AS final_score FROM top")
+def met_09_topk_records(spark, sf_dir):
+    return reports.topk_records(_top(spark, sf_dir)).select("profile_id", "item_id", "place", "title", F.coalesce(F.col("deadline").cast("string"), F.lit("-")).alias("deadline"), r9("final_score"))
+
+
+@query(f"""WITH {LABELLED_SQL.removeprefix('WITH ')}, nd AS ({NDCG_SQL.format(by='profile_id')})
+SELECT (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM el) AS n_eligible, round((SELECT avg(ndcg) FROM nd), 9) AS ndcg, (SELECT CAST(count(DISTINCT item_id) AS DOUBLE) / count(*) FROM top) AS coverage,
+ CAST((SELECT max(place) FROM top) AS INT) AS k, true AS stable""")
+def met_11_evaluation(spark, sf_dir):
+    found = _pairs(spark, sf_dir)
+    sim = _similarity(spark, sf_dir, found.where(F.size("reasons") == 0))
+    rank = lambda eligible: ranking.rerank(ranking.score(eligible.join(sim, ["profile_id", "item_id"])))
+    return reports.evaluated(found, rank).select("n_pairs", "n_eligible", "ndcg", "coverage", "k", "stable")
+
+
+@query(f"{TUNED_SQL}, b AS (SELECT * FROM res WHERE config_id = 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log') SELECT r.config_id, printf('%+.4f', round(r.ndcg - b.ndcg, 4) + 0.0::DOUBLE) AS ndcg, printf('%+.4f', round(r.coverage - b.coverage, 4) + 0.0::DOUBLE) AS coverage FROM res r CROSS JOIN b")
+def tune_12_deltas(spark, sf_dir):
+    return reports.against_baseline(_tuned(spark, sf_dir), ["ndcg", "coverage"], "s2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log")
+
+
+@query(f"{TUNED_SQL} SELECT config_id FROM res ORDER BY round(0.7::DOUBLE * ndcg + 0.2::DOUBLE * coverage + 0.1::DOUBLE * ev, 9) DESC, ndcg DESC, coverage DESC, ev DESC, config_id LIMIT 1")
+def tune_11_selected(spark, sf_dir):
+    best, _ = reports.selected(_tuned(spark, sf_dir), "blended", {"ndcg": 0.7, "coverage": 0.2, "ev": 0.1}, ["ndcg", "coverage", "ev"], 0.0)
+    return best.select("config_id")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n FROM embeddings")
+def emb_06_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.sha1(F.col("vec_id").cast("string")).alias("embedding_key"), F.col("embedding").alias("vector"))
+    return embeddings.looked_up(e.select("vec_id", "embedding_key"), e).select("vec_id", F.size("vector").alias("n"))
