@@ -42,6 +42,7 @@ from rankloom.llm.suffix_trees import word_bounds
 SHINGLE = 5
 PERCENT = 80
 CHUNK_SETS = 1_500
+SLICE_ROWS = 500  # rows of a batch whose texts are held as Python objects at a time
 HOT_SETS = 1_000  # sets that share one prefix shingle and meet in one task
 CHUNK_SHINGLES = 3_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -71,10 +72,11 @@ def set_id(s: np.ndarray) -> bytes | None:
 
 def _each(batches, text_at: int):
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [t or b"" for t in batch.column(text_at).to_pylist()]
-        for part_ids, part in slabs(ids, texts):
-            yield part_ids, part, shingle_sets(part)
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            rows = batch.slice(lo, SLICE_ROWS)
+            texts = [t or b"" for t in rows.column(text_at).to_pylist()]
+            for part_ids, part in slabs(rows.column(0).to_pylist(), texts):
+                yield part_ids, part, shingle_sets(part)
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -82,9 +84,11 @@ def members(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            sets = [s for _, part in slabs(texts, texts) for s in shingle_sets(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary())], ["doc_id", "text_hash", "n_shingles", "sid"])
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                texts = [t or b"" for t in part.column(2).to_pylist()]
+                named = [(len(s), set_id(s)) for _, slab in slabs(texts, texts) for s in shingle_sets(slab)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in named], pa.int64()), pa.array([i for _, i in named], pa.binary())], ["doc_id", "text_hash", "n_shingles", "sid"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sid binary")
 

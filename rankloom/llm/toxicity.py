@@ -36,6 +36,8 @@ RIDGE = 2e-5
 THRESHOLD = 0.7
 STEPS = 350
 PREFIXES = (4, 5)
+SLICE_ROWS = 500  # rows of a batch whose texts are held as Python objects at a time
+MEMO_WORDS = 150_000  # words whose features a task remembers
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 # Identity terms by kind; swaps stay within a kind.  The default of a parameter.
@@ -177,22 +179,24 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
     def run(batches):
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            out = []
-            for text in batch.column(at).to_pylist():
-                hit: set[int] = set()
-                for w in set((text or "").lower().split()):
-                    got = memo.get(w)
-                    if got is None:
-                        if len(memo) > 300_000:
-                            memo.clear()
-                        bare = w.strip(EDGES)
-                        got = memo[w] = tuple(f for f in features_of(bare, whole) if f in weights) if bare else ()
-                    if got:
-                        hit.update(got)
-                z = bias + math.fsum(weights[f] for f in hit)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
+        for whole_batch in batches:
+            for lo in range(0, whole_batch.num_rows, SLICE_ROWS):
+                batch = whole_batch.slice(lo, SLICE_ROWS)
+                out = []
+                for text in batch.column(at).to_pylist():
+                    hit: set[int] = set()
+                    for w in set((text or "").lower().split()):
+                        got = memo.get(w)
+                        if got is None:
+                            if len(memo) > MEMO_WORDS:
+                                memo.clear()
+                            bare = w.strip(EDGES)
+                            got = memo[w] = tuple(f for f in features_of(bare, whole) if f in weights) if bare else ()
+                        if got:
+                            hit.update(got)
+                    z = bias + math.fsum(weights[f] for f in hit)
+                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
     from pyspark.sql import types as T
 
