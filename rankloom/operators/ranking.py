@@ -84,26 +84,32 @@ def pairs(items: DataFrame, profiles: DataFrame, n_profiles: int | None = None)
     return prepared_items(items).crossJoin(F.broadcast(named) if n <= SENT_PROFILES else named)
 
 
+def rules() -> dict[str, Column]:
+    """Code and failing condition of each rule, in fixed order; a condition that is null does not fail."""
+    c = F.col
+    outside = lambda listed, own: (F.size(c(listed)) > 0) & ~F.array_contains(c(listed), c(own))
+    unlike = lambda item, own: (c(item) != "") & (c(item) != c(own))
+    return {
+        "DEADLINE_PASSED": c("deadline") < c("p_today"),
+        "GPA_BELOW_MIN": c("p_gpa") < c("min_gpa"),
+        "STATE_NOT_ALLOWED": outside("n_states", "p_n_state"),
+        "MAJOR_NOT_ALLOWED": outside("n_majors", "p_n_major"),
+        "EDUCATION_LEVEL_MISMATCH": unlike("n_level", "p_n_level"),
+        "CITIZENSHIP_MISMATCH": unlike("n_citizenship", "p_n_citizenship"),
+    }
+
+
 def reasons() -> Column:
     """Codes of all rules that the pair fails, in fixed order; empty when eligible."""
-    c = F.col
+    return F.array_compact(F.array(*[F.when(failed, code) for code, failed in rules().items()]))
 
-    def outside(listed: str, own: str) -> Column:
-        return (F.size(c(listed)) > 0) & ~F.array_contains(c(listed), c(own))
-
-    def unlike(item: str, own: str) -> Column:
-        return (c(item) != "") & (c(item) != c(own))
-
-    return F.array_compact(
-        F.array(
-            F.when(c("deadline") < c("p_today"), "DEADLINE_PASSED"),
-            F.when(c("p_gpa") < c("min_gpa"), "GPA_BELOW_MIN"),
-            F.when(outside("n_states", "p_n_state"), "STATE_NOT_ALLOWED"),
-            F.when(outside("n_majors", "p_n_major"), "MAJOR_NOT_ALLOWED"),
-            F.when(unlike("n_level", "p_n_level"), "EDUCATION_LEVEL_MISMATCH"),
-            F.when(unlike("n_citizenship", "p_n_citizenship"), "CITIZENSHIP_MISMATCH"),
-        )
-    )
+
+def eligible() -> Column:
+    """Whether the pair fails no rule: the same as empty reasons, without making them."""
+    out = F.lit(True)
+    for failed in rules().values():
+        out = out & ~F.coalesce(failed, F.lit(False))
+    return out
 
 
 def clip(x: Column) -> Column:

@@ -32,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _kept(spark, sf_dir, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries share, persisted once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] == key[0] and k[1] != sf_dir]:
+            _KEPT.pop(old).unpersist()
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
 def _pairs(spark, sf_dir) -> DataFrame:
     both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir))
     return both.withColumn("reasons", ranking.reasons())
@@ -42,10 +55,17 @@ def _similarity(spark, sf_dir, eligible: DataFrame) -> DataFrame:
     return similarity.tfidf(eligible, items, catalog.profiles(spark, sf_dir).select("profile_id", text.profile_text().alias("text")))
 
 
+def _eligible_keys(spark, sf_dir) -> DataFrame:
+    """(profile_id, item_id) of the eligible pairs: the only product of all items with all profiles, so it is kept."""
+    both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir))
+    return _kept(spark, sf_dir, "eligible", lambda: both.where(ranking.eligible()).select("profile_id", "item_id"))
+
+
 def _eligible(spark, sf_dir) -> DataFrame:
     """Eligible pairs with their similarity."""
-    eligible = _pairs(spark, sf_dir).where(F.size("reasons") == 0)
-    return eligible.join(_similarity(spark, sf_dir, eligible), ["profile_id", "item_id"])
+    keys = _eligible_keys(spark, sf_dir)
+    items, profiles = ranking.prepared_items(catalog.items(spark, sf_dir)), ranking.prepared_profiles(catalog.profiles(spark, sf_dir))
+    return _similarity(spark, sf_dir, keys).join(items, "item_id").join(profiles, "profile_id").withColumn("reasons", F.array().cast("array<string>"))
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -107,8 +127,7 @@ def rank_10_top_n(spark, sf_dir):
 
 @query(f"WITH {SIM_SQL} SELECT profile_id, item_id, round(text_sim, 6) AS text_sim FROM sim")
 def score_01_tfidf(spark, sf_dir):
-    eligible = _pairs(spark, sf_dir).where(F.size("reasons") == 0)
-    return _similarity(spark, sf_dir, eligible).withColumn("text_sim", F.round("text_sim", 6))
+    return _similarity(spark, sf_dir, _eligible_keys(spark, sf_dir)).withColumn("text_sim", F.round("text_sim", 6))
 
 
 @query("""SELECT q.vec_id AS profile_id, e.vec_id AS item_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS text_sim
@@ -315,22 +334,21 @@ def tune_01_grid(spark, sf_dir):
 
 
 def _components(spark, sf_dir) -> DataFrame:
-    """Each eligible pair once, with all that a configuration weighs, kept for as long as the session wants it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        rows = _ranked(spark, sf_dir).select("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm", ranking.relevance().alias("relevance"))
-        _KEPT.clear()
-        _KEPT[key] = rows.persist()
-    return _KEPT[key]
+    """Each eligible pair once, with all that a configuration weighs."""
+    columns = ("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm")
+    return _kept(spark, sf_dir, "components", lambda: _ranked(spark, sf_dir).select(*columns, ranking.relevance().alias("relevance")))
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+TASK_ROWS = 2_000_000  # rescored rows of one task, about
 
 
 def _tuned(spark, sf_dir):
     """Metrics of every configuration of the grid, as many as `grid` gives by default (the baseline is the first)."""
-    configs = evaluation.grid(spark)
-    every = evaluation.rescored(_components(spark, sf_dir), configs, configs.count())
+    configs, parts = evaluation.grid(spark), _components(spark, sf_dir)
+    n_configs = configs.count()
+    # Dealt by profile before the configurations multiply the rows, so the lists are cut where they are, in parts that fit in memory.
+    dealt = parts.repartition(max(1, -(-parts.count() * n_configs // TASK_ROWS)), "profile_id")
+    every = evaluation.rescored(dealt, configs, n_configs)
     top = every.withColumn("place", ranking.place("config_id", "profile_id")).where("place <= 10").select("config_id", "profile_id", "item_id", "place", "relevance", "ev_norm")
     lists = evaluation.ndcg(top, "config_id", "profile_id").groupBy("config_id").agg(F.round(F.avg("ndcg"), 8).alias("ndcg"))
     return lists.join(evaluation.coverage(top, "config_id"), "config_id").join(top.groupBy("config_id").agg(F.round(F.avg("ev_norm"), 8).alias("ev")), "config_id")
