@@ -42,7 +42,7 @@ from rankloom.llm.suffix_trees import word_bounds
 SHINGLE = 5
 PERCENT = 80
 CHUNK_SETS = 1_500
-SLICE_ROWS = 500  # rows of a batch whose texts are held as Python objects at a time
+SLICE_ROWS = 500  # rows of a batch that are held as Python objects at a time
 HOT_SETS = 1_000  # sets that share one prefix shingle and meet in one task
 CHUNK_SHINGLES = 3_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -270,12 +270,13 @@ def _joined(batches):
 
     out: list = []
     for batch in batches:
-        for key, *row in zip(*[c.to_pylist() for c in batch.columns]):
-            if key != now:
-                out += solve()
-                rows = []
-            now = key
-            rows.append(row)
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            for key, *row in zip(*[c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns]):
+                if key != now:
+                    out += solve()
+                    rows = []
+                now = key
+                rows.append(row)
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], ["u", "v"])
             out = []
