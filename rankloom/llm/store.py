@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own in local mode and an error on a cluster."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         own = got.get() if got.isDefined() else None
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")

@@ -515,3 +515,15 @@ def test_stages_keep_columns_of_clashing_names(spark):
         out = stage(spark, table, "/root/testdata/sf0.001")
         assert out.columns[: len(table.columns)] == table.columns, name
         assert {tuple(r) for r in out.select(*extra).distinct().collect()} == {tuple(extra)}, name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from rankloom.llm.store import shared_dir
+
+    unset = Some(isDefined=lambda: False)
+    context = Some(master="spark://one:7077", _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Some(conf=Some(get=lambda name, other: other), sparkContext=context))
+    assert shared_dir(Some(conf=Some(get=lambda name, other: "hdfs:///work/"), sparkContext=context)) == "hdfs:///work"
