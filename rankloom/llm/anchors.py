@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLAB = 1 << 20  # bytes of text that are hashed at a time
+SLAB = 1 << 18  # bytes of text that are hashed at a time
 BLOCK_DOCS = 4_000  # documents of a block, about
 BLOCK_BYTES = 16_000_000  # bytes of text of a block, about
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -124,10 +124,10 @@ def slabs(ids: list, texts: list[bytes]):
         yield ids[lo:], texts[lo:]
 
 
-def block_count(docs: DataFrame) -> int:
-    """Blocks so that a block holds about BLOCK_DOCS documents and BLOCK_BYTES of text, whichever is less."""
+def block_count(docs: DataFrame, most_docs: int = BLOCK_DOCS, most_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks so that a block holds about most_docs documents and most_bytes of text, whichever is less."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    return max(6, -(-rows // BLOCK_DOCS), -(-(size or 0) // BLOCK_BYTES))
+    return max(6, -(-rows // most_docs), -(-(size or 0) // most_bytes))
 
 
 def blocks(docs: DataFrame) -> tuple[DataFrame, int]:

@@ -42,6 +42,8 @@ from rankloom.llm.suffix_trees import word_bounds
 SHINGLE = 5
 PERCENT = 80
 CHUNK_SETS = 1_500
+BLOCK_DOCS = 2_000  # sets of a block, about: their shingles take more room than their text
+BLOCK_BYTES = 6_000_000  # bytes of text of a block, about
 SLICE_ROWS = 500  # rows of a batch that are held as Python objects at a time
 HOT_SETS = 1_000  # sets that share one prefix shingle and meet in one task
 CHUNK_SHINGLES = 3_000_000
@@ -110,7 +112,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "text"])
 
-    n = block_count(docs)
+    n = block_count(docs, BLOCK_DOCS, BLOCK_BYTES)
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id binary, text binary")
     return named.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
 
