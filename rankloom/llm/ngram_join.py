@@ -355,3 +355,16 @@ def one_of_each(docs: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     # Only rows that have an equal one (by doc_id and text) are told apart by a shuffle of their texts.
     more = docs.where(~wordless).join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).unionByName(bare)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS k FROM d),
+t AS (SELECT k, min(doc_id) AS t, len(k) AS n FROM s WHERE len(k) > 0 GROUP BY k),
+e AS (SELECT t, n, unnest(k) AS g FROM t),
+o AS (SELECT a.t AS a, b.t AS b FROM e AS a JOIN e AS b ON a.g = b.g AND a.t <> b.t AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.t, b.t, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM o UNION SELECT reach.a, o.b FROM reach JOIN o ON reach.b = o.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.k) AS BIGINT) AS n_shingles, least(coalesce(t.t, s.doc_id), coalesce(c.least, s.doc_id)) AS component_id
+FROM s LEFT JOIN t ON s.k = t.k LEFT JOIN c ON t.t = c.a
+"""

@@ -68,6 +68,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_tree_dedup": suffix_trees.SQL,
     "op3_decontamination": decontaminate.SQL,
+    "op6_ngram_jaccard_join": ngram_join.SQL,
+    "op7_suffix_array_dedup": suffix_arrays.SQL,
     "op8_quality_rules": quality.SQL,
 }

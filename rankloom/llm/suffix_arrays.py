@@ -118,3 +118,17 @@ def dedup(docs: DataFrame, length: int = WINDOW, chunk_bytes: int = CHUNK_BYTES)
 
 def digests(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT r, doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS k FROM (SELECT *, unnest(range(1, len(x) // 2 - 98)) AS i FROM d WHERE len(x) >= 200)),
+c AS (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, r, i) > 1 AS later FROM g),
+l AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 AS joined FROM c WHERE later),
+s AS (SELECT r, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM l),
+u AS (SELECT r, min(i) AS lo, max(i) + 100 AS hi FROM s GROUP BY r, run),
+p AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS before, hi FROM u),
+k AS (SELECT d.r, sum(hi - lo) AS n, count(*) AS spans, string_agg(substr(x, 2 * before - 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS rest FROM p JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(rest, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

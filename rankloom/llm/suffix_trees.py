@@ -120,3 +120,17 @@ def dedup(docs: DataFrame, length: int = WINDOW, chunk_bytes: int = CHUNK_BYTES)
 
 def digests(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS k FROM d WHERE len(w) >= 13),
+c AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY k) AS later FROM g),
+l AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 13 AS joined FROM c WHERE later),
+s AS (SELECT r, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM l),
+u AS (SELECT r, min(i) AS lo, max(i) + 13 AS hi FROM s GROUP BY r, run),
+p AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS before, hi FROM u),
+k AS (SELECT d.r, sum(hi - lo) AS n, flatten(list(w[before:lo - 1] ORDER BY lo)) AS head, max(hi) AS rest FROM p JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_concat(coalesce(head, []), w[coalesce(rest, 1):]), ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
