@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe_codec, decontaminate, ngram_join, privacy, quality, secrets, suffix_arrays, suffix_trees, token_counts, toxicity
+from rankloom.llm import bpe_codec, byte_bpe, centroids, decontaminate, ngram_join, privacy, quality, secrets, spelling, suffix_arrays, suffix_trees, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -54,6 +55,18 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.scan(_docs(spark, sf_dir))
 
 
+def op11_annulus_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summed(*centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.encode(_docs(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spellings(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_tree_dedup": op2_suffix_tree_dedup,
@@ -65,6 +78,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_privacy": op10_privacy,
+    "op11_annulus_clustering": op11_annulus_clustering,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op7_suffix_array_dedup": suffix_arrays.SQL,
     "op8_quality_rules": quality.SQL,
+    "op11_annulus_clustering": centroids.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
