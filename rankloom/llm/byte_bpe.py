@@ -1,21 +1,21 @@
 """Operator 12: byte-level BPE by Spark higher-order functions over distinct words.
 
 A text is cut into words by the pattern of the vocabulary, and every word is merged by
-itself, so each distinct word is merged once for the whole table: the bytes of a word
-become an array of ids, and a fold over that array joins, step by step, the adjacent
-pair of least rank, leftmost first, until no pair has a rank.  Ranks come from a literal
-map from pairs of ids; as Spark searches its own maps from end to end, the literal is
-two arrays in which a pair has one place each (a cuckoo table), so a lookup is two array
-accesses.  Ids are ranks, so the least rank is also the id of the joined pair.  Decoding
-looks up the bytes of each id in a literal array and concatenates them.
-
-Texts meet the codes of their words by blocks of documents: a block sends its distinct
-words, the words are made distinct and merged, and each block gets back the codes of its
-own words only.  No table of all words is ever in one place.
+itself, so a word needs merging once wherever it occurs: the bytes of a word become an
+array of ids, and a fold over that array joins, step by step, the adjacent pair of least
+rank, leftmost first, until no pair has a rank.  Ranks come from a literal map from pairs
+of ids; as Spark searches its own maps from end to end, the literal is two arrays in which
+a pair has one place each (a cuckoo table), so a lookup is two array accesses.  Ids are
+ranks, so the least rank is also the id of the joined pair.  Decoding concatenates the
+bytes of the ids.
+
+Words are made distinct within a task: beside each text go the words that the task has not
+met before, Spark folds these, and what reads the texts next keeps their codes.  Both sides
+meet texts in the same order and forget at the same place (after `MEMO` chunks), so nothing
+else is sent, nothing is shuffled, and a lost task repeats only its own rows.
 
 A word of more than `LONG` bytes is not folded (every step reads the whole array, which
-is quadratic); the worker that has its text merges it with the heap of word_bpe.py,
-which gives the same ids.
+is quadratic); it is merged with the heap of word_bpe.py, which gives the same ids.
 
 Defined cases: a null text encodes to no ids and decodes to no bytes; repeated rows and
 ids give one row each; texts may be of any length; a text that is not UTF-8 is read with
@@ -28,20 +28,22 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.anchors import blocks
 from rankloom.llm.spans import let
-from rankloom.llm.store import written
 from rankloom.llm.word_bpe import heap_merge
 
 LONG = 96  # bytes of a word that the fold takes
 NOWHERE = 1 << 62  # an empty place of the table: no pair, and above every rank
 ID_BITS = 16
+MEMO = 300_000  # chunks that a task remembers
+SLICE_ROWS = 200  # rows of a batch whose texts are held as Python objects at a time
 
 # White space as the pattern understands it.  A chunk is a run of it and what follows up to
 # the next; no word of the pattern reaches over the end of a chunk or depends on others.
@@ -49,6 +51,14 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 
 
+@dataclass
+class _Heap:
+    """What heap_merge asks of a vocabulary."""
+
+    ranks: dict[int, int]
+    joined: range
+
+
 class Ranks:
     """A rank file (base64 of the bytes, and the rank, on each line) as tables."""
 
@@ -61,6 +71,12 @@ class Ranks:
         self.pieces = [b""] * (1 + max(self.ids.values()))
         for token, i in self.ids.items():
             self.pieces[i] = token
+        self._heap = None
+
+    def heap(self) -> _Heap:
+        if self._heap is None:
+            self._heap = _Heap({a << 20 | b: i for (a, b), i in self.pairs().items()}, range(len(self.pieces)))
+        return self._heap
 
     def pairs(self) -> dict[tuple[int, int], int]:
         """The id of every two ids whose bytes, one after the other, are a token."""
@@ -82,7 +98,11 @@ def primes(least: int):
 
 
 def placed(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """Two tables of prime lengths; the entry of a pair is at its key modulo the length, in one of them."""
+    """Two tables of prime lengths.
+
+    The entry of a pair holds both ids and the id of the two joined, ID_BITS each; it stands
+    in one table, at the place that the entry less the joined id has modulo the length.
+    """
     entries = [((a << ID_BITS | b) << ID_BITS) | i for (a, b), i in pairs.items()]
     for big in primes(5 + int(1.4 * len(entries))):
         small = next(primes(5 + int(1.2 * len(entries))))
@@ -90,7 +110,7 @@ def placed(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
         for e in entries:
             for turn in range(200):
                 t = tables[turn % 2]
-                at = (e >> ID_BITS) % len(t)
+                at = (e >> ID_BITS << ID_BITS) % len(t)
                 t[at], e = e, t[at]
                 if e == NOWHERE:
                     break
@@ -106,105 +126,133 @@ def literal(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def merged(ids: Column, near: Callable[[Column, Column], Column]) -> Column:
-    """The ids after all merges; near(a, b) is the rank of a pair, NOWHERE-like large without one."""
+def merged(ids: Column, rank: Callable[[Column], Column]) -> Column:
+    """The ids after all merges; rank(pair) of a pair as one number is above every id where it has none."""
 
     def step(now: Column, _: Column) -> Column:
-        before = F.slice(now, F.lit(1), F.size(now) - 1)
-        after = F.slice(now, F.lit(2), F.size(now) - 1)
+        before, after = F.slice(now, F.lit(1), F.size(now) - 1), F.slice(now, F.lit(2), F.size(now) - 1)
+        pairs = F.zip_with(before, after, lambda a, b: a * (1 << 2 * ID_BITS) + b * (1 << ID_BITS))
         join = lambda ranks, least: let(F.array_position(ranks, least).cast("int"), lambda p: F.concat(F.slice(now, F.lit(1), p - 1), F.array(least), F.slice(now, p + 2, F.size(now))))
         best = lambda ranks: let(F.array_min(ranks), lambda least: F.when(least >= 1 << ID_BITS, now).otherwise(join(ranks, least)))
-        return F.when(F.size(now) < 2, now).otherwise(let(F.zip_with(before, after, near), best))
+        return F.when(F.size(now) < 2, now).otherwise(let(F.transform(pairs, rank), best))
 
     return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), ids, step)
 
 
-def word_ids(word: Column, ranks: Ranks) -> Column:
-    """The ids of a word given as binary."""
+def coded(words: Column, ranks: Ranks) -> Column:
+    """The ids of each of an array of words, given as arrays of the ids of their bytes."""
     big, small = placed(ranks.pairs())
 
-    def folded(one: Column, two: Column) -> Column:
-        def near(a: Column, b: Column) -> Column:
-            key = a * (1 << ID_BITS) + b
-            high = F.shiftleft(key, ID_BITS)
-            # The entry of this very pair leaves its id; every other one leaves some higher bit.
-            return F.least(F.get(one, (key % len(big)).cast("int")).bitwiseXOR(high), F.get(two, (key % len(small)).cast("int")).bitwiseXOR(high))
+    def with_tables(one: Column, two: Column) -> Column:
+        # The entry of this very pair leaves its id; every other one leaves some higher bit.
+        rank = lambda pair: F.least(F.get(one, (pair % len(big)).cast("int")).bitwiseXOR(pair), F.get(two, (pair % len(small)).cast("int")).bitwiseXOR(pair))
+        return F.transform(words, lambda w: merged(w, rank))
 
-        bytes_ = F.filter(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: c != "")
-        return let(F.transform(bytes_, lambda c: F.get(literal(ranks.first, "bigint"), F.ascii(c))), lambda ids: merged(ids, near))
+    return let(literal(big, "bigint"), lambda one: let(literal(small, "bigint"), lambda two: with_tables(one, two)))
 
-    return let(literal(big, "bigint"), lambda one: let(literal(small, "bigint"), lambda two: folded(one, two)))
 
+_READ: dict[str, Ranks] = {}
 
-def coded(words: DataFrame, ranks: Ranks) -> DataFrame:
-    """(word, ids, decoded) of distinct words; ids as little-endian unsigned 32-bit integers."""
-    joined = lambda ids, table: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i.cast("int"))), ""))
-    little = literal([i.to_bytes(4, "little").hex() for i in range(len(ranks.pieces))], "string")
-    pieces = literal([p.hex() for p in ranks.pieces], "string")
-    rows = words.select("word", word_ids(F.col("word"), ranks).alias("_ids"))
-    return rows.select("word", joined(F.col("_ids"), little).alias("ids"), joined(F.col("_ids"), pieces).alias("decoded"))
 
+def load(path: str) -> Ranks:
+    if path not in _READ:
+        _READ[path] = Ranks(path)
+    return _READ[path]
 
-_READ: dict[str, tuple[Ranks, dict]] = {}
 
+def long_word(word: bytes, ranks: Ranks) -> list[int]:
+    """The ids of a word of any length."""
+    return [i for i in heap_merge([ranks.first[b] for b in word], ranks.heap())[1] if i >= 0]
 
-class _Heap:
-    """What word_bpe.heap_merge asks of a vocabulary."""
 
-    def __init__(self, ranks: Ranks):
-        self.ranks = {a << 20 | b: i for (a, b), i in ranks.pairs().items()}
-        self.joined = range(len(ranks.pieces))
+class Known:
+    """What a task has met, by chunk and by word; two of them that see the same texts agree."""
 
+    def __init__(self, pattern: str):
+        self.pattern, self.codes = regex.compile(pattern).findall, {}
 
-def long_word(word: bytes, path: str) -> tuple[bytes, bytes]:
-    """(ids, decoded) of a word of any length."""
-    if path not in _READ:
-        ranks = Ranks(path)
-        _READ[path] = ranks, _Heap(ranks)
-    ranks, heap = _READ[path]
-    ids = [i for i in heap_merge([ranks.first[b] for b in word], heap)[1] if i >= 0]
-    return b"".join([i.to_bytes(4, "little") for i in ids]), b"".join([ranks.pieces[i] for i in ids])
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk; letters alone, or behind one space, are one word."""
+        return [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else self.pattern(chunk)
+
+    def fresh(self, text: str) -> tuple[list[str], list[str]]:
+        """(all chunks of the text, those that are new); forgets all first where there is too much."""
+        if len(self.codes) > MEMO:
+            self.codes = {}
+        every, codes = CHUNKS(text), self.codes
+        return every, [c for c in dict.fromkeys(every) if c not in codes]
 
 
-def _texts(table: pa.Table):
-    for t in table.column("text"):
-        yield str(t.as_buffer(), "utf-8", "replace")
+def _slices(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(lo, SLICE_ROWS)
+            yield part, [str(t.as_buffer(), "utf-8", "replace") for t in part.column(1)]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian uint32) and decoded (bytes) of every row."""
-    keyed, _ = blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-
-    def words_of(table: pa.Table) -> pa.Table:
-        split, chunks = regex.compile(pattern).findall, set()
-        for text in _texts(table):
-            chunks.update(CHUNKS(text))
-        words = {w.encode() for c in chunks for w in split(c)}
-        own = [w for w in words if len(w) <= LONG]
-        block = table.column("block")[0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array([block] * len(own), pa.int32()), "word": pa.array(own, pa.binary())})
-
-    def codes(table: pa.Table, told: pa.Table) -> pa.Table:
-        split = regex.compile(pattern).findall
-        known = dict(zip(told.column("word").to_pylist(), zip(told.column("ids").to_pylist(), told.column("decoded").to_pylist())))
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str):
-                words = [w.encode() for w in split(chunk)]
-                got = [known[w] if len(w) <= LONG else long_word(w, path) for w in words]
-                self[chunk] = out = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-                return out
-
-        memo, ids, decoded = Chunks(), [], []
-        for text in _texts(table):
-            got = [memo[c] for c in CHUNKS(text)]
-            ids.append(b"".join([g[0] for g in got]))
-            decoded.append(b"".join([g[1] for g in got]))
-        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary())})
-
-    sent = written(keyed.groupBy("block").applyInArrow(words_of, "block int, word binary"), "words")
-    told = sent.join(coded(sent.select("word").distinct(), Ranks(path)), "word").select("block", "word", "ids", "decoded")
-    return keyed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(codes, "doc_id long, ids binary, decoded binary")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+
+    def new_words(batches):
+        known, first = Known(pattern), np.array(load(path).first, np.int64)
+        for part, texts in _slices(batches):
+            flat, counts = [], []
+            for text in texts:
+                before, new = len(flat), known.fresh(text)[1]
+                codes = known.codes
+                for c in new:
+                    for w in known.split(c):
+                        if w not in codes:
+                            codes[w] = True
+                            raw = w.encode()
+                            if len(raw) <= LONG:
+                                flat.append(raw)
+                    codes[c] = True
+                counts.append(len(flat) - before)
+            offsets = lambda n: pa.array(np.cumsum([0, *n]), pa.int32())
+            symbols = pa.array(first[np.frombuffer(b"".join(flat), np.uint8)])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets(counts), pa.ListArray.from_arrays(offsets(map(len, flat)), symbols))], ["doc_id", "text", "words"])
+
+    def codes(batches):
+        known, ranks = Known(pattern), load(path)
+        pieces = pa.array(ranks.pieces, pa.binary())
+
+        def coded_words(ids: np.ndarray, ends: np.ndarray):
+            """(ids, decoded) of one word after another; taking pieces lays their bytes end to end."""
+            packed, taken = ids.astype("<u4").tobytes(), pieces.take(pa.array(ids))
+            starts = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1]
+            raw = taken.buffers()[2].to_pybytes() if len(ids) else b""
+            cuts = starts[ends].tolist()
+            ends = (4 * ends).tolist()
+            for lo, hi, a, b in zip([0, *ends], ends, [0, *cuts], cuts):
+                yield packed[lo:hi], raw[a:b]
+
+        for part, texts in _slices(batches):
+            words = part.column(2).flatten()
+            told = coded_words(words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
+            ids, decoded = [], []
+            for text in texts:
+                every, new = known.fresh(text)
+                by = known.codes
+                for c in new:
+                    split = known.split(c)
+                    for w in split:
+                        if w not in by:
+                            raw = w.encode()
+                            by[w] = next(told) if len(raw) <= LONG else next(coded_words(found := np.array(long_word(raw, ranks), np.int64), np.array([len(found)])))
+                    if len(split) > 1:
+                        got = [by[w] for w in split]
+                        by[c] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+                got = [by[c] for c in every]
+                ids.append(b"".join([g[0] for g in got]))
+                decoded.append(b"".join([g[1] for g in got]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    spelt = narrow.mapInArrow(new_words, f"doc_id {kind}, text binary, words array<array<bigint>>")
+    folded = spelt.select("doc_id", "text", coded(F.col("words"), load(path)).alias("codes"))
+    return folded.mapInArrow(codes, f"doc_id {kind}, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

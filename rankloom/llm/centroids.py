@@ -168,7 +168,7 @@ def summed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     each = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
     whole = each.agg(F.sum("cluster_inertia").alias("inertia"))
     told = each.join(digests, "cluster").crossJoin(F.broadcast(whole))  # k rows at most, with one row
-    return rows.join(F.broadcast(told), "cluster")
+    return rows.join(F.broadcast(told), "cluster").select(*rows.columns, "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def _sql() -> str:

@@ -10,9 +10,9 @@ verified by letter order (distance of exactly one edit).
 
 Words that meet at a key and gave up the same letter are anagrams, never near, and are
 not paired.  At a key where more than `HOT_WORDS` meet, the letter order is part of the
-join: each word stands there once for each place of the letter that it gives up, under
-a hash of the letters that are left, so that only words with the same rest are paired
-and a group is bounded by the alphabet and the length of a word.
+join: each word stands there once for each way to give up that letter (once for a run of
+equal letters), under a hash of the letters that are left, so that only words with the
+same rest are paired and a group is bounded by the alphabet and the length of a word.
 
 A word's form is its near word of largest count (ties: least in code-point order), if
 that count is `RATIO` times its own or more.  Counts grow by that factor along a chain
@@ -83,7 +83,7 @@ def anagram_key(word: Column) -> Column:
 
 
 def meetings(words: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
-    """(key, rest, place, letter, word): where each word meets others; letter is null for the whole word."""
+    """(key, rest, letter, word): where each word meets others; letter is null for the whole word."""
     keyed = words.select("word", anagram_key(F.col("word")).alias("own"))
     whole = keyed.select(F.col("own").alias("key"), F.lit(None).cast("string").alias("letter"), "word")
     less = keyed.select("word", "own", F.explode(F.array_distinct(letters(F.col("word")))).alias("letter"))
@@ -91,25 +91,29 @@ def meetings(words: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     every = written(whole.unionByName(less), "keys")
     counts = every.groupBy("key").agg(F.count("*").alias("k"))
     hot = written(counts.where(F.col("k") > hot_words).select("key"), "hot-keys")
-    alone = F.lit(0).cast("long").alias("rest"), F.lit(0).alias("place")
+    alone = F.lit(0).cast("long").alias("rest")
     n_hot = hot.count()
     if not n_hot:
-        return every.select("key", *alone, "letter", "word")
+        return every.select("key", alone, "letter", "word")
     sent = F.broadcast(hot) if n_hot <= 100_000 else hot
-    cold = every.join(sent, "key", "left_anti").select("key", *alone, "letter", "word")
+    cold = every.join(sent, "key", "left_anti").select("key", alone, "letter", "word")
     own = every.join(sent, "key")
-    named = own.where("letter is null").select("key", F.xxhash64("word").alias("rest"), F.lit(0).alias("place"), "letter", "word")
-    places = F.filter(F.transform(letters(F.col("word")), lambda c, i: F.when(c == F.col("letter"), i)), lambda i: i.isNotNull())
+    named = own.where("letter is null").select("key", F.xxhash64("word").alias("rest"), "letter", "word")
+    chars = letters(F.col("word"))
+    before = F.concat(F.array(F.lit("")), chars)
+    runs_ = F.zip_with(chars, F.slice(before, F.lit(1), F.size(chars)), lambda c, b: (c == F.col("letter")) & (b != F.col("letter")))
+    places = F.transform(runs_, lambda starts, i: F.when(starts, i))
+    places = F.filter(places, lambda i: i.isNotNull())
     placed = own.where("letter is not null").select("key", "letter", "word", F.explode(places).alias("place"))
     rest = F.concat(F.substring("word", F.lit(1), F.col("place")), F.substring("word", F.col("place") + 2, F.length("word")))
-    return cold.unionByName(named).unionByName(placed.select("key", F.xxhash64(rest).alias("rest"), "place", "letter", "word"))
+    return cold.unionByName(named).unionByName(placed.select("key", F.xxhash64(rest).alias("rest"), "letter", "word"))
 
 
 def near_words(words: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """(word, near): every ordered pair of words of one edit."""
     met = written(meetings(words, hot_words), "meetings")
     a, b = met.where("letter is not null").alias("a"), met.alias("b")
-    fits = F.col("b.letter").isNull() | ((F.col("a.letter") < F.col("b.letter")) & (F.col("a.place") == F.col("b.place")))
+    fits = F.col("b.letter").isNull() | (F.col("a.letter") < F.col("b.letter"))
     both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rest") == F.col("b.rest")) & fits)
     pairs = both.where(F.levenshtein("a.word", "b.word", 1) == 1).select(F.col("a.word").alias("word"), F.col("b.word").alias("near")).distinct()
     pairs = written(pairs, "near")
