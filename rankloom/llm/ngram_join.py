@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.anchors import block_count, recurring, short_key, slabs, stretch_hashes, told
+from rankloom.llm.anchors import block_count, mixed, recurring, short_key, slabs, stretch_hashes, told
 from rankloom.llm.components import components
 from rankloom.llm.spans import fresh
 from rankloom.llm.store import written
@@ -51,10 +51,24 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITS = np.uint64((1 << 56) - 1)
 
 
+def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word.
+
+    Each byte is mixed with its place in the word before the sum, since sums of powers, as
+    in stretch_hashes, are equal for some pairs of long words under any base.
+    """
+    at = np.arange(len(values), dtype=np.int64)
+    word = np.maximum(np.searchsorted(starts, at, "right") - 1, 0)
+    place = (at - starts[word]) if len(starts) else at
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(8)) + values + np.uint64(1)), out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a slab."""
     values, starts, ends, docs, _ = word_bounds([t.translate(LOWER) for t in texts])
-    words = stretch_hashes(values, starts, ends)
+    words = word_hashes(values, starts, ends)
     at = np.arange(max(0, len(words) - SHINGLE + 1))
     grams = stretch_hashes(words, at, at + SHINGLE)
     out = []

@@ -123,7 +123,7 @@ def digests(deduped: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 g AS (SELECT r, doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS k FROM (SELECT *, unnest(range(1, len(x) // 2 - 98)) AS i FROM d WHERE len(x) >= 200)),
-c AS (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, r, i) > 1 AS later FROM g),
+c AS (SELECT r, i, coalesce(doc_id > f.d, f.d IS NOT NULL) OR (doc_id IS NOT DISTINCT FROM f.d AND i > f.i) AS later FROM (SELECT r, doc_id, i, first({'d': doc_id, 'i': i}) OVER (PARTITION BY k ORDER BY doc_id NULLS LAST, i) AS f FROM g)),
 l AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 AS joined FROM c WHERE later),
 s AS (SELECT r, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM l),
 u AS (SELECT r, min(i) AS lo, max(i) + 100 AS hi FROM s GROUP BY r, run),

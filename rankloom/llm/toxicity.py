@@ -7,7 +7,7 @@ the loss (counterfactual logit pairing), so that a neutral mention of a group do
 not move the score.
 
 Bound: the fit reads at most `FIT_ROWS` labelled rows, those with the least hash of
-doc_id; scoring reads every whole text.  Labels, lang, source and doc_id are never
+doc_id, and one text of each (of several, that of the least hash); scoring reads every whole text.  Labels, lang, source and doc_id are never
 inputs of a score.
 
 Defined cases: null and empty texts have no features and score the model's base
@@ -102,7 +102,10 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")  # `rows` bounds what is sent
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` bounds what is sent
+    # One text an id, so that copies of a row do not pass the bound.
+    one = met.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("y", "t.text")
 
 
 def train(samples: DataFrame, pair_weight: float = PAIR_WEIGHT, identity: tuple = IDENTITY) -> dict:

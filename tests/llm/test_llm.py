@@ -527,3 +527,56 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Some(conf=Some(get=lambda name, other: other), sparkContext=context))
     assert shared_dir(Some(conf=Some(get=lambda name, other: "hdfs:///work/"), sparkContext=context)) == "hdfs:///work"
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_of_equal_power_sums_are_different_shingles(spark):
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        for x, y in ((a, b), (f"one two {a} three four", f"one two {b} three four")):
+            out = by_id(ngram_join.join(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")))
+            assert (out[1].component_id, out[2].component_id, out[3].component_id) == (1, 2, 1)
+
+
+def shared_ids(place_1: int, place_2: int, more: int) -> tuple[list, int]:
+    """Rows of one doc_id with the same 900 bytes at different places, among others; and how many bytes are later copies."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    run = text(900)
+    one, two = text(place_1) + run + text(400 - place_1), text(place_2) + run + text(400 - place_2 + more)
+    return [(5, one), (5, two), *[(10 + i, text(500)) for i in range(30)]], 0 if place_1 == place_2 else 900
+
+
+@pytest.mark.parametrize("limit", [1 << 19, 1])
+@pytest.mark.parametrize("n_blocks", [1, 6])
+@pytest.mark.parametrize("places", [(300, 1, 0), (300, 1, 2), (1, 300, 0), (7, 7, 0)])
+def test_rows_that_share_an_id_go_by_place_in_any_blocks(spark, monkeypatch, limit, n_blocks, places):
+    from rankloom.llm import anchors
+
+    monkeypatch.setattr(anchors, "block_count", lambda docs, *_: n_blocks)
+    rows, gone = shared_ids(*places)
+    out = suffix_arrays.dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=limit).collect()
+    assert sum(r.n_removed for r in out) == gone
+
+
+def test_the_fit_reads_no_more_rows_than_its_bound(spark):
+    docs = spark.range(500).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, rows=2)
+    kept = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(3))
+    assert got.count() == min(2, kept) and got.columns == ["y", "text"]
+
+
+def test_scores_equal_a_plain_scorer(spark, docs):
+    import math
+
+    labels = spark.createDataFrame([(i * 3, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.labelled(docs, labels))
+    for r in toxicity.score(docs, model, "own").collect():
+        hit = {f for w in (r.text or "").lower().split() if w.strip(toxicity.EDGES) for f in toxicity.features_of(w.strip(toxicity.EDGES), model["whole"])}
+        z = model["bias"] + math.fsum(model["weights"].get(f, 0.0) for f in hit)
+        assert r.own == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-12)
