@@ -7,6 +7,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import ranking
+from rankloom.operators.quantiles import quantile
+from rankloom.operators.skyline import skyband
+from rankloom.store import written
+
 EPSILON = 1e-9
 SENT_CONFIGS = 10_000
 
@@ -59,9 +64,9 @@ def same_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def threshold(scored: DataFrame, target_share: float = 0.25) -> DataFrame:
     """Median over profiles of the exact upper quantile of text_sim where no keyword overlaps."""
-    quiet = scored.where(F.coalesce("keyword_overlap", F.lit(0.0)) <= 0)
-    each = quiet.groupBy("profile_id").agg(F.percentile("text_sim", F.lit(1 - target_share)).alias("q"))
-    return each.agg(F.round(F.median("q"), 9).alias("threshold"))
+    quiet = scored.where(F.coalesce("keyword_overlap", F.lit(0.0)) <= 0).select("profile_id", "text_sim")
+    each = quantile(quiet, ["profile_id"], "text_sim", 1 - target_share)
+    return quantile(each.withColumn("_all", F.lit(1)), ["_all"], "q", 0.5).agg(F.round(F.max("q"), 9).alias("threshold"))
 
 
 def config_id(mode: str = "log") -> Column:
@@ -82,14 +87,144 @@ def grid(spark: SparkSession, most: int = 200) -> DataFrame:
     return spark.createDataFrame(rows, schema).withColumn("config_id", config_id())
 
 
-def rescored(components: DataFrame, configs: DataFrame, n_configs: int) -> DataFrame:
-    """Every (config, profile, item) with its final score, from cached components."""
+def rescored(components: DataFrame, configs: DataFrame, n_configs: int, value: str = "ev_norm") -> DataFrame:
+    """Every (config, profile, item) with its final score, from components that are there."""
     named = configs.select("config_id", *[F.col(c).alias(f"w_{c}") for c in GRID])
     both = components.crossJoin(F.broadcast(named) if n_configs <= SENT_CONFIGS else named)
     c = F.col
     stage = c("w_text") * c("text_sim") + c("w_amount") * c("amount_utility") + c("w_keyword") * c("keyword_overlap") - c("w_effort") * c("effort_penalty")
     stage = F.least(F.greatest(stage, F.lit(0.0)), F.lit(1.0))
-    return both.withColumn("final_score", c("w_score") * stage + c("w_urgency") * c("urgency") + c("w_ev") * c("ev_norm"))
+    return both.withColumn("final_score", c("w_score") * stage + c("w_urgency") * c("urgency") + c("w_ev") * c(value))
+
+
+MEASURES = ("text_sim", "amount_utility", "keyword_overlap", "_ease", "urgency")
+CARRIED = ("item_id", "deadline", "relevance", "amount_max", "sponsor", "source")
+TASK_ROWS = 2_000_000  # rescored rows of one task, about
+
+
+def contenders(components: DataFrame, k: int = 10, value: str = "ev_norm") -> DataFrame:
+    """The rows that can stand among the k best of their profile under any weights.
+
+    Every score rises with the components and falls with the effort, so a row that k others
+    equal or surpass in all of them, and precede in the order among equal scores (also where
+    clipping makes scores equal), stands in no list of k.
+    """
+    rows = components.withColumn("_ease", -F.col("effort_penalty"))
+    return skyband(rows, ["profile_id"], [*MEASURES, value], k, ties=[("deadline", "ascending"), ("item_id", "ascending")]).drop("_ease")
+
+
+def config_lists(components: DataFrame, configs: DataFrame, n_configs: int, k: int = 10, value: str = "ev_norm", deal: str = "profile_id") -> DataFrame:
+    """(config_id, profile_id, top): the k best of every configuration, in order.
+
+    Rows are dealt by profile before the configurations multiply them, so the lists are cut
+    where they are.
+    """
+    n = max(1, -(-components.count() * n_configs // TASK_ROWS))
+    every = rescored(components.repartition(n, deal), configs, n_configs, value)
+    placed = every.withColumn("place", ranking.place("config_id", "profile_id")).where(F.col("place") <= k)
+    row = F.struct("place", *[c for c in (*CARRIED, value, "p_win", "expected_value") if c in components.columns])
+    return placed.groupBy("config_id", "profile_id").agg(F.array_sort(F.collect_list(row)).alias("top"))  # k rows at most
+
+
+def list_ndcg(top: Column) -> Column:
+    """NDCG of one list of rows in order with `relevance`."""
+    gain = lambda r: F.pow(F.lit(2.0), F.greatest(r, F.lit(0)).cast("double")) - 1
+    total = lambda labels: F.aggregate(F.transform(labels, lambda r, i: gain(r) / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
+    labels = F.transform(top, lambda t: t["relevance"])
+    ideal = total(F.reverse(F.array_sort(labels)))
+    return F.when(ideal > 0, F.round(total(labels) / ideal, 9)).otherwise(0.0)
+
+
+def list_median(values: Column) -> Column:
+    """The median of an array without its nulls."""
+    v = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    half = F.floor((F.size(v) - 1) / 2).cast("int"), F.ceil((F.size(v) - 1) / 2).cast("int")
+    return F.when(F.size(v) > 0, (F.get(v, half[0]) + F.get(v, half[1])) / 2)
+
+
+def tuned(components: DataFrame, configs: DataFrame, eligibility_rate: float | None = None, k: int = 10, value: str = "ev_norm") -> DataFrame:
+    """One row of metrics for every configuration, from one row a (profile, item) pair with all that a configuration weighs.
+
+    Only contenders are weighed.  Lists are cut twice from separate plans; `stable` says
+    whether every list came out the same.  Values of a win model are averaged per list and
+    then over the lists that have them.
+    """
+    n_configs = configs.count()
+    few = written(contenders(components, k, value), "contenders")
+    first = written(config_lists(few, configs, n_configs, k, value), "lists")
+    ids = lambda top: F.transform(top, lambda t: t["item_id"])
+    again = config_lists(few.repartition(3), configs, n_configs, k, value).select("config_id", "profile_id", ids(F.col("top")).alias("_again"))
+    same = first.join(again, ["config_id", "profile_id"], "full_outer").groupBy("config_id").agg(F.bool_and(ids(F.col("top")).eqNullSafe(F.col("_again"))).alias("stable"))
+    text = lambda c: F.nullif(F.trim(c), F.lit("")) if c in components.columns else F.lit(None).cast("string")
+    share = lambda c: F.coalesce(F.try_divide(F.count_distinct(c), F.count(c)), F.lit(0.0))
+    lists = [list_ndcg(F.col("top")).alias("_ndcg")]
+    won = "p_win" in components.columns
+    if won:
+        of = lambda c: F.transform(F.col("top"), lambda t: t[c])
+        mean = lambda v: F.try_divide(F.aggregate(F.filter(v, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), F.size(F.filter(v, lambda x: x.isNotNull())))
+        lists += [f(of(c)).alias(f"_{n}_{c}") for c in ("p_win", "expected_value", value) for n, f in (("avg", mean), ("median", list_median))]
+    # List values stand beside the first row of each list only, so that one grouping gives all metrics.
+    rows = first.select("config_id", "profile_id", *lists, F.explode("top").alias("t"))
+    head = F.col("t.place") == 1
+    rows = rows.select("config_id", *[F.when(head, F.col(c)).alias(c) for c in rows.columns if c.startswith("_")], "t.*")
+    metrics = [
+        F.round(F.avg("_ndcg"), 8).alias("ndcg"),
+        (F.count_distinct(F.when(F.trim("item_id") != "", F.col("item_id"))) / F.count("*")).alias("coverage"),
+        F.round(F.avg(value), 8).alias("ev"),
+        share(text("sponsor")).alias("sponsor_diversity"),
+        share(text("source")).alias("source_diversity"),
+        F.count("amount_max").alias("n_amounts"),
+        F.coalesce(F.round(F.avg("amount_max"), 6), F.lit(0.0)).alias("amount_mean"),
+        F.coalesce(F.max("amount_max"), F.lit(0.0)).alias("amount_most"),
+    ]
+    if won:
+        metrics += [F.round(F.avg(f"_{n}_{c}"), 9).alias(f"{n}_{c}") for c in ("p_win", "expected_value", value) for n in ("avg", "median")]
+    middle = quantile(rows.select("config_id", "amount_max"), ["config_id"], "amount_max", 0.5).select("config_id", F.col("q").alias("amount_median"))
+    out = rows.groupBy("config_id").agg(*metrics).join(middle, "config_id", "left").join(same, "config_id")
+    return written(out.withColumns({"amount_median": F.coalesce("amount_median", F.lit(0.0)), "eligibility_rate": F.lit(eligibility_rate).cast("double")}), "tuned")
+
+
+# What metrics may be called.
+METRIC_NAMES = {"ndcg": "ndcg", "coverage": "coverage", "ev": "ev", "expected_value": "ev", "expected_value_norm": "ev"}
+
+
+def metric_name(said: str) -> str:
+    """The metric that a name means, in any case, with or without @k."""
+    bare = said.strip().lower().removesuffix("@k").removesuffix("_at_k")
+    if bare not in METRIC_NAMES:
+        raise ValueError(f"unknown metric {said!r}; there are {', '.join(sorted(set(METRIC_NAMES.values())))}")
+    return METRIC_NAMES[bare]
+
+
+def objective_weights(said: str, with_win_model: bool, strict: bool = True) -> dict[str, float] | None:
+    """Weights out of "ndcg=0.7,coverage=0.2,ev=0.1"; they sum to one.
+
+    A weight of the expected value needs a win model: an error without one, or if not strict None.
+    """
+    given = [p.partition("=") for p in said.split(",") if p.strip()]
+    if not given:
+        raise ValueError("no objective weights are given")
+    out = dict.fromkeys(("ndcg", "coverage", "ev"), 0.0)
+    for name, sign, number in given:
+        if not sign:
+            raise ValueError(f"objective weights are name=number, not {name!r}")
+        out[metric_name(name)] = float(number)
+    if not abs(sum(out.values()) - 1) <= 1e-6:
+        raise ValueError(f"objective weights must sum to 1, not {sum(out.values())}")
+    if out["ev"] > 0 and not with_win_model:
+        if strict:
+            raise ValueError("a weight of ev needs a win model")
+        return None
+    return out
+
+
+def pareto_metrics(said: str, with_win_model: bool) -> list[str]:
+    """Different metrics in the order named; ev only with a win model."""
+    named = [metric_name(n) for n in said.split(",")] if said.strip() else []
+    out = [m for m in dict.fromkeys(named) if m != "ev" or with_win_model]
+    if not out:
+        raise ValueError("no metric is left for the Pareto front")
+    return out
 
 
 def blended(results: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -99,27 +234,24 @@ def blended(results: DataFrame, weights: dict[str, float]) -> DataFrame:
     return results.withColumn("blended", F.round(sum((w * F.coalesce(F.col(m), F.lit(0.0)) for m, w in weights.items()), F.lit(0.0)), 9))
 
 
-def pareto_front(results: DataFrame, metrics: list[str], key: str = "config_id") -> DataFrame:
-    """Rows that no other row dominates: at least as good on all metrics and better on one.
+def pareto_front(results: DataFrame, metrics: list[str]) -> DataFrame:
+    """Rows that no other row dominates: at least as good on all metrics and better on one, each within EPSILON.
 
-    A theta anti join; meant for up to some thousand configurations.
+    Metrics without a value count 0.
     """
-    other = results.select(*[F.col(m).alias(f"_{m}") for m in metrics])
-    as_good = better = None
-    for m in metrics:
-        a, b = F.col(f"_{m}") >= F.col(m) - EPSILON, F.col(f"_{m}") > F.col(m) + EPSILON
-        as_good, better = (a, b) if as_good is None else (as_good & a, better | b)
-    return results.join(other, as_good & better, "left_anti")
+    named = [f"_m{i}" for i in range(len(metrics))]
+    rows = results.withColumns({n: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for n, m in zip(named, metrics)})
+    return skyband(rows, [], named, margin=EPSILON).drop(*named)
 
 
 def knee(front: DataFrame, metrics: list[str], key: str = "config_id") -> DataFrame:
     """front with knee_score, the length of its min-max scaled metrics (a flat metric counts 1), best first."""
-    w = Window.partitionBy(F.lit(1))
+    ends = front.agg(*[f(m).alias(f"_{n}_{m}") for m in metrics for n, f in (("low", F.min), ("high", F.max))])  # one row
     scaled = []
     for m in metrics:
-        low, high = F.min(m).over(w), F.max(m).over(w)
-        scaled.append(F.when(high > low, (F.col(m) - low) / (high - low)).otherwise(1.0))
-    return front.withColumn("knee_score", F.round(F.sqrt(sum((s * s for s in scaled), F.lit(0.0))), 9)).orderBy(F.desc("knee_score"), *[F.desc(m) for m in metrics], key)
+        low, high = F.col(f"_low_{m}"), F.col(f"_high_{m}")
+        scaled.append(F.when(high - low > EPSILON, (F.col(m) - low) / (high - low)).otherwise(1.0))
+    return front.crossJoin(F.broadcast(ends)).withColumn("knee_score", F.round(F.sqrt(sum((s * s for s in scaled), F.lit(0.0))), 9)).orderBy(F.desc("knee_score"), *[F.desc(m) for m in metrics], key).drop(*ends.columns)
 
 
 def expected_value_metrics(top: DataFrame) -> DataFrame:
@@ -144,9 +276,13 @@ def amount_penalty(median: Column, baseline_median: float) -> Column:
     return F.greatest(median - 1.5 * baseline_median, F.lit(0.0)) if baseline_median > 0 else F.lit(0.0)
 
 
-def by_relevance(results: DataFrame, baseline_median: float) -> DataFrame:
+def relevance_order(baseline_median: float) -> list[Column]:
     """Stable first, then ndcg, coverage and sponsor diversity down, amount penalty up, id up."""
-    return results.orderBy(F.desc("stable"), F.desc("ndcg"), F.desc("coverage"), F.desc("sponsor_diversity"), amount_penalty(F.col("amount_median"), baseline_median), "config_id")
+    return [F.desc("stable"), F.desc("ndcg"), F.desc("coverage"), F.desc("sponsor_diversity"), amount_penalty(F.col("amount_median"), baseline_median).asc(), F.col("config_id").asc()]
+
+
+def by_relevance(results: DataFrame, baseline_median: float) -> DataFrame:
+    return results.orderBy(*relevance_order(baseline_median))
 
 
 def by_blend(results: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Pairs come from a cross join of items with profiles, which is the operation itself;
 profiles are broadcast only up to `SENT_PROFILES`, and larger tables are left to Spark.
-Frame-relative values (greatest amount, spread of expected value) are windows over one
-profile's eligible items.
+Frame-relative values (greatest amount, spread of expected value) are aggregates of a
+profile's eligible items, added up in the tasks that hold them and joined back, so no
+task needs a whole frame; give `score` a written table, since it is read twice.  The K
+best are cut before the rows of a profile come together.
 """
 
 from __future__ import annotations
@@ -120,8 +122,9 @@ def amount() -> Column:
     return F.coalesce("amount_max", "amount_min", F.lit(0.0))
 
 
-def amount_utility(mode: str = "log") -> Column:
-    top = F.max(amount()).over(Window.partitionBy("profile_id"))
+def amount_utility(mode: str = "log", top: Column | None = None) -> Column:
+    """An amount beside the greatest of its frame (of `with_frame` unless given)."""
+    top = F.col("f_amount_high") if top is None else top
     if mode == "linear":
         return F.when(top > 0, clip(amount() / top)).otherwise(0.0)
     if mode == "log":
@@ -129,6 +132,24 @@ def amount_utility(mode: str = "log") -> Column:
     raise ValueError(f"amount utility is linear or log, not {mode!r}")
 
 
+def effort_cost() -> Column:
+    return F.when(F.coalesce("essay_required", F.lit(False)), 1.5).otherwise(1.0)
+
+
+# What is compared within a frame, and the prefix of its least and greatest value.
+FRAME = {"amount": amount, "ev": lambda: amount() / effort_cost(), "won": lambda: F.col("p_win") * amount()}
+
+
+def with_frame(rows: DataFrame) -> DataFrame:
+    """rows with the least and greatest amount, expected-value proxy and (given p_win) expected value of their profile's rows."""
+    names = [n for n in FRAME if n != "won" or "p_win" in rows.columns]
+    bare = rows.drop(*[f"f_{n}_{end}" for n in FRAME for end in ("low", "high")])
+    ends = [f(FRAME[n]()).alias(f"f_{n}_{end}") for n in names for end, f in (("low", F.min), ("high", F.max))]
+    frames = bare.groupBy("profile_id").agg(*ends)
+    n_profiles = frames.count()
+    return bare.join(F.broadcast(frames) if n_profiles <= SENT_PROFILES else frames, "profile_id")
+
+
 def keyword_overlap() -> Column:
     wanted = F.col("p_n_wanted")
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, "n_has")) / F.size(wanted)).otherwise(0.0)
@@ -138,17 +159,23 @@ def effort_penalty() -> Column:
     return F.when(F.coalesce("essay_required", F.lit(False)), 1.0).otherwise(0.0)
 
 
+SCORE_OUTPUTS = ("tfidf_sim", "embed_sim", "text_sim", "amount_utility", "keyword_overlap", "effort_penalty", "stage_score")
+
+
 def score(eligible: DataFrame, weights: ScoreWeights = ScoreWeights(), mode: str = "log") -> DataFrame:
-    """Components and `score`; a column text_sim is used where there is one and is 0 otherwise."""
+    """Components and `score`; a column text_sim is used where there is one and is 0 otherwise.
+
+    Other outputs of an earlier scoring are dropped; an empty frame gives the same columns.
+    """
     sim = F.coalesce(F.col("text_sim"), F.lit(0.0)) if "text_sim" in eligible.columns else F.lit(0.0)
-    out = eligible.withColumns({"text_sim": sim, "amount_utility": amount_utility(mode), "keyword_overlap": keyword_overlap(), "effort_penalty": effort_penalty()})
+    framed = with_frame(eligible.drop(*[c for c in SCORE_OUTPUTS if c not in ("text_sim", "tfidf_sim", "embed_sim")]))
+    out = framed.withColumns({"text_sim": sim, "amount_utility": amount_utility(mode), "keyword_overlap": keyword_overlap(), "effort_penalty": effort_penalty()})
     total = weights.text * F.col("text_sim") + weights.amount * F.col("amount_utility") + weights.keyword * F.col("keyword_overlap") - weights.effort * F.col("effort_penalty")
     return out.withColumn("stage_score", clip(total)).withColumn("text_sim", clip(F.col("text_sim")))
 
 
-def minmax(x: str) -> Column:
-    w = Window.partitionBy("profile_id")
-    low, high = F.min(x).over(w), F.max(x).over(w)
+def minmax(x: str, frame: str) -> Column:
+    low, high = F.col(f"f_{frame}_low"), F.col(f"f_{frame}_high")
     return F.when(high > low, (F.col(x) - low) / (high - low)).otherwise(0.0)
 
 
@@ -158,12 +185,13 @@ def rerank(scored: DataFrame, weights: RankWeights = RankWeights()) -> DataFrame
     A column p_win gives the win branch: expected value in place of the proxy.
     """
     days = F.datediff("deadline", "p_today").cast("double")
-    out = scored.withColumns({"days_to_deadline": days, "effort_cost": F.when(F.coalesce("essay_required", F.lit(False)), 1.5).otherwise(1.0)})
+    framed = scored if f"f_{'won' if 'p_win' in scored.columns else 'ev'}_low" in scored.columns else with_frame(scored)
+    out = framed.withColumns({"days_to_deadline": days, "effort_cost": effort_cost()})
     out = out.withColumn("urgency", F.when(F.col("days_to_deadline").isNotNull(), clip(F.exp(-F.greatest("days_to_deadline", F.lit(0.0)) / 30.0))).otherwise(0.0))
-    out = out.withColumn("ev_proxy", amount() / F.col("effort_cost")).withColumn("ev_norm", minmax("ev_proxy"))
+    out = out.withColumn("ev_proxy", amount() / F.col("effort_cost")).withColumn("ev_norm", minmax("ev_proxy", "ev"))
     signal = "ev_norm"
     if "p_win" in scored.columns:
-        out = out.withColumn("expected_value", F.col("p_win") * amount()).withColumn("expected_value_norm", minmax("expected_value"))
+        out = out.withColumn("expected_value", F.col("p_win") * amount()).withColumn("expected_value_norm", minmax("expected_value", "won"))
         signal = "expected_value_norm"
     final = weights.score * F.coalesce("stage_score", F.lit(0.0)) + weights.urgency * F.col("urgency") + weights.ev * F.col(signal)
     return out.withColumn("final_score", final)

@@ -11,6 +11,7 @@ from rankloom.functions import extract, identity, text, urls
 from rankloom.operators import embeddings, evaluation, ranking, reports, similarity, snapshot, winmodel
 from rankloom.plans import catalog, golden
 from rankloom.sources import fetch, records
+from rankloom.store import written
 from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL, SIM_SQL
 
@@ -32,19 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_KEPT: dict[tuple, DataFrame] = {}
-
-
-def _kept(spark, sf_dir, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries share, persisted once for an application and a folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] == key[0] and k[1] != sf_dir]:
-            _KEPT.pop(old).unpersist()
-        _KEPT[key] = make().persist()
-    return _KEPT[key]
-
-
 def _pairs(spark, sf_dir) -> DataFrame:
     both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir))
     return both.withColumn("reasons", ranking.reasons())
@@ -56,16 +44,16 @@ def _similarity(spark, sf_dir, eligible: DataFrame) -> DataFrame:
 
 
 def _eligible_keys(spark, sf_dir) -> DataFrame:
-    """(profile_id, item_id) of the eligible pairs: the only product of all items with all profiles, so it is kept."""
+    """(profile_id, item_id) of the eligible pairs: the only product of all items with all profiles, so it is written once a query."""
     both = ranking.pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir))
-    return _kept(spark, sf_dir, "eligible", lambda: both.where(ranking.eligible()).select("profile_id", "item_id"))
+    return written(both.where(ranking.eligible()).select("profile_id", "item_id"), "eligible")
 
 
 def _eligible(spark, sf_dir) -> DataFrame:
     """Eligible pairs with their similarity."""
-    keys = _eligible_keys(spark, sf_dir)
+    keys = written(_similarity(spark, sf_dir, _eligible_keys(spark, sf_dir)), "similarity")
     items, profiles = ranking.prepared_items(catalog.items(spark, sf_dir)), ranking.prepared_profiles(catalog.profiles(spark, sf_dir))
-    return _similarity(spark, sf_dir, keys).join(items, "item_id").join(profiles, "profile_id").withColumn("reasons", F.array().cast("array<string>"))
+    return keys.join(items, "item_id").join(profiles, "profile_id").withColumn("reasons", F.array().cast("array<string>"))
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -106,7 +94,7 @@ def met_01_eligibility_precision(spark, sf_dir):
 
 @query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, {R9('amount_linear')} FROM scored")
 def score_04_amount_linear(spark, sf_dir):
-    return _eligible(spark, sf_dir).select("profile_id", "item_id", ranking.amount_utility("linear").alias("amount_linear")).select("profile_id", "item_id", r9("amount_linear"))
+    return ranking.with_frame(_eligible(spark, sf_dir)).select("profile_id", "item_id", ranking.amount_utility("linear").alias("amount_linear")).select("profile_id", "item_id", r9("amount_linear"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT profile_id, item_id, {R9('text_sim', 'amount_utility', 'keyword_overlap', 'effort_penalty', 'stage_score')} FROM staged")
@@ -334,24 +322,14 @@ def tune_01_grid(spark, sf_dir):
 
 
 def _components(spark, sf_dir) -> DataFrame:
-    """Each eligible pair once, with all that a configuration weighs."""
-    columns = ("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm")
-    return _kept(spark, sf_dir, "components", lambda: _ranked(spark, sf_dir).select(*columns, ranking.relevance().alias("relevance")))
-
-
-TASK_ROWS = 2_000_000  # rescored rows of one task, about
+    """Each eligible pair once, with all that a configuration weighs or reports."""
+    columns = ("profile_id", "item_id", "deadline", "text_sim", "keyword_overlap", "amount_utility", "effort_penalty", "urgency", "ev_norm", "amount_max", "sponsor", "source")
+    return written(_ranked(spark, sf_dir).select(*columns, ranking.relevance().alias("relevance")), "components")
 
 
 def _tuned(spark, sf_dir):
     """Metrics of every configuration of the grid, as many as `grid` gives by default (the baseline is the first)."""
-    configs, parts = evaluation.grid(spark), _components(spark, sf_dir)
-    n_configs = configs.count()
-    # Dealt by profile before the configurations multiply the rows, so the lists are cut where they are, in parts that fit in memory.
-    dealt = parts.repartition(max(1, -(-parts.count() * n_configs // TASK_ROWS)), "profile_id")
-    every = evaluation.rescored(dealt, configs, n_configs)
-    top = every.withColumn("place", ranking.place("config_id", "profile_id")).where("place <= 10").select("config_id", "profile_id", "item_id", "place", "relevance", "ev_norm")
-    lists = evaluation.ndcg(top, "config_id", "profile_id").groupBy("config_id").agg(F.round(F.avg("ndcg"), 8).alias("ndcg"))
-    return lists.join(evaluation.coverage(top, "config_id"), "config_id").join(top.groupBy("config_id").agg(F.round(F.avg("ev_norm"), 8).alias("ev")), "config_id")
+    return evaluation.tuned(_components(spark, sf_dir), evaluation.grid(spark))
 
 
 TUNED_SQL = f"""WITH {SCORED_SQL}, {GRID_SQL}, few AS (SELECT * FROM cfg ORDER BY config_id <> 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log', t, a, k, e, s, u, v LIMIT 200),
@@ -365,7 +343,38 @@ res AS (SELECT l.config_id, round(n.ndcg, 8) AS ndcg, l.coverage, l.ev FROM (SEL
 
 @query(f"{TUNED_SQL} SELECT config_id, ndcg, coverage, ev, round(0.7::DOUBLE * ndcg + 0.2::DOUBLE * coverage + 0.1::DOUBLE * ev, 9) AS blended FROM res")
 def tune_07_blended(spark, sf_dir):
-    return evaluation.blended(_tuned(spark, sf_dir), {"ndcg": 0.7, "coverage": 0.2, "ev": 0.1})
+    results = _tuned(spark, sf_dir).select("config_id", "ndcg", "coverage", "ev")
+    return evaluation.blended(results, evaluation.objective_weights("ndcg@k=0.7, coverage=0.2, expected_value=0.1", with_win_model=True))
+
+
+METRICS_SQL = f"""{TUNED_SQL}, met AS (SELECT config_id, CAST(count(DISTINCT sponsor) AS DOUBLE) / count(sponsor) AS sponsor_diversity, CAST(count(DISTINCT source) AS DOUBLE) / count(source) AS source_diversity,
+ count(amount_max) AS n_amounts, coalesce(round(avg(amount_max), 6), 0) AS amount_mean, coalesce(round(median(amount_max), 6), 0) AS amount_median, coalesce(max(amount_max), 0) AS amount_most FROM lab GROUP BY config_id)"""
+
+
+@query(f"{METRICS_SQL} SELECT config_id, ndcg, coverage, ev, sponsor_diversity, source_diversity, n_amounts, amount_mean, amount_median, amount_most, true AS stable FROM res JOIN met USING (config_id)")
+def tune_04_metrics(spark, sf_dir):
+    return _tuned(spark, sf_dir).drop("eligibility_rate").withColumn("amount_median", F.round("amount_median", 6))
+
+
+@query(f"""{METRICS_SQL}, bl AS (SELECT amount_median AS m FROM met WHERE config_id = 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log')
+SELECT config_id, CAST(row_number() OVER (ORDER BY ndcg DESC, coverage DESC, sponsor_diversity DESC, greatest(CASE WHEN m > 0 THEN amount_median - 1.5 * m ELSE 0 END, 0), config_id) AS INT) AS place FROM res JOIN met USING (config_id) CROSS JOIN bl ORDER BY place LIMIT 5""")
+def tune_06_by_relevance(spark, sf_dir):
+    results = _tuned(spark, sf_dir)
+    base = results.where("config_id = 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log'").first().amount_median
+    _, board = reports.selected(results, "relevance", {}, [], base)
+    five = Window.orderBy(*evaluation.relevance_order(base))  # five rows
+    return board.limit(5).select("config_id", F.row_number().over(five).alias("place"))
+
+
+@query(f"""{METRICS_SQL}, front AS (SELECT * FROM res r WHERE NOT EXISTS (SELECT 1 FROM res o WHERE o.ndcg >= r.ndcg - 1e-9 AND o.coverage >= r.coverage - 1e-9 AND o.ev >= r.ev - 1e-9
+ AND (o.ndcg > r.ndcg + 1e-9 OR o.coverage > r.coverage + 1e-9 OR o.ev > r.ev + 1e-9))),
+ends AS (SELECT min(ndcg) AS na, max(ndcg) AS nb, min(coverage) AS ca, max(coverage) AS cb, min(ev) AS ea, max(ev) AS eb FROM front),
+scaled AS (SELECT config_id, ndcg, coverage, ev, CASE WHEN nb - na > 1e-9 THEN (ndcg - na) / (nb - na) ELSE 1 END AS a, CASE WHEN cb - ca > 1e-9 THEN (coverage - ca) / (cb - ca) ELSE 1 END AS b, CASE WHEN eb - ea > 1e-9 THEN (ev - ea) / (eb - ea) ELSE 1 END AS c FROM front CROSS JOIN ends)
+SELECT config_id, round(sqrt(a * a + b * b + c * c), 9) AS knee_score FROM scaled ORDER BY knee_score DESC, ndcg DESC, coverage DESC, ev DESC, config_id LIMIT 1""")
+def tune_10_knee(spark, sf_dir):
+    metrics = evaluation.pareto_metrics("ndcg,coverage,ev,NDCG@K", with_win_model=True)
+    best, _ = reports.selected(_tuned(spark, sf_dir), "pareto", {}, metrics, 0.0)
+    return best.select("config_id", "knee_score")
 
 
 @query(f"""{TUNED_SQL} SELECT config_id FROM res r WHERE NOT EXISTS (SELECT 1 FROM res o WHERE o.ndcg >= r.ndcg - 1e-9 AND o.coverage >= r.coverage - 1e-9 AND o.ev >= r.ev - 1e-9
@@ -597,10 +606,10 @@ def met_09_topk_records(spark, sf_dir):
 SELECT (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM el) AS n_eligible, round((SELECT avg(ndcg) FROM nd), 9) AS ndcg, (SELECT CAST(count(DISTINCT item_id) AS DOUBLE) / count(*) FROM top) AS coverage,
  CAST((SELECT max(place) FROM top) AS INT) AS k, true AS stable""")
 def met_11_evaluation(spark, sf_dir):
-    found = _pairs(spark, sf_dir)
-    sim = _similarity(spark, sf_dir, found.where(F.size("reasons") == 0))
-    rank = lambda eligible: ranking.rerank(ranking.score(eligible.join(sim, ["profile_id", "item_id"])))
-    return reports.evaluated(found, rank).select("n_pairs", "n_eligible", "ndcg", "coverage", "k", "stable")
+    eligible = _eligible(spark, sf_dir)
+    rank = lambda rows: ranking.top_k(ranking.rerank(ranking.score(rows)), 10)
+    top, again = written(rank(eligible), "top"), rank(eligible.repartition(7, "item_id"))
+    return reports.metrics_payload(_pairs(spark, sf_dir), top, again).select("n_pairs", "n_eligible", "ndcg", "coverage", "k", "stable")
 
 
 @query(f"{TUNED_SQL}, b AS (SELECT * FROM res WHERE config_id = 's2_t0.70_a0.20_k0.10_e0.10__s3_s0.80_u0.15_v0.05__log') SELECT r.config_id, printf('%+.4f', round(r.ndcg - b.ndcg, 4) + 0.0::DOUBLE) AS ndcg, printf('%+.4f', round(r.coverage - b.coverage, 4) + 0.0::DOUBLE) AS coverage FROM res r CROSS JOIN b")
