@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import extract, identity, text, urls
 from rankloom.operators import embeddings, evaluation, ranking, reports, similarity, snapshot, winmodel
 from rankloom.plans import catalog, golden
-from rankloom.sources import fetch, records
+from rankloom.sources import crawl, fetch, records
 from rankloom.store import written
 from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL, SIM_SQL
@@ -465,6 +465,48 @@ def src_07_crawl(spark, sf_dir):
     return records.crawl(_links(spark, sf_dir), table(spark, sf_dir, "nation").where("n_nationkey = 10").select(F.col("n_nationkey").cast("string").alias("url")), 5)
 
 
+WORD_PATH = "/[A-Za-zÀ-ÿ]+[.,]?"
+
+
+def _word_kind(url, text, host):
+    """Links of the test pages: one word each; a capital begins a listing, others are details."""
+    path = F.try_parse_url(url, F.lit("PATH"))
+    return F.when(urls.is_internal(url, host) & path.rlike(f"^{WORD_PATH}$"), F.when(path.rlike("^/[A-Z]"), "category").otherwise("detail"))
+
+
+def _page_site(spark, sf_dir) -> tuple[crawl.Site, Callable[[DataFrame], DataFrame]]:
+    """A site made of the pages: a URL shows the page that its hash picks, so links lead on; the root is the host of page 0."""
+    pages = table(spark, sf_dir, "pages")
+    host = pages.where("page_id = 0").select(urls.normalised(F.col("url"))).first()[0].split("/")[2]
+    n = pages.count()
+
+    def web(wanted: DataFrame) -> DataFrame:
+        picked = wanted.select("url", (F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("page_id"))
+        return picked.join(pages.select("page_id", "html"), "page_id").select("url", F.col("html").cast("binary").alias("payload"), F.lit(None).cast("string").alias("error"))
+
+    return crawl.Site(f"https://{host}/", host, listing_pages=None, detail_pages=None, seconds=None, kind=_word_kind), web
+
+
+SITE_SQL = rf"""WITH RECURSIVE site AS (SELECT concat('https://', regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '')) AS root, (SELECT count(*) FROM pages) AS n FROM pages WHERE page_id = 0),
+listed(url) AS (SELECT concat(root, '/') FROM site
+  UNION SELECT concat(s.root, l.path) FROM (SELECT unnest(regexp_extract_all(p.html, '<a href="(/[A-Z][A-Za-zÀ-ÿ]*[.,]?)"', 1)) AS path FROM listed r CROSS JOIN site JOIN pages p ON p.page_id = CAST(concat('0x', substr(md5(r.url), 1, 8)) AS BIGINT) % site.n) l CROSS JOIN site s),
+links AS (SELECT DISTINCT concat(s.root, l.path) AS url, CASE WHEN regexp_matches(l.path, '^/[A-Z]') THEN 'category' ELSE 'detail' END AS kind
+  FROM (SELECT unnest(regexp_extract_all(p.html, '<a href="({WORD_PATH})"', 1)) AS path FROM listed r CROSS JOIN site JOIN pages p ON p.page_id = CAST(concat('0x', substr(md5(r.url), 1, 8)) AS BIGINT) % site.n) l CROSS JOIN site s)"""
+
+
+@query(f"{SITE_SQL} SELECT url, kind FROM links")
+def src_07_page_links(spark, sf_dir):
+    site, web = _page_site(spark, sf_dir)
+    return crawl.listings(spark, site, web).links
+
+
+@query(f"""{SITE_SQL}, shown AS (SELECT l.url, {_text_sql("regexp_extract(p.html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title FROM links l CROSS JOIN site JOIN pages p ON p.page_id = CAST(concat('0x', substr(md5(l.url), 1, 8)) AS BIGINT) % site.n WHERE l.kind = 'detail')
+SELECT url AS source_url, title FROM shown""")
+def src_06_page_crawl(spark, sf_dir):
+    site, web = _page_site(spark, sf_dir)
+    return crawl.crawl(spark, site, web).records.select("source_url", "title")
+
+
 @query("""SELECT CAST(event_id AS VARCHAR) AS source_id, concat('Award ', event_type, ' & more') AS title, CAST(event_id % 7000 AS DOUBLE) AS amount_min, CAST(7000 + event_id % 7000 AS DOUBLE) AS amount_max, strftime(ts, '%Y-%m-%d') AS deadline FROM events""")
 def src_04_posts(spark, sf_dir):
     e = table(spark, sf_dir, "events")

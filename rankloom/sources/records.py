@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import extract, identity
+from rankloom.store import written
 
 POST = "struct<id:string,link:string,slug:string,date:string,title:struct<rendered:string>,excerpt:struct<rendered:string>,content:struct<rendered:string>>"
 
@@ -132,12 +133,12 @@ def write_json(value: dict, path: str) -> None:
 def crawl(links: DataFrame, roots: DataFrame, rounds: int = 3) -> DataFrame:
     """(url, depth): what can be reached from the roots over (source, target), breadth first.
 
-    Each round joins only the last frontier and drops what was seen before.
+    Each round joins only the last frontier and drops what was seen before.  Rounds end as
+    tables, so the plan of a round does not depend on how many came before.
     """
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    frontier = seen = written(roots.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, rounds + 1):
         found = frontier.select(F.col("url").alias("source")).join(links, "source").select(F.col("target").alias("url")).distinct()
-        frontier = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(frontier)
+        frontier = written(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        seen = written(seen.unionByName(frontier), "seen")
     return seen
