@@ -7,8 +7,15 @@ term, and c(t, e) both, the share of the term's texts that hold the entity is dr
 p(e | t) = (c(t, e) + PRIOR c(e) / N) / (c(t) + PRIOR), so that little evidence counts for
 little, yet entities that are seen once are judged as well.  The information that the
 term gives, PMI(t; e) = log2(p(e | t) N / c(e)), is compared with the entity's own,
-log2(N / c(e)); a term whose share of it exceeds `DISCLOSURE` is a span of kind `term`
-wherever it stands in a text that holds that entity.
+log2(N / c(e)); a term whose share of it exceeds `DISCLOSURE` is a candidate.
+
+In a table where most texts have words of their own, every such word would be one, though
+any other text would have given as many.  So candidates with the same counts c(e), c(t, e)
+and c(t) are held against what entities dealt to texts at random would give: with T terms
+and E entities of those counts, E T m^k / k! pairs are expected at random, k = c(t, e) and
+m = c(e) c(t) / N.  Only where these are at most `CHANCE` of the pairs that are there do the
+candidates stand, as spans of kind `term` wherever the term is in a text that holds the entity.
+Terms have `LEAST_TERM` characters or more: shorter runs are initials, numbers and particles.
 
 Defined cases: null texts count as empty; terms go by the text, so rows that share a
 doc_id each get the spans of their own text and copies get the same spans; empty tables
@@ -25,6 +32,7 @@ from rankloom.llm.store import written
 
 DISCLOSURE = 0.8  # share of the entity's information
 PRIOR = 1.0  # texts
+CHANCE = 0.1  # share of the pairs that chance alone may explain
 LEAST_TERM = 4  # characters
 SLOTS = 64  # of the table in which a text's words look up the revealing ones
 
@@ -85,21 +93,36 @@ def private_texts(docs: DataFrame) -> DataFrame:
 
 
 def revealing(docs: DataFrame) -> DataFrame:
-    """(_h, _reveal): the terms of a text that disclose one of its entities."""
+    """(_h, _reveal): the terms of a text that disclose one of its entities.
+
+    Terms too frequent to disclose even the most frequent entity go before they meet any,
+    so the rows made are those of texts with their rare terms, not of entities with terms.
+    """
     common, private = term_counts(docs), private_texts(docs)
-    total = F.lit(float(max([r["ct"] for r in common.where("term = ''").collect()], default=1)))
+    n = float(max([r["ct"] for r in common.where("term = ''").collect()], default=1))
+    total = F.lit(n)
     held = private.select("_h", F.explode_outer("entities").alias("entity")).where("entity is not null")
     seen = held.groupBy("entity").agg(F.count("*").alias("ce"), F.min("_h").alias("home"))
     # Entities of one text alone share all counts with each other, so one stands for all.
     once = seen.where("ce = 1").groupBy("home").agg(F.min("entity").alias("entity")).select(F.col("home").alias("_h"), "entity", F.lit(1).cast("long").alias("ce"))
     more = held.join(seen.where("ce > 1").select("entity", "ce"), "entity").select("_h", "entity", "ce")
     judged = written(once.unionByName(more), "judged")
-    known = judged.groupBy("_h").agg(F.collect_list(F.struct("entity", "ce")).alias("known"))
-    words = private.join(known, "_h").select("_h", F.explode_outer("known").alias("k"), "terms").select("_h", "k.entity", "k.ce", F.explode_outer("terms").alias("term")).where("term is not null")
-    pairs = words.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("ce").alias("ce"))
+    most = judged.agg(F.max("ce")).first()[0] or 1
+    # c(t, e) is c(e) at most, so a term with more texts than this has no entity to disclose.
+    bound = lambda ce: ce * (1 + PRIOR / total) * F.pow(total / ce, F.lit(1 - DISCLOSURE)) - PRIOR
+    rare = common.where((F.col("term") != "") & (F.col("ct") <= bound(F.lit(float(most)))))
+    terms = private.select("_h", F.explode_outer("terms").alias("term")).where("term is not null").join(rare, "term")
+    words = written(terms.join(judged, "_h").where(F.col("ct") <= bound(F.col("ce"))).select("_h", "entity", "ce", "term", "ct"), "met")
+    pairs = written(words.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("ce").alias("ce"), F.first("ct").alias("ct")), "pairs")
     share = (F.col("both") + PRIOR * F.col("ce") / total) / (F.col("ct") + PRIOR)
-    told = pairs.join(common, "term").where(F.log2(share * total / F.col("ce")) > DISCLOSURE * F.log2(total / F.col("ce"))).select("entity", "term")
-    return words.select("_h", "entity", "term").join(written(told, "told"), ["entity", "term"]).groupBy("_h").agg(F.collect_set("term").alias("_reveal"))
+    same = pairs.groupBy("ce", "both", "ct").agg(F.count("*").alias("there")).where(F.log2(share * total / F.col("ce")) > DISCLOSURE * F.log2(total / F.col("ce")))
+    of_entities = judged.select("entity", "ce").distinct().groupBy("ce").agg(F.count("*").alias("n_entities"))
+    of_terms = rare.groupBy("ct").agg(F.count("*").alias("n_terms"))
+    k = F.col("both").cast("double")
+    chance = F.col("n_entities") * F.col("n_terms") * F.pow(F.col("ce") * F.col("ct") / total, k) / F.factorial(F.least("both", F.lit(20)).cast("int"))
+    stand = same.join(of_entities, "ce").join(of_terms, "ct").where(chance <= CHANCE * F.col("there")).select("ce", "both", "ct")
+    told = pairs.join(stand, ["ce", "both", "ct"]).select("entity", "term")
+    return words.select("_h", "entity", "term").join(told, ["entity", "term"]).groupBy("_h").agg(F.collect_set("term").alias("_reveal"))
 
 
 def term_spans(text: Column, reveal: Column) -> Column:

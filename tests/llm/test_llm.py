@@ -580,3 +580,63 @@ def test_scores_equal_a_plain_scorer(spark, docs):
         hit = {f for w in (r.text or "").lower().split() if w.strip(toxicity.EDGES) for f in toxicity.features_of(w.strip(toxicity.EDGES), model["whole"])}
         z = model["bias"] + math.fsum(model["weights"].get(f, 0.0) for f in hit)
         assert r.own == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-12)
+
+
+def brute_terms(rows: list[tuple[int, str]]) -> dict[int, set[str]]:
+    """The revealing terms of each row by sets of texts."""
+    import math
+
+    texts = sorted({t for _, t in rows})
+    n = len(texts)
+    terms = {t: {w for w in re.split(r"[\x20\x09-\x0D.,;:!?()]+", t.lower()) if len(w) >= 4} for t in texts}
+    own = {t: {(k, t[a:b].lower()) for a, _, b, k in brute_private(t)} for t in texts}
+    ct = Counter(w for t in texts for w in terms[t])
+    ce = Counter(e for t in texts for e in own[t])
+    once = {t: [e for e in own[t] if ce[e] == 1][:1] for t in texts}  # one stands for all of a text's own
+    judged = {t: [e for e in own[t] if ce[e] > 1] + once[t] for t in texts}
+    both = Counter((e, w) for t in texts for e in judged[t] for w in terms[t])
+    there = Counter((ce[e], k, ct[w]) for (e, w), k in both.items())
+    n_entities = Counter(ce[e] for e in {e for es in judged.values() for e in es})
+    n_terms = Counter(ct.values())
+    good = set()
+    for c, k, m in there:
+        share = (k + c / n) / (m + 1)
+        chance = n_entities[c] * n_terms[m] * (c * m / n) ** k / math.factorial(min(k, 20))
+        if math.log2(share * n / c) > 0.8 * math.log2(n / c) and chance <= 0.1 * there[c, k, m]:
+            good.add((c, k, m))
+    return {i: {w for e in judged[t] for w in terms[t] if (ce[e], both[e, w], ct[w]) in good} for i, t in rows}
+
+
+def marked(i_t, spans: str) -> set[str]:
+    return {i_t[int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in spans.split(",") if s.startswith("term:")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_revealing_terms_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    plain = [f"word{i:03}" for i in range(60)]
+    rows = []
+    for i in range(220):
+        body = " ".join(rnd.choice(plain) for _ in range(12))
+        if i % 11 == 0:
+            body += f" jan{i % 33}@ex.org asked" + (" Quorlith said" if i % 33 == 0 else "")
+        if i % 40 == 7:
+            body += f" only{i} person{i}@ex.org"
+        rows.append((i, body))
+    got = privacy.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_terms(rows)
+    body = dict(rows)
+    out = {r.doc_id: marked(body[r.doc_id], r.spans) for r in got.collect()}
+    blank = lambda t: re.sub(r"[^ ]*@[^ ]*", " ", t).lower().split()  # noqa: E731  terms inside base spans are not marked again
+    assert out == {i: {w for w in terms if w in blank(body[i])} for i, terms in want.items()}
+    assert any("quorlith" in terms for terms in out.values())
+
+
+def test_words_of_ones_own_are_no_evidence_where_every_text_has_them(spark):
+    rnd = random.Random(3)
+    own = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(9))
+    rows = [(i, " ".join(own() for _ in range(25)) + " common words here" + (f" p{i}@ex.org" if i % 9 == 0 else "")) for i in range(300)]
+    rows += [(1000 + i, f"Zemblix {own()} team@ex.org {own()} common words") for i in range(4)]
+    body = dict(rows)
+    out = {r.doc_id: marked(body[r.doc_id], r.spans) for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(out[i] for i in range(300)) and all(out[1000 + i] == {"zemblix"} for i in range(4))
