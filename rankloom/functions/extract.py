@@ -39,11 +39,19 @@ def clean_text(x: Column) -> Column:
     return spaced(F.regexp_replace(unescaped(x), r"(?s)<[^>]+>", " "))
 
 
+HREF = r"(?is)^<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+ANCHOR = r"(?is)<a\b(?=(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</a\s*>"
+
+
 def anchors(html: Column) -> Column:
-    """array<struct<href, text>> of the links."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a>"), F.lit(0))
-    href = lambda a: unescaped(F.regexp_replace(F.regexp_extract(a, r"(?is)href\s*=\s*(\"[^\"]*\"|'[^']*')", 1), r"^.|.$", ""))
-    return F.transform(found, lambda a: F.struct(href(a).alias("href"), spaced(F.regexp_replace(a, r"(?s)<[^>]+>", " ")).alias("text")))
+    """array<struct<href, text>> of the links: href in any quoting or none, its entities and those of the text as their characters.
+
+    The text of nested elements is joined by spaces; comments hold no links.
+    """
+    found = F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit(ANCHOR), F.lit(0))
+    href = lambda a: F.trim(unescaped(F.regexp_replace(F.regexp_extract(a, HREF, 1), r"^[\"']|[\"']$", "")))
+    body = lambda a: F.regexp_replace(a, r"(?is)^<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", "")
+    return F.transform(found, lambda a: F.struct(href(a).alias("href"), spaced(unescaped(F.regexp_replace(body(a), r"(?s)<[^>]+>", " "))).alias("text")))
 
 
 def meta_content(html: Column, name: str) -> Column:

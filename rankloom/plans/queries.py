@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from rankloom.functions import extract, identity, text, urls
 from rankloom.operators import embeddings, evaluation, ranking, reports, similarity, snapshot, winmodel
 from rankloom.plans import catalog, golden
 from rankloom.sources import crawl, fetch, records
-from rankloom.store import written
+from rankloom.store import shared_dir, written
 from rankloom.streaming import ingest
 from rankloom.plans.catalog import ITEMS_SQL, PAIRS_SQL, PROFILES_SQL, SCORED_SQL, SIM_SQL
 
@@ -392,7 +393,7 @@ def win_01_pair_features(spark, sf_dir):
     return ranking.score(_eligible(spark, sf_dir)).select("profile_id", "item_id", *[x.alias(c) for c, x in f.items()])
 
 
-def _samples(spark, sf_dir, n: int = 4_000):
+def _samples(spark, sf_dir, n: int = 8_000):
     drawn = winmodel.sampled_pairs(catalog.items(spark, sf_dir), catalog.profiles(spark, sf_dir), n, 0)
     parts = drawn.withColumn("keyword_overlap", ranking.keyword_overlap()).withColumn("text_sim", text.jaccard(text.space_tokens(text.item_text()), text.list_tokens(F.col("p_keywords"))))
     return winmodel.split(winmodel.labelled(parts.select("sample_id", "profile_id", "item_id", *[x.alias(c) for c, x in ranking.pair_features().items()])))
@@ -627,6 +628,24 @@ def rank_06_win_branch(spark, sf_dir):
     return _won(spark, sf_dir).select("profile_id", "item_id", "place", "p_win", F.round("expected_value", 6).alias("expected_value"), *map(r9, ("expected_value_norm", "final_score")))
 
 
+def _modelled(spark, sf_dir) -> DataFrame:
+    """The ten best by the win model: trained on drawn pairs, asked about every eligible pair."""
+    model = winmodel.train(_samples(spark, sf_dir))
+    scored = ranking.score(_eligible(spark, sf_dir))
+    return ranking.top_k(ranking.rerank(ranking.with_frame(winmodel.with_p_win(scored, model))), 10)
+
+
+@query()
+def rank_06_model_branch(spark, sf_dir):
+    return _modelled(spark, sf_dir).select("profile_id", "item_id", "place", F.round("p_win", 9).alias("p_win"), *map(r9, ("expected_value", "expected_value_norm", "final_score")))
+
+
+@query()
+def met_08_model_values(spark, sf_dir):
+    """Per profile and then over profiles what the win model says of the lists it ranked."""
+    return evaluation.macro_average(evaluation.expected_value_metrics(_modelled(spark, sf_dir)))
+
+
 @query(f"{WON_SQL} SELECT round(avg(p_win), 9) AS mean_p_win, round(median(p_win), 9) AS median_p_win, round(avg(expected_value), 4) AS mean_ev, round(median(expected_value), 4) AS median_ev FROM wt")
 def met_07_win_summary(spark, sf_dir):
     return _won(spark, sf_dir).agg(F.round(F.avg("p_win"), 9).alias("mean_p_win"), F.round(F.median("p_win"), 9).alias("median_p_win"), F.round(F.avg("expected_value"), 4).alias("mean_ev"), F.round(F.median("expected_value"), 4).alias("median_ev"))
@@ -665,6 +684,27 @@ def tune_11_selected(spark, sf_dir):
     return best.select("config_id")
 
 
+def _letters():
+    """A stand-in for an encoder: counts of some letters and the length."""
+    return lambda texts: [[float(t.count("a")), float(t.count("e")), float(t.count("r")), float(len(t))] for t in texts]
+
+
+_LETTERS_SQL = "[length(t) - length(replace(t, 'a', '')), length(t) - length(replace(t, 'e', '')), length(t) - length(replace(t, 'r', '')), length(t)]"
+
+
+@query(f"""WITH {ITEMS_SQL}, k AS (SELECT item_id, sha1(concat(item_id, '|', lower(title), ' | ', lower(sponsor), ' | ', lower(trim(description)), ' |  | ')) AS embedding_key, lower(concat_ws(' ', title, sponsor, trim(description))) AS t FROM items),
+v AS (SELECT item_id, embedding_key, list_transform({_LETTERS_SQL}, lambda x: CAST(x AS DOUBLE)) AS x FROM k)
+SELECT item_id, embedding_key, round(x[2] / sqrt(list_dot_product(x, x)), 5) AS second, (SELECT count(*) FROM items WHERE p_partkey % 3 <> 0) AS n_made, 0 AS n_again FROM v""")
+def emb_04_ensured_store(spark, sf_dir):
+    embeddings.register("letters", _letters)
+    items, root = catalog.items(spark, sf_dir), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    embeddings.ensure_store(items.where(F.col("item_id").cast("int") % 3 == 0), root, "letters")
+    keyed, n_made = embeddings.ensure_store(items, root, "letters")
+    _, n_again = embeddings.ensure_store(items, root, "letters")
+    found = embeddings.looked_up(keyed, embeddings.stored(spark, embeddings.store_path(root, "letters")))
+    return found.select("item_id", "embedding_key", F.round(F.get("vector", 1).cast("double"), 5).alias("second"), F.lit(n_made).cast("long").alias("n_made"), F.lit(n_again).alias("n_again"))
+
+
 @query("SELECT vec_id, CAST(len(embedding) AS INT) AS n FROM embeddings")
 def emb_06_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.sha1(F.col("vec_id").cast("string")).alias("embedding_key"), F.col("embedding").alias("vector"))
