@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.urls import normalised
@@ -21,20 +23,24 @@ def utc_text(x: Column, default: Column) -> Column:
     return F.date_format(F.coalesce(F.try_to_timestamp(x.cast("string")), default), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+LISTS = ("states_allowed", "majors_allowed", "keywords")
+NUMBERS = ("amount_min", "amount_max", "min_gpa")
+FLAGS = ("is_recurring", "essay_required")
+TIMES = ("first_seen_at", "last_seen_at")
+
+
 def normalise_records(raw: DataFrame, now: Column) -> DataFrame:
-    """Numbers, dates, lists and times coerced, bad values to null."""
-    number = lambda c: F.col(c).cast("string").try_cast("double")
-    return raw.withColumns(
-        {
-            "amount_min": number("amount_min"),
-            "amount_max": number("amount_max"),
-            "min_gpa": number("min_gpa"),
-            "deadline": F.to_date(F.try_to_timestamp(F.col("deadline").cast("string"))),
-            "keywords": cleaned_list(F.col("keywords")),
-            "first_seen_at": utc_text(F.col("first_seen_at"), now),
-            "last_seen_at": utc_text(F.col("last_seen_at"), now),
-        }
-    )
+    """Numbers, dates, lists, flags and times coerced, bad values to null; columns that are missing are added as nulls (times as now).
+
+    A list column that holds no lists, or a flag that is none, counts as bad throughout.
+    """
+    kinds = dict(raw.dtypes)
+    have = lambda c: F.col(c) if c in kinds else F.lit(None).cast("string")
+    number = lambda c: F.nullif(have(c).cast("string").try_cast("double"), F.lit(float("nan")))
+    listed = lambda c: cleaned_list(F.col(c).cast("array<string>")) if kinds.get(c, "").startswith("array<") else F.lit(None).cast("array<string>")
+    flag = lambda c: F.col(c) if kinds.get(c) == "boolean" else F.lit(None).cast("boolean")
+    day = F.to_date(F.try_to_timestamp(have("deadline").cast("string")))
+    return raw.withColumns({c: number(c) for c in NUMBERS} | {c: listed(c) for c in LISTS} | {c: flag(c) for c in FLAGS} | {c: utc_text(have(c), now) for c in TIMES} | {"deadline": day})
 
 
 def dedupe(records: DataFrame, id_col: str = "item_id", url_col: str = "source_url", title_col: str = "title") -> DataFrame:
@@ -47,15 +53,25 @@ def blank(x: Column) -> Column:
     return x.isNull() | (F.trim(x) == "")
 
 
+def missing_text() -> Column:
+    return blank(F.col("title")) | blank(F.col("source_url"))
+
+
+def warnings(n_rows: Column, n_missing: Column, prior_rows: int) -> dict[str, Column]:
+    """Rows below half of before; over 5 % without title or URL."""
+    return {"warn_drop": F.lit(prior_rows > 0) & (n_rows < 0.5 * prior_rows), "warn_missing": (n_rows > 0) & (n_missing > 0.05 * n_rows)}
+
+
 def guardrails(current: DataFrame, prior_rows: int) -> DataFrame:
-    """One row: counts and the two warnings (rows below half of before; over 5 % without title or URL)."""
-    out = current.agg(F.count("*").alias("n_rows"), F.count_if(blank(F.col("title")) | blank(F.col("source_url"))).alias("n_missing"))
-    return out.select(
-        "n_rows",
-        "n_missing",
-        (F.lit(prior_rows > 0) & (F.col("n_rows") < 0.5 * prior_rows)).alias("warn_drop"),
-        ((F.col("n_rows") > 0) & (F.col("n_missing") > 0.05 * F.col("n_rows"))).alias("warn_missing"),
-    )
+    """One row: counts and the two warnings."""
+    out = current.agg(F.count("*").alias("n_rows"), F.count_if(missing_text()).alias("n_missing"))
+    return out.withColumns(warnings(F.col("n_rows"), F.col("n_missing"), prior_rows))
+
+
+def observed(current: DataFrame) -> tuple[DataFrame, Observation]:
+    """current, and its counts (n_rows, n_missing), known once it has been written: no pass of their own."""
+    seen = Observation(f"guardrails-{uuid.uuid4().hex}")
+    return current.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(missing_text()).alias("n_missing")), seen
 
 
 def changes(current: DataFrame, prior: DataFrame, id_col: str, tracked: list[str]) -> DataFrame:

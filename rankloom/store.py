@@ -28,3 +28,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file through Spark's file system, written aside and renamed, so it is whole wherever the path leads."""
+    jvm = spark._jvm
+    at, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    files.delete(at, False)
+    if not files.rename(aside, at):
+        raise OSError(f"could not write {path}")
