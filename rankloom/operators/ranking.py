@@ -233,7 +233,7 @@ def reasons_of_match() -> Column:
     )
 
 
-def pair_features(flag_source: str = "scholarship_america") -> dict[str, Column]:
+def pair_features(flag_source: str = "live") -> dict[str, Column]:
     """The 13 features of a pair for the win-probability model."""
     c = F.col
     gpa = F.least(F.greatest(F.coalesce("p_gpa", F.lit(0.0)), F.lit(0.0)), F.lit(4.0))

@@ -12,7 +12,7 @@ from rankloom.operators.similarity import STOP_WORDS
 
 ITEMS_SPARK = """
 SELECT cast(p_partkey AS string) AS item_id,
-  CASE WHEN p_partkey % 4 = 0 THEN 'scholarship_america_live' ELSE 'board' END AS source,
+  CASE WHEN p_partkey % 4 = 0 THEN 'live_feed' ELSE 'board' END AS source,
   concat('HTTPS://www.Example', p_partkey % 50, '.org/Awards/', p_partkey, '/?b=2&a=1#top') AS source_url,
   p_name AS title, p_brand AS sponsor, concat(p_type, '  ', p_name) AS description,
   cast(NULL AS string) AS eligibility_text, cast(NULL AS string) AS essay_prompt,
@@ -41,7 +41,7 @@ FROM {customer} WHERE c_custkey % 20 = 0
 
 ITEMS_SQL = """
 items AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id,
-  CASE WHEN p_partkey % 4 = 0 THEN 'scholarship_america_live' ELSE 'board' END AS source,
+  CASE WHEN p_partkey % 4 = 0 THEN 'live_feed' ELSE 'board' END AS source,
   concat('HTTPS://www.Example', p_partkey % 50, '.org/Awards/', p_partkey, '/?b=2&a=1#top') AS source_url,
   p_name AS title, p_brand AS sponsor, concat(p_type, '  ', p_name) AS description,
   CAST(NULL AS VARCHAR) AS eligibility_text, CAST(NULL AS VARCHAR) AS essay_prompt,
