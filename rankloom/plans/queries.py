@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import extract, identity, text, urls
-from rankloom.operators import embeddings, evaluation, ranking, reports, similarity, snapshot, winmodel
+from rankloom.operators import embeddings, evaluation, nearest, ranking, reports, similarity, snapshot, winmodel
 from rankloom.plans import catalog, golden
 from rankloom.sources import crawl, fetch, records
 from rankloom.store import shared_dir, written
@@ -127,6 +127,15 @@ def score_02_embedding_cosine(spark, sf_dir):
     return e.crossJoin(F.broadcast(q) if q.count() <= ranking.SENT_PROFILES else q).select("profile_id", F.col("vec_id").alias("item_id"), F.round(similarity.dot(F.col("q"), F.col("embedding")), 5).alias("text_sim"))
 
 
+@query("""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS s
+ FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM p)
+SELECT query_id, id, s AS similarity, CAST(place AS INT) AS place FROM r WHERE place <= 10""")
+def score_02_nearest(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(e.where("vec_id % 20 = 0"), e, 10, "vec_id", "embedding")
+
+
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, sha1(concat(item_id, '|', lower(title), ' | ', lower(sponsor), ' | ', lower(trim(description)), ' |  | ')) AS embedding_key FROM items""")
 def norm_12_embedding_keys(spark, sf_dir):
     return catalog.items(spark, sf_dir).select("item_id", identity.embedding_key().alias("embedding_key"))
