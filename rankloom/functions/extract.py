@@ -117,6 +117,11 @@ def essay_required(text: Column) -> Column:
     )
 
 
+def essay_prompt(text: Column) -> Column:
+    """What follows `essay prompt:` on its line, without marks at its ends; null without any."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(?i)essay prompt\s*:\s*([^\n]+)", 1), r"^[ .;:]+|[ .;:]+$", ""), F.lit(""))
+
+
 def labelled_field(text: Column, names: list[str], labels: list[str]) -> Column:
     """The value after the first `name:` that is found, up to the next label (no word boundary)."""
     stop = "(?i)" + "|".join(labels)

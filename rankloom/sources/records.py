@@ -73,9 +73,13 @@ def posts(payloads: DataFrame, raw: str = "raw", sponsor: str | None = None) ->
     return rows.withColumn("item_id", identity.canonical_id())
 
 
-def detail_pages(pages: DataFrame, url: str = "url", html: str = "html", sponsor: Column | None = None, states: tuple[str, ...] = ()) -> DataFrame:
-    """Detail pages as items; pages without text, and error pages by their titles, are left out."""
+def detail_pages(pages: DataFrame, url: str = "url", html: str = "html", sponsor: Column | None = None, states: tuple[str, ...] = (), host: str | None = None) -> DataFrame:
+    """Detail pages as items; pages without text, error pages by their titles and (given the host) URLs of no detail page are left out."""
     from rankloom.functions.urls import slug
+    from rankloom.sources.fetch import is_detail
+
+    if host is not None:
+        pages = pages.where(is_detail(F.col(url), F.lit(""), host))
 
     rows = pages.select(F.col(url).alias("source_url"), F.col(html).alias("_h"), extract.html_text(F.col(html)).alias("_t"))
     rows = rows.withColumn("title", F.coalesce(F.nullif(extract.title(F.col("_h")), F.lit("")), F.initcap(F.replace(slug(F.col("source_url")), F.lit("-"), F.lit(" ")))))
@@ -88,6 +92,7 @@ def detail_pages(pages: DataFrame, url: str = "url", html: str = "html", sponsor
             "deadline": F.to_date(F.try_to_timestamp(extract.deadline(F.col("_t")))),
             "_a": extract.amounts(F.col("_t")),
             "essay_required": extract.essay_required(F.col("_t")),
+            "essay_prompt": extract.essay_prompt(F.col("_t")),
             "states_allowed": extract.listed_names(F.col("_t"), list(states)) if states else F.lit(None).cast("array<string>"),
             "keywords": F.array(slug(F.col("source_url"))),
         }

@@ -106,3 +106,11 @@ def test_links_equal_a_parser_on_pages_and_odd_html(spark):
         parser = _Links()
         parser.feed(html)
         assert got[i] == parser.out, html[:200]
+
+
+def test_essay_prompts_and_detail_urls(spark):
+    from rankloom.sources import records
+
+    rows = [("https://a.org/scholarship/x", "<h1>X</h1><p>Essay Prompt: Why you?; </p>"), ("https://a.org/about", "<h1>About</h1>us"), ("https://a.org/scholarship/y.pdf", "<h1>Y</h1>z")]
+    got = {r.source_url: r.essay_prompt for r in records.detail_pages(spark.createDataFrame(rows, "url string, html string"), host="a.org").collect()}
+    assert got == {"https://a.org/scholarship/x": "Why you?"}
