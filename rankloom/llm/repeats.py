@@ -162,9 +162,11 @@ def _firsts(rows: list[tuple], solve: Callable) -> dict[int, tuple]:
     """{cid: (run, first (doc, place) of each of its windows)} of the rows of a group or chunk."""
     runs: dict[int, list] = {}
     for cid, run, _, docs, _, places in rows:
-        ids, at = np.frombuffer(docs, "<i8"), np.frombuffer(places, "<i4")
-        least = ids.min()  # rows that share an id stand in any order, each with a place of its own
-        own = int(least), int(at[ids == least].min())
+        own = struct.unpack_from("<q", docs)[0], struct.unpack_from("<i", places)[0]
+        k = 1  # rows come by id; those that share the least one each have a place of their own
+        while docs[8 * k : 8 * k + 8] == docs[:8]:
+            own = min(own, (own[0], struct.unpack_from("<i", places, 4 * k)[0]))
+            k += 1
         got = runs.setdefault(cid, [run, own])
         got[1] = min(got[1], own)
     return {cid: (runs[cid][0], found) for cid, found in zip(runs, solve([(run, own) for run, own in runs.values()]))}
