@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.operators import ranking
 from rankloom.operators.quantiles import quantile
-from rankloom.operators.skyline import skyband
+from rankloom.operators.skyline import CHUNK_ROWS, chunks, skyband
 from rankloom.store import written
 
 EPSILON = 1e-9
@@ -90,7 +93,11 @@ def grid(spark: SparkSession, most: int = 200) -> DataFrame:
 def rescored(components: DataFrame, configs: DataFrame, n_configs: int, value: str = "ev_norm") -> DataFrame:
     """Every (config, profile, item) with its final score, from components that are there."""
     named = configs.select("config_id", *[F.col(c).alias(f"w_{c}") for c in GRID])
-    both = components.crossJoin(F.broadcast(named) if n_configs <= SENT_CONFIGS else named)
+    return final_scores(components.crossJoin(F.broadcast(named) if n_configs <= SENT_CONFIGS else named), value)
+
+
+def final_scores(both: DataFrame, value: str = "ev_norm") -> DataFrame:
+    """both (components beside the weights w_ of a configuration) with the final score."""
     c = F.col
     stage = c("w_text") * c("text_sim") + c("w_amount") * c("amount_utility") + c("w_keyword") * c("keyword_overlap") - c("w_effort") * c("effort_penalty")
     stage = F.least(F.greatest(stage, F.lit(0.0)), F.lit(1.0))
@@ -99,7 +106,7 @@ def rescored(components: DataFrame, configs: DataFrame, n_configs: int, value: s
 
 MEASURES = ("text_sim", "amount_utility", "keyword_overlap", "_ease", "urgency")
 CARRIED = ("item_id", "deadline", "relevance", "amount_max", "sponsor", "source")
-TASK_ROWS = 2_000_000  # rescored rows of one task, about
+NEAR = 1e-9  # of final scores, which are compared to 10 places
 
 
 def contenders(components: DataFrame, k: int = 10, value: str = "ev_norm") -> DataFrame:
@@ -113,14 +120,43 @@ def contenders(components: DataFrame, k: int = 10, value: str = "ev_norm") -> Da
     return skyband(rows, ["profile_id"], [*MEASURES, value], k, ties=[("deadline", "ascending"), ("item_id", "ascending")]).drop("_ease")
 
 
-def config_lists(components: DataFrame, configs: DataFrame, n_configs: int, k: int = 10, value: str = "ev_norm", deal: str = "profile_id") -> DataFrame:
-    """(config_id, profile_id, top): the k best of every configuration, in order.
+def shortlisted(components: DataFrame, configs: DataFrame, k: int = 10, value: str = "ev_norm") -> DataFrame:
+    """Rows of components beside the `config_id` of every configuration under which they can be among the k best of their profile.
 
-    Rows are dealt by profile before the configurations multiply them, so the lists are cut
-    where they are.
+    Tasks weigh their rows of a profile under all configurations as arrays and give out
+    those that come within `NEAR` of the k-th best there; the exact score and order are for
+    what they give out.
     """
-    n = max(1, -(-components.count() * n_configs // TASK_ROWS))
-    every = rescored(components.repartition(n, deal), configs, n_configs, value)
+    names = [*GRID]
+    given = configs.select("config_id", *names).orderBy("config_id").collect()  # a grid: SENT_CONFIGS at most
+    if len(given) > SENT_CONFIGS:
+        raise ValueError(f"at most {SENT_CONFIGS} configurations")
+    ids, weights = [r.config_id for r in given], [tuple(r[n] for n in names) for r in given]
+    measures = ("text_sim", "amount_utility", "keyword_overlap", "effort_penalty", "urgency", value)
+
+    def run(batches):
+        for table in chunks(batches, ["profile_id"]):
+            for lo in range(0, table.num_rows, CHUNK_ROWS):
+                part = table.slice(lo, CHUNK_ROWS).combine_chunks()
+                x, y, z, e, u, v = (np.nan_to_num(part.column(c).to_numpy(zero_copy_only=False).astype(float), nan=0.0) for c in measures)
+                rows, which = [], []
+                for c, (text, amount, keyword, effort, w_s, w_u, w_v) in enumerate(weights):
+                    score = w_s * np.clip(text * x + amount * y + keyword * z - effort * e, 0.0, 1.0) + w_u * u + w_v * v
+                    least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
+                    hit = np.flatnonzero(score >= least - NEAR)
+                    rows.append(hit)
+                    which.append(np.full(len(hit), c))
+                got = part.take(pa.array(np.concatenate(rows))).append_column("config_id", pa.array(ids).take(pa.array(np.concatenate(which))))
+                yield from got.combine_chunks().to_batches(max_chunksize=10_000)
+
+    schema = T.StructType([*components.schema.fields, T.StructField("config_id", T.StringType())])
+    return components.repartition("profile_id").sortWithinPartitions("profile_id").mapInArrow(run, schema)
+
+
+def config_lists(components: DataFrame, configs: DataFrame, k: int = 10, value: str = "ev_norm") -> DataFrame:
+    """(config_id, profile_id, top): the k best of every configuration, in order."""
+    named = configs.select("config_id", *[F.col(c).alias(f"w_{c}") for c in GRID])
+    every = final_scores(shortlisted(components, configs, k, value).join(F.broadcast(named), "config_id"), value)  # SENT_CONFIGS rows at most
     placed = every.withColumn("place", ranking.place("config_id", "profile_id")).where(F.col("place") <= k)
     row = F.struct("place", *[c for c in (*CARRIED, value, "p_win", "expected_value") if c in components.columns])
     return placed.groupBy("config_id", "profile_id").agg(F.array_sort(F.collect_list(row)).alias("top"))  # k rows at most
@@ -149,11 +185,10 @@ def tuned(components: DataFrame, configs: DataFrame, eligibility_rate: float | N
     whether every list came out the same.  Values of a win model are averaged per list and
     then over the lists that have them.
     """
-    n_configs = configs.count()
     few = written(contenders(components, k, value), "contenders")
-    first = written(config_lists(few, configs, n_configs, k, value), "lists")
+    first = written(config_lists(few, configs, k, value), "lists")
     ids = lambda top: F.transform(top, lambda t: t["item_id"])
-    again = config_lists(few.repartition(3), configs, n_configs, k, value).select("config_id", "profile_id", ids(F.col("top")).alias("_again"))
+    again = config_lists(few.repartition(3), configs, k, value).select("config_id", "profile_id", ids(F.col("top")).alias("_again"))
     same = first.join(again, ["config_id", "profile_id"], "full_outer").groupBy("config_id").agg(F.bool_and(ids(F.col("top")).eqNullSafe(F.col("_again"))).alias("stable"))
     text = lambda c: F.nullif(F.trim(c), F.lit("")) if c in components.columns else F.lit(None).cast("string")
     share = lambda c: F.coalesce(F.try_divide(F.count_distinct(c), F.count(c)), F.lit(0.0))

@@ -91,7 +91,7 @@ def _measures(table: pa.Table, better: list[str], ties: list[tuple[str, str]]) -
     return np.stack(columns, 1) if table.num_rows else np.zeros((0, len(columns)))
 
 
-def _chunks(batches, keys: list[str]):
+def chunks(batches, keys: list[str]):
     """Tables of equal keys, one after another, out of batches sorted by them."""
     now, parts = None, []
     for batch in batches:
@@ -122,12 +122,12 @@ def skyband(rows: DataFrame, by: list[str], better: list[str], k: int = 1, ties:
     if margin and k != 1:
         raise ValueError("a margin is for skylines, k = 1")
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    chunks = max(1, -(-sizes // chunk_rows))
+    n_chunks = max(1, -(-sizes // chunk_rows))
     keys = [*by, "_chunk"]
-    now = rows.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in by]), F.lit(chunks)).cast("int"))
+    now = rows.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in by]), F.lit(n_chunks)).cast("int"))
 
     def run(batches, last):
-        for table in _chunks(batches, keys):
+        for table in chunks(batches, keys):
             x = _measures(table, better, ties or [])
             stay = band(x, k, margin)
             if margin and last:
@@ -135,9 +135,9 @@ def skyband(rows: DataFrame, by: list[str], better: list[str], k: int = 1, ties:
             yield from table.take(pa.array(stay)).combine_chunks().to_batches()
 
     while True:
-        last = chunks == 1
+        last = n_chunks == 1
         now = now.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches, last=last: run(batches, last), now.schema)
-        if chunks == 1:
+        if n_chunks == 1:
             return now.drop("_chunk")
-        chunks = -(-chunks // FAN)
+        n_chunks = -(-n_chunks // FAN)
         now = written(now.withColumn("_chunk", F.floor(F.col("_chunk") / FAN).cast("int")), "skyband")
