@@ -2,17 +2,19 @@
 
 A text is cut into words by the pattern of the vocabulary, and every word is merged by
 itself, so a word needs merging once wherever it occurs: the bytes of a word become an
-array of ids, and a fold over that array joins, step by step, the adjacent pair of least
+array of adjacent pairs, and a fold over that array joins, step by step, the pair of least
 rank, leftmost first, until no pair has a rank.  Ranks come from a literal map from pairs
 of ids; as Spark searches its own maps from end to end, the literal is two arrays in which
 a pair has one place each (a cuckoo table), so a lookup is two array accesses.  Ids are
 ranks, so the least rank is also the id of the joined pair.  Decoding concatenates the
 bytes of the ids.
 
-Words are made distinct within a task: beside each text go the words that the task has not
-met before, Spark folds these, and what reads the texts next keeps their codes.  Both sides
-meet texts in the same order and forget at the same place (after `MEMO` chunks), so nothing
-else is sent, nothing is shuffled, and a lost task repeats only its own rows.
+Words are made distinct within a task and numbered: for each text its word numbers go on,
+and beside them the words that the task has not met before.  Spark folds these, and what
+reads the numbers next keeps the codes.  It meets texts in the same order and forgets where
+numbers start again (after `MEMO` words), so no text is read twice, nothing is
+shuffled, and a lost task repeats only its own rows.  A task takes about `TASK_BYTES` of
+text, however small the files were cut, since every task folds common words again.
 
 A word of more than `LONG` bytes is not folded (every step reads the whole array, which
 is quadratic); it is merged with the heap of word_bpe.py, which gives the same ids.
@@ -27,11 +29,13 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +46,16 @@ from rankloom.llm.word_bpe import heap_merge
 LONG = 96  # bytes of a word that the fold takes
 NOWHERE = 1 << 62  # an empty place of the table: no pair, and above every rank
 ID_BITS = 16
-MEMO = 300_000  # chunks that a task remembers
+END = (1 << ID_BITS) - 1  # stands before and after the symbols of a word; no id
+BOTH = (1 << 2 * ID_BITS) - 1  # the bits of both ids of a pair
+PLACES = 127 << 2 * ID_BITS  # the bits of its place
+RANK_AT = 2 * ID_BITS + 7  # where its rank starts
+NONE = 1 << ID_BITS  # the rank of a pair without one
+MEMO = 400_000  # words that a task remembers
+MIXED = 100_000  # chunks of several words that it remembers
 SLICE_ROWS = 200  # rows of a batch whose texts are held as Python objects at a time
+GATHERED = 200_000  # words that are looked up at once
+TASK_BYTES = 45_000_000  # bytes of text of a task, about, where there are more tasks than cores
 
 # White space as the pattern understands it.  A chunk is a run of it and what follows up to
 # the next; no word of the pattern reaches over the end of a chunk or depends on others.
@@ -65,19 +77,28 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        if max(self.ids.values()) >= 1 << ID_BITS:
-            raise ValueError(f"ids must stay below {1 << ID_BITS}")
+        if max(self.ids.values()) >= END:
+            raise ValueError(f"ids must stay below {END}")
         self.first = [self.ids[bytes([b])] for b in range(256)]
         self.pieces = [b""] * (1 + max(self.ids.values()))
         for token, i in self.ids.items():
             self.pieces[i] = token
-        self._heap = None
+        self._heap = self._starts = None
 
     def heap(self) -> _Heap:
         if self._heap is None:
             self._heap = _Heap({a << 20 | b: i for (a, b), i in self.pairs().items()}, range(len(self.pieces)))
         return self._heap
 
+    def starts(self) -> np.ndarray:
+        """The rank of each pair of byte values; 256 stands for END."""
+        if self._starts is None:
+            self._starts = np.full((257, 257), NONE, np.int64)
+            for token, i in self.ids.items():
+                if len(token) == 2:
+                    self._starts[token[0], token[1]] = i
+        return self._starts
+
     def pairs(self) -> dict[tuple[int, int], int]:
         """The id of every two ids whose bytes, one after the other, are a token."""
         out = {}
@@ -126,31 +147,48 @@ def literal(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def merged(ids: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids after all merges; rank(pair) of a pair as one number is above every id where it has none."""
-
-    def step(now: Column, _: Column) -> Column:
-        before, after = F.slice(now, F.lit(1), F.size(now) - 1), F.slice(now, F.lit(2), F.size(now) - 1)
-        pairs = F.zip_with(before, after, lambda a, b: a * (1 << 2 * ID_BITS) + b * (1 << ID_BITS))
-        join = lambda ranks, least: let(F.array_position(ranks, least).cast("int"), lambda p: F.concat(F.slice(now, F.lit(1), p - 1), F.array(least), F.slice(now, p + 2, F.size(now))))
-        best = lambda ranks: let(F.array_min(ranks), lambda least: F.when(least >= 1 << ID_BITS, now).otherwise(join(ranks, least)))
-        return F.when(F.size(now) < 2, now).otherwise(let(F.transform(pairs, rank), best))
-
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), ids, step)
+def folded(words: Column, ranks: Ranks, ranked: bool = True) -> Column:
+    """Each of an array of words after all its merges.
 
-
-def coded(words: Column, ranks: Ranks) -> Column:
-    """The ids of each of an array of words, given as arrays of the ids of their bytes."""
+    A word is an array of its adjacent pairs, with END before the first symbol and after the
+    last.  A pair is one number: its rank, its place and both ids.  So the least number is the
+    pair to join, leftmost of equals, and a join asks only for the ranks of the two new pairs
+    beside it.  Unless `ranked`, the pairs come without ranks.
+    """
     big, small = placed(ranks.pairs())
 
     def with_tables(one: Column, two: Column) -> Column:
-        # The entry of this very pair leaves its id; every other one leaves some higher bit.
-        rank = lambda pair: F.least(F.get(one, (pair % len(big)).cast("int")).bitwiseXOR(pair), F.get(two, (pair % len(small)).cast("int")).bitwiseXOR(pair))
-        return F.transform(words, lambda w: merged(w, rank))
+        def rank(pair: Column) -> Column:
+            key = pair.bitwiseAND(BOTH) * (1 << ID_BITS)
+            # The entry of this very pair leaves its id; every other one leaves some higher bit.
+            found = F.least(F.get(one, (key % len(big)).cast("int")).bitwiseXOR(key), F.get(two, (key % len(small)).cast("int")).bitwiseXOR(key), F.lit(NONE).cast("bigint"))
+            return F.shiftleft(found, RANK_AT).bitwiseOR(pair)
+
+        def joined(now: Column, least: Column, p: Column) -> Column:
+            before, after, i = F.get(now, p - 2), F.get(now, p), F.shiftright(least, RANK_AT)
+            left = before.bitwiseAND(PLACES | BOTH ^ END).bitwiseOR(i)
+            right = F.shiftleft(i, ID_BITS).bitwiseOR(least.bitwiseAND(PLACES)).bitwiseOR(after.bitwiseAND(END))
+            rest = F.array_remove(F.array_remove(F.array_remove(now, least), before), after)
+            return let(F.transform(F.array(left, right), rank), lambda new: F.array_insert(F.array_insert(rest, p - 1, F.get(new, F.lit(1))), p - 1, F.get(new, F.lit(0))))
+
+        def fold(word: Column) -> Column:
+            step = lambda now, least: F.when(least >= NONE << RANK_AT, now).otherwise(let(F.array_position(now, least).cast("int"), lambda p: joined(now, least, p)))
+            return F.aggregate(F.sequence(F.lit(3), F.greatest(F.size(word), F.lit(3))), word, lambda now, _: let(F.array_min(now), lambda least: step(now, least)))
+
+        known = words if ranked else F.transform(words, lambda w: F.transform(w, rank))
+        return F.transform(known, lambda w: F.when(F.array_min(w) >= NONE << RANK_AT, w).otherwise(fold(w)))
 
     return let(literal(big, "bigint"), lambda one: let(literal(small, "bigint"), lambda two: with_tables(one, two)))
 
 
+def coded(words: Column, ranks: Ranks) -> Column:
+    """The ids of each of an array of words, given as arrays of the ids of their bytes, LONG at most."""
+    end = F.array(F.lit(END).cast("bigint"))
+    pairs = lambda w: F.transform(F.arrays_zip(F.concat(end, w).alias("a"), F.concat(w, end).alias("b")), lambda x, n: x["a"] * (1 << ID_BITS) + x["b"] + F.shiftleft(n.cast("bigint"), 2 * ID_BITS))
+    ids = lambda w: F.transform(F.slice(w, F.lit(2), F.size(w)), lambda pair: F.shiftright(pair, ID_BITS).bitwiseAND(END))
+    return F.transform(folded(F.transform(words, pairs), ranks, ranked=False), ids)
+
+
 _READ: dict[str, Ranks] = {}
 
 
@@ -165,11 +203,23 @@ def long_word(word: bytes, ranks: Ranks) -> list[int]:
     return [i for i in heap_merge([ranks.first[b] for b in word], ranks.heap())[1] if i >= 0]
 
 
+class _Codes(dict):
+    """What is known of words, by word; `make(chunk)` answers for every chunk that is no known word."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk):
+        return self.make(chunk)
+
+
 class Known:
-    """What a task has met, by chunk and by word; two of them that see the same texts agree."""
+    """The words that a task has met, numbered."""
 
-    def __init__(self, pattern: str):
-        self.pattern, self.codes = regex.compile(pattern).findall, {}
+    def __init__(self, pattern: str, most: int | None = None):
+        self.pattern, self.most = regex.compile(pattern).findall, MEMO if most is None else most
+        self.codes, self.new, self.mixed = _Codes(self.numbered), [], {}
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk; letters alone, or behind one space, are one word."""
@@ -177,11 +227,36 @@ class Known:
 
     def fresh(self, text: str) -> tuple[list[str], list[str]]:
         """(all chunks of the text, those that are new); forgets all first where there is too much."""
-        if len(self.codes) > MEMO:
-            self.codes = {}
+        if len(self.codes) > self.most:
+            self.codes = _Codes(self.numbered)
         every, codes = CHUNKS(text), self.codes
         return every, [c for c in dict.fromkeys(every) if c not in codes]
 
+    def numbered(self, chunk: str) -> tuple[int, ...]:
+        """The numbers of the words of a chunk; new words get the next ones."""
+        if chunk in self.mixed:
+            return self.mixed[chunk]
+        codes, out, split = self.codes, [], self.split(chunk)
+        for w in split:
+            if w in codes:
+                out += codes[w]
+            else:
+                out.append(len(codes))
+                codes[w] = (len(codes),)
+                self.new.append(w.encode())
+        if len(split) > 1:
+            if len(self.mixed) >= MIXED:
+                self.mixed.clear()
+            self.mixed[chunk] = tuple(out)
+        return tuple(out)
+
+    def numbers(self, text: str) -> tuple[int, bytes, list[bytes]]:
+        """(words known before, int32 numbers of the words of the text, its new words); forgets all first where there is too much."""
+        if len(self.codes) > self.most:
+            self.codes, self.mixed = _Codes(self.numbered), {}
+        before, self.new = len(self.codes), []
+        return before, array("i", chain.from_iterable(map(self.codes.__getitem__, CHUNKS(text)))).tobytes(), self.new
+
 
 def _slices(batches):
     for batch in batches:
@@ -190,69 +265,93 @@ def _slices(batches):
             yield part, [str(t.as_buffer(), "utf-8", "replace") for t in part.column(1)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paired(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, list[int]]:
+    """(the pairs of all words as `folded` takes them, one word after the other; the number of pairs of each).
+
+    Long words come with all their merges done.
+    """
+    short = [w if len(w) <= LONG else b"" for w in words]
+    sizes = np.array([len(w) for w in short], np.int64)
+    symbols = np.full(int(sizes.sum()) + len(words) + 1, 256, np.int64)
+    symbols[np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(words) + 1), sizes)] = np.frombuffer(b"".join(short), np.uint8)
+    place = np.arange(len(symbols) - 1) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    ids = np.array([*ranks.first, END], np.int64)[symbols]
+    pairs = ranks.starts()[symbols[:-1], symbols[1:]] << RANK_AT | place << 2 * ID_BITS | ids[:-1] << ID_BITS | ids[1:]
+    sizes = (sizes + 1).tolist()
+    if any(len(w) > LONG for w in words):
+        parts = np.split(pairs, np.cumsum(sizes)[:-1])
+        for n, w in enumerate(words):
+            if len(w) > LONG:
+                ids = np.array([END, *long_word(w, ranks), END], np.int64)
+                parts[n] = NONE << RANK_AT | ids[:-1] << ID_BITS | ids[1:]
+                sizes[n] = len(parts[n])
+        pairs = np.concatenate(parts)
+    return pairs, sizes
+
+
+def _gathered(batch):
+    """The rows of a batch in parts of about GATHERED words, in which numbers do not start again."""
+    lo, total = 0, 0
+    for i, (base, n) in enumerate(zip(batch.column(1).to_pylist(), pc.binary_length(batch.column(2)).to_pylist())):
+        if i > lo and (base == 0 or total + n // 4 > GATHERED):
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += n // 4
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The rows in tasks of about TASK_BYTES, but no fewer tasks than there are cores; nothing is moved."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """doc_id, ids (little-endian uint32) and decoded (bytes) of every row."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def new_words(batches):
-        known, first = Known(pattern), np.array(load(path).first, np.int64)
+        known, ranks = Known(pattern, memo), load(path)
         for part, texts in _slices(batches):
-            flat, counts = [], []
+            flat, counts, bases, places = [], [], [], []
             for text in texts:
-                before, new = len(flat), known.fresh(text)[1]
-                codes = known.codes
-                for c in new:
-                    for w in known.split(c):
-                        if w not in codes:
-                            codes[w] = True
-                            raw = w.encode()
-                            if len(raw) <= LONG:
-                                flat.append(raw)
-                    codes[c] = True
-                counts.append(len(flat) - before)
+                base, numbers, new = known.numbers(text)
+                bases.append(base)
+                places.append(numbers)
+                counts.append(len(new))
+                flat += new
+            pairs, sizes = paired(flat, ranks)
             offsets = lambda n: pa.array(np.cumsum([0, *n]), pa.int32())
-            symbols = pa.array(first[np.frombuffer(b"".join(flat), np.uint8)])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets(counts), pa.ListArray.from_arrays(offsets(map(len, flat)), symbols))], ["doc_id", "text", "words"])
+            words = pa.ListArray.from_arrays(offsets(counts), pa.ListArray.from_arrays(offsets(sizes), pa.array(pairs)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bases, pa.int32()), pa.array(places, pa.binary()), words], ["doc_id", "base", "places", "words"])
 
     def codes(batches):
-        known, ranks = Known(pattern), load(path)
-        pieces = pa.array(ranks.pieces, pa.binary())
-
-        def coded_words(ids: np.ndarray, ends: np.ndarray):
-            """(ids, decoded) of one word after another; taking pieces lays their bytes end to end."""
-            packed, taken = ids.astype("<u4").tobytes(), pieces.take(pa.array(ids))
-            starts = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1]
-            raw = taken.buffers()[2].to_pybytes() if len(ids) else b""
-            cuts = starts[ends].tolist()
-            ends = (4 * ends).tolist()
-            for lo, hi, a, b in zip([0, *ends], ends, [0, *cuts], cuts):
-                yield packed[lo:hi], raw[a:b]
-
-        for part, texts in _slices(batches):
-            words = part.column(2).flatten()
-            told = coded_words(words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
-            ids, decoded = [], []
-            for text in texts:
-                every, new = known.fresh(text)
-                by = known.codes
-                for c in new:
-                    split = known.split(c)
-                    for w in split:
-                        if w not in by:
-                            raw = w.encode()
-                            by[w] = next(told) if len(raw) <= LONG else next(coded_words(found := np.array(long_word(raw, ranks), np.int64), np.array([len(found)])))
-                    if len(split) > 1:
-                        got = [by[w] for w in split]
-                        by[c] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-                got = [by[c] for c in every]
-                ids.append(b"".join([g[0] for g in got]))
-                decoded.append(b"".join([g[1] for g in got]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    spelt = narrow.mapInArrow(new_words, f"doc_id {kind}, text binary, words array<array<bigint>>")
-    folded = spelt.select("doc_id", "text", coded(F.col("words"), load(path)).alias("codes"))
-    return folded.mapInArrow(codes, f"doc_id {kind}, ids binary, decoded binary")
+        ranks, nothing = load(path), np.zeros(0, np.int64)
+        pieces, ids, sizes = pa.array(ranks.pieces, pa.binary()), nothing.astype("<u4"), nothing
+        for batch in batches:
+            for part in _gathered(batch):
+                if part.column(1)[0].as_py() == 0:  # numbers start again
+                    ids, sizes = nothing.astype("<u4"), nothing
+                words = part.column(3).flatten()
+                pairs, ends = words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+                begins = np.r_[0, ends[:-1]][: len(ends)]
+                ids = np.r_[ids, np.delete((pairs >> ID_BITS & END).astype("<u4"), begins)]
+                sizes = np.r_[sizes, ends - begins - 1]
+                numbers = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int32)
+                stops = np.r_[0, np.cumsum(sizes[numbers])]
+                at = np.arange(stops[-1]) + np.repeat((np.cumsum(sizes) - sizes)[numbers] - stops[:-1], sizes[numbers])
+                stops = stops[np.cumsum([0, *(len(x) // 4 for x in part.column(2).to_pylist())])]
+                found = ids[at]
+                taken = pieces.take(pa.array(found))
+                cuts = np.frombuffer(taken.buffers()[1], np.int32)[stops] if len(found) else np.zeros(len(stops), np.int32)
+                binary = lambda ends, raw: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw])
+                raw = taken.buffers()[2] if len(found) else pa.py_buffer(b"")
+                yield pa.RecordBatch.from_arrays([part.column(0), binary(4 * stops, pa.py_buffer(found)), binary(cuts, raw)], ["doc_id", "ids", "decoded"])
+
+    spelt = _dealt(narrow).mapInArrow(new_words, f"doc_id {kind}, base int, places binary, words array<array<bigint>>")
+    return spelt.withColumn("words", folded(F.col("words"), load(path))).mapInArrow(codes, f"doc_id {kind}, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -141,6 +141,18 @@ def test_what_is_remembered_is_bounded_and_agrees(monkeypatch):
         assert one.split(chunk) == one.pattern(chunk)
 
 
+def test_numbers_that_start_again_and_small_files(spark):
+    rnd = random.Random(5)
+    texts = ["", "x" * 200 + " end", *(" ".join(rnd.choice(["the", "qwrtz", "a,b", "Übung!", "7", "y" * 120]) for _ in range(rnd.randint(0, 12))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(64)
+    enc = library()
+    for memo in (1, 4, 1000):
+        found = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, memo=memo)
+        assert found.rdd.getNumPartitions() <= max(1, spark.sparkContext.defaultParallelism)  # common words are folded once a task
+        got = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in found.collect()}
+        assert got == {i: (struct.pack(f"<{len(ids)}I", *ids), t.encode()) for i, t in enumerate(texts) for ids in [enc.encode_ordinary(t)]}
+
+
 def test_every_pair_has_one_place():
     pairs = byte_bpe.Ranks(RANKS).pairs()
     big, small = byte_bpe.placed(pairs)
