@@ -10,11 +10,14 @@ ranks, so the least rank is also the id of the joined pair.  Decoding concatenat
 bytes of the ids.
 
 Words are made distinct within a task and numbered: for each text its word numbers go on,
-and beside them the words that the task has not met before.  Spark folds these, and what
-reads the numbers next keeps the codes.  It meets texts in the same order and forgets where
-numbers start again (after `MEMO` words), so no text is read twice, nothing is
-shuffled, and a lost task repeats only its own rows.  A task takes about `TASK_BYTES` of
-text, however small the files were cut, since every task folds common words again.
+and beside them the words that the task does not remember.  Spark folds these, and what
+reads the numbers next keeps the codes.  It meets texts in the same order, so no text is
+read twice, nothing is shuffled, and a lost task repeats only its own rows.  Most words
+occur once: where a task remembers more than `MEMO`, it forgets those that it met once since
+it last did so, and their numbers are not used again.  Numbers start again, and both sides
+forget all, after `NUMBERS` times as many.  A task takes about `TASK_BYTES` of text, however
+small the files were cut, since every task folds common words again.  Texts and numbers
+travel in short rows, one after the other, as both sides hold a batch of rows at a time.
 
 A word of more than `LONG` bytes is not folded (every step reads the whole array, which
 is quadratic); it is merged with the heap of word_bpe.py, which gives the same ids.
@@ -31,7 +34,7 @@ import base64
 import re
 from array import array
 from dataclasses import dataclass
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +54,16 @@ BOTH = (1 << 2 * ID_BITS) - 1  # the bits of both ids of a pair
 PLACES = 127 << 2 * ID_BITS  # the bits of its place
 RANK_AT = 2 * ID_BITS + 7  # where its rank starts
 NONE = 1 << ID_BITS  # the rank of a pair without one
-MEMO = 400_000  # words that a task remembers
+MEMO = 600_000  # words that a task remembers
+NUMBERS = 3  # so many times as many words get numbers before these start again
 MIXED = 100_000  # chunks of several words that it remembers
-SLICE_ROWS = 200  # rows of a batch whose texts are held as Python objects at a time
+MANY = 1 << 30  # the number of the first chunk of several words
+GROUP = 4_000_000  # chunks that are numbered at once
+SLICE_ROWS = 200  # texts that are held as Python objects at a time
+PIECE = 512  # bytes of a text, and
+ROW_WORDS = 128  # numbers of words in a row: a batch is so many rows, however long they are
 GATHERED = 200_000  # words that are looked up at once
-TASK_BYTES = 45_000_000  # bytes of text of a task, about, where there are more tasks than cores
+TASK_BYTES = 150_000_000  # bytes of text of a task, about, where there are more tasks than cores
 
 # White space as the pattern understands it.  A chunk is a run of it and what follows up to
 # the next; no word of the pattern reaches over the end of a chunk or depends on others.
@@ -206,8 +214,8 @@ def long_word(word: bytes, ranks: Ranks) -> list[int]:
 class _Codes(dict):
     """What is known of words, by word; `make(chunk)` answers for every chunk that is no known word."""
 
-    def __init__(self, make):
-        super().__init__()
+    def __init__(self, make, known=()):
+        super().__init__(known)
         self.make = make
 
     def __missing__(self, chunk):
@@ -215,11 +223,27 @@ class _Codes(dict):
 
 
 class Known:
-    """The words that a task has met, numbered."""
+    """The words that a task remembers, numbered."""
 
     def __init__(self, pattern: str, most: int | None = None):
         self.pattern, self.most = regex.compile(pattern).findall, MEMO if most is None else most
-        self.codes, self.new, self.mixed = _Codes(self.numbered), [], {}
+        self.restart()
+
+    def restart(self):
+        self.codes, self.new, self.count, self.seen = _Codes(self.numbered), [], 0, np.zeros(0, np.int32)
+        self.unmix()
+
+    def unmix(self):
+        """Forgets the chunks of several words; `parts` has their words' numbers, one chunk after the other."""
+        self.mixed, self.parts, self.ends = {}, array("i"), array("i", [0])
+
+    def sweep(self):
+        """Forgets the words met once since the last time, or all where few were."""
+        again = self.seen[np.fromiter(self.codes.values(), np.int32, len(self.codes))] > 1
+        kept = compress(self.codes.items(), again.tolist()) if 3 * again.sum() < 2 * len(again) else ()
+        self.codes = _Codes(self.numbered, kept)
+        self.seen[:] = 1
+        self.unmix()
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk; letters alone, or behind one space, are one word."""
@@ -232,37 +256,89 @@ class Known:
         every, codes = CHUNKS(text), self.codes
         return every, [c for c in dict.fromkeys(every) if c not in codes]
 
-    def numbered(self, chunk: str) -> tuple[int, ...]:
-        """The numbers of the words of a chunk; new words get the next ones."""
+    def word(self, word: str) -> int:
+        """The number of a new word."""
+        n = self.codes[word] = self.count
+        self.count += 1
+        self.new.append(word.encode())
+        return n
+
+    def numbered(self, chunk: str) -> int:
+        """The number of a chunk that is no known word: that of a new word, or from MANY on that of several words."""
         if chunk in self.mixed:
             return self.mixed[chunk]
-        codes, out, split = self.codes, [], self.split(chunk)
-        for w in split:
-            if w in codes:
-                out += codes[w]
-            else:
-                out.append(len(codes))
-                codes[w] = (len(codes),)
-                self.new.append(w.encode())
-        if len(split) > 1:
-            if len(self.mixed) >= MIXED:
-                self.mixed.clear()
-            self.mixed[chunk] = tuple(out)
-        return tuple(out)
-
-    def numbers(self, text: str) -> tuple[int, bytes, list[bytes]]:
-        """(words known before, int32 numbers of the words of the text, its new words); forgets all first where there is too much."""
-        if len(self.codes) > self.most:
-            self.codes, self.mixed = _Codes(self.numbered), {}
-        before, self.new = len(self.codes), []
-        return before, array("i", chain.from_iterable(map(self.codes.__getitem__, CHUNKS(text)))).tobytes(), self.new
+        split, codes = self.split(chunk), self.codes
+        if len(split) == 1:
+            return self.word(chunk)
+        self.parts.extend([codes[w] if w in codes else self.word(w) for w in split])
+        self.ends.append(len(self.parts))
+        n = self.mixed[chunk] = MANY + len(self.mixed)
+        return n
+
+    def parted(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of words for numbers of chunks, where those of each chunk begin and the last end)."""
+        many = flat >= MANY
+        if not many.any():
+            return flat, np.arange(len(flat) + 1)
+        ends, at = np.array(self.ends, np.int64), flat[many] - MANY
+        sizes, own = np.ones(len(flat), np.int64), ends[at + 1] - ends[at]
+        sizes[many] = own
+        out = np.repeat(flat, sizes)
+        out[out >= MANY] = np.array(self.parts, np.int32)[np.arange(own.sum()) + np.repeat(ends[at + 1] - np.cumsum(own), own)]
+        return out, np.r_[0, np.cumsum(sizes)]
+
+    def numbers(self, texts: list[str], lo: int) -> tuple[bool, np.ndarray, np.ndarray, list[int]]:
+        """For texts from the lo-th on, as many as there is room for, and one at least.
+
+        (whether numbers start again, those of the words, where each text's begin and the last
+        end, how many new words each has); `new` has these words.
+        """
+        if self.count > NUMBERS * self.most:
+            self.restart()
+        elif len(self.codes) > self.most:
+            self.sweep()
+        elif len(self.mixed) > MIXED:
+            self.unmix()
+        anew, self.new = self.count == 0, []
+        flat, ends, counts, find = array("i"), [0], [], self.codes.__getitem__
+        for text in texts[lo:]:
+            before = len(self.new)
+            flat.extend(map(find, CHUNKS(text)))
+            ends.append(len(flat))
+            counts.append(len(self.new) - before)
+            if len(self.codes) > self.most or len(self.mixed) > MIXED or len(flat) > GROUP:
+                break
+        words, begins = self.parted(np.frombuffer(flat, np.int32))
+        self.seen = np.r_[self.seen, np.zeros(self.count - len(self.seen), np.int32)]
+        self.seen += np.bincount(words, minlength=self.count).astype(np.int32)
+        return anew, words, begins[ends], counts
 
 
 def _slices(batches):
+    """(doc_ids, texts) of some rows at a time, from their pieces; the last piece of each text is marked."""
+    rest = []
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(lo, SLICE_ROWS)
-            yield part, [str(t.as_buffer(), "utf-8", "replace") for t in part.column(1)]
+        bounds, raw = _offsets(batch.column(1)).tolist(), memoryview(batch.column(1).buffers()[2] or b"")
+        lasts, lo = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)).tolist(), 0
+        for k in range(0, len(lasts), SLICE_ROWS):
+            texts, some = [], lasts[k : k + SLICE_ROWS]
+            for last in some:
+                rest.append(raw[bounds[lo] : bounds[last + 1]])
+                texts.append(str(b"".join(rest) if len(rest) > 1 else rest[0], "utf-8", "replace"))
+                lo = last + 1
+                rest.clear()
+            yield batch.column(0).take(pa.array(some)), texts
+        if lo < batch.num_rows:
+            rest.append(bytes(raw[bounds[lo] : bounds[-1]]))
+
+
+def _rows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the rows of texts that begin and end at `ends` begin and the last ends; the text of each; whether it is the text's last."""
+    rows = np.maximum(1, -(-np.diff(ends) // ROW_WORDS))
+    text, stops = np.repeat(np.arange(len(rows)), rows), np.cumsum(rows)
+    last = np.zeros(len(text), bool)
+    last[stops - 1] = True
+    return np.r_[ends[:-1][text] + ROW_WORDS * (np.arange(len(text)) - (stops - rows)[text]), ends[-1]], text, last
 
 
 def paired(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, list[int]]:
@@ -289,11 +365,21 @@ def paired(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, list[int]]:
     return pairs, sizes
 
 
+def _binary(ends: np.ndarray, raw) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int32)), pa.py_buffer(raw)])
+
+
+def _offsets(x: pa.Array) -> np.ndarray:
+    """Where the values of a binary array begin and the last ends."""
+    kind = np.int64 if pa.types.is_large_binary(x.type) else np.int32
+    return np.frombuffer(x.buffers()[1], kind)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, kind)
+
+
 def _gathered(batch):
     """The rows of a batch in parts of about GATHERED words, in which numbers do not start again."""
     lo, total = 0, 0
-    for i, (base, n) in enumerate(zip(batch.column(1).to_pylist(), pc.binary_length(batch.column(2)).to_pylist())):
-        if i > lo and (base == 0 or total + n // 4 > GATHERED):
+    for i, (anew, n) in enumerate(zip(batch.column(1).to_pylist(), pc.binary_length(batch.column(3)).to_pylist())):
+        if i > lo and (anew or total + n // 4 > GATHERED):
             yield batch.slice(lo, i - lo)
             lo, total = i, 0
         total += n // 4
@@ -314,43 +400,57 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def new_words(batches):
         known, ranks = Known(pattern, memo), load(path)
-        for part, texts in _slices(batches):
-            flat, counts, bases, places = [], [], [], []
-            for text in texts:
-                base, numbers, new = known.numbers(text)
-                bases.append(base)
-                places.append(numbers)
-                counts.append(len(new))
-                flat += new
-            pairs, sizes = paired(flat, ranks)
-            offsets = lambda n: pa.array(np.cumsum([0, *n]), pa.int32())
-            words = pa.ListArray.from_arrays(offsets(counts), pa.ListArray.from_arrays(offsets(sizes), pa.array(pairs)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bases, pa.int32()), pa.array(places, pa.binary()), words], ["doc_id", "base", "places", "words"])
+        offsets = lambda n: pa.array(np.cumsum([0, *n]), pa.int32())
+        try:
+            for doc_ids, texts in _slices(batches):
+                lo = 0
+                while lo < len(texts):
+                    anew, numbers, ends, counts = known.numbers(texts, lo)
+                    pairs, sizes = paired(known.new, ranks)
+                    begins, text, last = _rows(ends)
+                    new = np.zeros(len(text), np.int64)
+                    new[np.r_[True, last[:-1]]] = counts
+                    words = pa.ListArray.from_arrays(offsets(new), pa.ListArray.from_arrays(offsets(sizes), pa.array(pairs)))
+                    firsts = np.arange(len(text)) == (0 if anew else -1)
+                    yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(lo + text)), pa.array(firsts), pa.array(last), _binary(4 * begins, numbers), words], ["doc_id", "anew", "last", "places", "words"])
+                    lo += len(counts)
+        finally:
+            known.restart()  # it refers to itself, so the worker would hold its words beside those of the next task
+            pa.default_memory_pool().release_unused()
 
     def codes(batches):
-        ranks, nothing = load(path), np.zeros(0, np.int64)
-        pieces, ids, sizes = pa.array(ranks.pieces, pa.binary()), nothing.astype("<u4"), nothing
-        for batch in batches:
-            for part in _gathered(batch):
-                if part.column(1)[0].as_py() == 0:  # numbers start again
-                    ids, sizes = nothing.astype("<u4"), nothing
-                words = part.column(3).flatten()
-                pairs, ends = words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
-                begins = np.r_[0, ends[:-1]][: len(ends)]
-                ids = np.r_[ids, np.delete((pairs >> ID_BITS & END).astype("<u4"), begins)]
-                sizes = np.r_[sizes, ends - begins - 1]
-                numbers = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int32)
-                stops = np.r_[0, np.cumsum(sizes[numbers])]
-                at = np.arange(stops[-1]) + np.repeat((np.cumsum(sizes) - sizes)[numbers] - stops[:-1], sizes[numbers])
-                stops = stops[np.cumsum([0, *(len(x) // 4 for x in part.column(2).to_pylist())])]
-                found = ids[at]
-                taken = pieces.take(pa.array(found))
-                cuts = np.frombuffer(taken.buffers()[1], np.int32)[stops] if len(found) else np.zeros(len(stops), np.int32)
-                binary = lambda ends, raw: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), raw])
-                raw = taken.buffers()[2] if len(found) else pa.py_buffer(b"")
-                yield pa.RecordBatch.from_arrays([part.column(0), binary(4 * stops, pa.py_buffer(found)), binary(cuts, raw)], ["doc_id", "ids", "decoded"])
-
-    spelt = _dealt(narrow).mapInArrow(new_words, f"doc_id {kind}, base int, places binary, words array<array<bigint>>")
+        ranks, none = load(path), pa.array([], pa.binary())
+        pieces, known = pa.array(ranks.pieces, pa.binary()), none  # the ids of each word, two bytes each
+        ids, said = np.zeros(0, "<u4"), np.zeros(0, np.uint8)  # of a text that goes on in the next rows
+        try:
+            for batch in batches:
+                for part in _gathered(batch):
+                    if part.column(1)[0].as_py():
+                        known = none
+                    words = part.column(4).flatten()
+                    if len(words):
+                        pairs, ends = words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+                        new = np.delete((pairs >> ID_BITS & END).astype(np.uint16), np.r_[0, ends[:-1]])
+                        known = pa.concat_arrays([known, _binary(2 * np.r_[0, ends - np.arange(1, len(ends) + 1)], new)])
+                    places = part.column(3).to_pylist()
+                    taken = known.take(pa.array(np.frombuffer(b"".join(places), np.int32)))
+                    stops = _offsets(taken)[np.cumsum([0, *(len(x) // 4 for x in places)])] // 2
+                    found = np.frombuffer(taken.buffers()[2] or b"", np.uint16)[: stops[-1]].astype("<u4")
+                    bytes_of = pieces.take(pa.array(found))
+                    cuts = _offsets(bytes_of)[stops]
+                    whole = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
+                    to, upto = (np.r_[0, len(before) + x[whole + 1].astype(np.int64)] for before, x in ((ids, stops), (said, cuts)))
+                    ids, said = np.r_[ids, found], np.r_[said, np.frombuffer(bytes_of.buffers()[2] or b"", np.uint8)[: cuts[-1]]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(whole)), _binary(4 * to, ids), _binary(upto, said)], ["doc_id", "ids", "decoded"])
+                    ids, said = ids[to[-1] :].copy(), said[upto[-1] :].copy()
+        finally:
+            known = none
+            pa.default_memory_pool().release_unused()
+
+    top = F.floor((F.greatest(F.octet_length("text"), F.lit(1)) - 1) / PIECE).cast("int")
+    piece = lambda i: F.struct(F.col("text").substr(i * PIECE + 1, F.lit(PIECE)).alias("piece"), (i == top).alias("last"))
+    pieces = _dealt(narrow).select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(0), top), piece)).alias("x")).select("doc_id", "x.piece", "x.last")
+    spelt = pieces.mapInArrow(new_words, f"doc_id {kind}, anew boolean, last boolean, places binary, words array<array<bigint>>")
     return spelt.withColumn("words", folded(F.col("words"), load(path))).mapInArrow(codes, f"doc_id {kind}, ids binary, decoded binary")
 
 

@@ -153,6 +153,38 @@ def test_numbers_that_start_again_and_small_files(spark):
         assert got == {i: (struct.pack(f"<{len(ids)}I", *ids), t.encode()) for i, t in enumerate(texts) for ids in [enc.encode_ordinary(t)]}
 
 
+def test_words_met_again_are_not_folded_again():
+    """Forgetting all words where there were too many made the common ones new each time."""
+    rnd = random.Random(6)
+    common = ["".join(rnd.choice("abcdeno") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rnd.choice(common) if rnd.random() < 0.9 else f"{rnd.choice(common)}{rnd.choice(common)}," for _ in range(200)) for _ in range(60)]
+    known, spelt, new, lo = byte_bpe.Known(public_tokenizers.PATTERN, 200), {}, Counter(), 0
+    while lo < len(texts):
+        anew, numbers, ends, counts = known.numbers(texts, lo)
+        spelt = {} if anew else spelt
+        for w in known.new:
+            spelt[len(spelt)] = w.decode()
+        new.update(known.new)
+        assert sum(counts) == len(known.new) and len(ends) == len(counts) + 1
+        for k, text in enumerate(texts[lo : lo + len(counts)]):
+            assert [spelt[n] for n in numbers[ends[k] : ends[k + 1]].tolist()] == known.pattern(text)
+        assert len(known.codes) <= 2 * 200 + 2 * len(common)
+        lo += len(counts)
+    assert sum(new[f" {w}".encode()] for w in common) < 4 * len(common)
+
+
+def test_a_task_folds_what_it_forgot_and_what_is_new(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdenoé") for _ in range(rnd.randint(1, 8)))
+    own = [word() for _ in range(15)]
+    texts = [" ".join(rnd.choice(own) if rnd.random() < 0.7 else word() + rnd.choice(["", ",", "7!"]) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    enc = library()
+    for memo in (3, 40, 150):
+        got = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, memo=memo).collect()}
+        assert got == {i: (struct.pack(f"<{len(ids)}I", *ids), t.encode()) for i, t in enumerate(texts) for ids in [enc.encode_ordinary(t)]}
+
+
 def test_every_pair_has_one_place():
     pairs = byte_bpe.Ranks(RANKS).pairs()
     big, small = byte_bpe.placed(pairs)
