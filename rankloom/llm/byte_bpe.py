@@ -54,8 +54,8 @@ BOTH = (1 << 2 * ID_BITS) - 1  # the bits of both ids of a pair
 PLACES = 127 << 2 * ID_BITS  # the bits of its place
 RANK_AT = 2 * ID_BITS + 7  # where its rank starts
 NONE = 1 << ID_BITS  # the rank of a pair without one
-MEMO = 600_000  # words that a task remembers
-NUMBERS = 3  # so many times as many words get numbers before these start again
+MEMO = 340_000  # words that a task remembers; a dict of 349,526 or more takes twice the room
+NUMBERS = 6  # so many times as many words get numbers before these start again
 MIXED = 100_000  # chunks of several words that it remembers
 MANY = 1 << 30  # the number of the first chunk of several words
 GROUP = 4_000_000  # chunks that are numbered at once
@@ -63,7 +63,7 @@ SLICE_ROWS = 200  # texts that are held as Python objects at a time
 PIECE = 512  # bytes of a text, and
 ROW_WORDS = 128  # numbers of words in a row: a batch is so many rows, however long they are
 GATHERED = 200_000  # words that are looked up at once
-TASK_BYTES = 150_000_000  # bytes of text of a task, about, where there are more tasks than cores
+TASK_BYTES = 100_000_000  # bytes of text of a task, about, where there are more tasks than cores
 
 # White space as the pattern understands it.  A chunk is a run of it and what follows up to
 # the next; no word of the pattern reaches over the end of a chunk or depends on others.
