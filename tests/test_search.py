@@ -113,3 +113,21 @@ def test_a_search_of_nothing_finds_nothing(tables):
     s = search.search(items.limit(0), profiles)
     assert s.verdicts(ranking.eligible().alias("e")).count() == s.expanded(s.pairs()).count() == 0
     assert evaluation.eligibility_precision(s.kind_pairs().select(ranking.reasons().alias("reasons"), "n"), "n").first().n_pairs == 0
+
+
+def test_the_win_model_is_one_expression_that_equals_its_pipelines(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from rankloom.operators import winmodel
+
+    draw = random.Random(9)
+    data = [(i, *[draw.random() for _ in winmodel.FEATURES[:-1]], 1.0, int(draw.random() < 0.4), ("train", "calibration")[i % 2]) for i in range(200)]  # the last feature is constant
+    samples = spark.createDataFrame(data, "sample_id long, " + ", ".join(f"{c} double" for c in winmodel.FEATURES) + ", y int, part string")
+    model = winmodel.train(samples)
+    got = winmodel.predict(samples, model)
+    want = model[1].transform(model[0].transform(samples).withColumn("_p", vector_to_array("_prob")[1])).select("sample_id", vector_to_array("_cprob")[1].alias("w"))
+    both = got.join(want, "sample_id").collect()
+    assert len(both) == 200 and all(r.p_win == pytest.approx(r.w, abs=1e-12) for r in both)
+    assert "UDF" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="a feature is missing"):
+        winmodel.predict(samples.withColumn("gpa", F.lit(None).cast("double")), model).collect()
